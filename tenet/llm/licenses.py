@@ -21,6 +21,7 @@ ignored. Empty tables give empty results.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,10 +63,10 @@ def shingles(all_words: Column, start: Column, end: Column) -> Column:
 def keyed(rows: DataFrame, stride: int) -> DataFrame:
     """From rows with `words`: every window's place p with its keys, as columns band_0.. and one_0.. (null where there is none)."""
     n, long = F.col("n"), WINDOW + SHINGLE - 1
-    rows = rows.withColumn("n", F.size("words")).where(n >= SHINGLE)
+    rows = rows.withColumn("n", F.size("words"))
     # The last full window ends with the text; those that run over its end count for their single shingles alone.
     starts = F.array_union(F.sequence(F.lit(0), n - SHINGLE, F.lit(stride)), F.array(F.greatest(n - long, F.lit(0))))
-    rows = rows.withColumn("p", F.explode(starts))
+    rows = rows.withColumn("p", F.explode(F.when(n >= SHINGLE, starts)))  # a filter would split texts twice
     held = [c for c in rows.columns]
     # A word past the end is empty, which no template has, so its shingles equal none.
     rows = rows.select(*held, *[F.xxhash64(F.coalesce(F.get("words", F.col("p") + j), F.lit(""))).alias(f"h{j}") for j in range(long)])
@@ -78,19 +79,21 @@ def keyed(rows: DataFrame, stride: int) -> DataFrame:
 
 
 def index(spark: SparkSession, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """key, offset (the window's place in the template less its place in `keys`), template, length, shingles."""
+    """key, template, its length and distinct shingles, and the places of the windows with that key; made from the templates once."""
     rows = spark.createDataFrame([(k, v) for k, v in templates.items()], "template string, text string").select("template", words(F.col("text")).alias("words"))
     rows = rows.withColumn("all", F.array_distinct(shingles(F.col("words"), F.lit(0), F.size("words") - SHINGLE + 1)))
-    windows = keyed(rows, 1)
-    short = F.col("n") < WINDOW + SHINGLE - 1
-    full = F.col("p") + WINDOW + SHINGLE - 1 <= F.col("n")
-    base = ["template", F.col("n").alias("length"), F.col("all").alias("template_shingles"), F.col("p").alias("place")]
-    out = windows.where(~short & full).select(*base, F.explode("bands").alias("key"))
-    out = out.union(windows.where(short).select(*base, F.get("ones", F.lit(0)).alias("key")))
-    out = out.groupBy("key", "template", "length", "template_shingles").agg(F.collect_set("place").alias("places"))
-    if (n := out.count()) > MOST_KEYS:
-        raise ValueError(f"the templates make {n} keys, over {MOST_KEYS}: scan with fewer at a time")
-    return out
+    found: dict[tuple[int, str], set[int]] = defaultdict(set)
+    held = {r["template"]: (r["n"], r["all"]) for r in rows.select("template", F.size("words").alias("n"), "all").collect()}
+    for r in keyed(rows.select("template", "words"), 1).select("template", "p", "bands", "ones").collect():
+        if held[r["template"]][0] < WINDOW + SHINGLE - 1:
+            found[r["ones"][0], r["template"]].add(r["p"])
+        elif r["p"] + WINDOW + SHINGLE - 1 <= held[r["template"]][0]:
+            for key in r["bands"]:
+                found[key, r["template"]].add(r["p"])
+    if len(found) > MOST_KEYS:
+        raise ValueError(f"the templates make {len(found)} keys, over {MOST_KEYS}: scan with fewer at a time")
+    keys = [(key, t, *held[t], sorted(places)) for (key, t), places in found.items()]
+    return spark.createDataFrame(keys, "key long, template string, length int, template_shingles array<long>, places array<int>")
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
