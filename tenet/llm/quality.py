@@ -1,9 +1,10 @@
 """Quality rules by weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of vote patterns
-estimates each rule's accuracy in both classes and the share of good documents, without labels; the posterior probability of
-good replaces "all rules must pass". There are at most 3^rules patterns whatever the input, so only their counts are gathered,
-and the posteriors go back as a table of that size.
+Each rule votes good (1), bad (-1) or abstains (0) on a document. Most rules look for one defect and abstain where they find
+none, since the absence of one defect is no sign that there is no other. Expectation-maximisation over the counts of vote
+patterns estimates, without labels, how often each rule votes which way on good and on bad documents, and the share of good
+ones; the posterior probability of good replaces "all rules must pass". There are at most 3^rules patterns whatever the input,
+so only their counts are gathered, and the posteriors go back as a table of that size.
 
 Cases: null and empty texts have no words: base_failed, not kept. Repeated rows and ties are judged alike, each by its own
 text. On an empty table EM has nothing to fit and the result is empty. Other columns are carried, whatever their names;
@@ -12,6 +13,8 @@ a name that the statistics need is refused by `judge` only where the caller asks
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Sequence
 
@@ -27,7 +30,9 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 TYPE = pa.struct([*[(c, pa.int64()) for c in STATS], ("pattern", pa.int32())])
 #: Windows of words that count as repeated when a text has them twice.
 WINDOW = 5
-RULES = ("length", "symbols", "duplicate lines", "repetition", "word length", "sentences", "distinct words", "lines")
+RULES = ("length", "symbols", "clean words", "duplicate lines", "repetition", "distinct words", "word length", "sentences")
+#: A word of letters with at most one mark after it.
+CLEAN = re.compile(r"(?<!\S)[\"'(]?[^\W\d_]+[.,;:!?)\"']?(?!\S)")
 
 
 def stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -62,18 +67,18 @@ def votes(text: str | None, s: Sequence[int]) -> list[int]:
         return [-1, 0, 0, 0, 0, 0, 0, 0]
     lines = text.count("\n") + 1
     ends = text.count(". ") + text.count(".\n") + text.endswith(".") + text.count("! ") + text.count("? ")
-    per = symbols / n
+    clean = len(CLEAN.findall(text)) / n
+    distinct = len(set(text.split())) / n if n >= 20 else 1.0
     mean = chars / n
-    distinct = len(set(text.split())) / n if n >= 20 else None
     return [
-        1 if n >= 30 else -1 if n < 10 else 0,
-        -1 if per > 0.2 else 1 if per < 0.02 else 0,
-        -1 if dup >= 3 and dup > 0.3 * lines else 1 if dup == 0 and lines > 2 else 0,
-        -1 if repeat > 0.2 * n else 1 if repeat < 0.05 * n else 0,
-        -1 if mean > 12 or mean < 2 else 1 if 3 <= mean <= 9 else 0,
+        -1 if n < 10 else 0,
+        -1 if symbols > 0.1 * n else 0,
+        -1 if clean < 0.65 else 1 if clean > 0.95 else 0,
+        -1 if dup >= 3 and dup > 0.3 * lines else 0,
+        -1 if repeat > 0.2 * n else 0,
+        -1 if distinct < 0.2 and n < 1000 else 0,
+        -1 if mean > 12 or mean < 2 else 0,
         -1 if n >= 40 and ends * 80 < n else 1 if ends * 25 >= n else 0,
-        0 if distinct is None else -1 if distinct < 0.2 else 1 if distinct > 0.4 or n > 400 else 0,
-        -1 if lines > 10 and n < 2 * lines else 1 if n >= 8 * lines else 0,
     ]
 
 
@@ -94,33 +99,32 @@ def judged(texts: pa.Array) -> pa.Array:
     return struct_array(rows, TYPE)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, rules: int = len(RULES)) -> tuple[np.ndarray, dict]:
-    """Dawid-Skene EM with abstention: the posterior of good for each pattern, and what was estimated.
+#: Prior shares of the votes bad, none, good on good and on bad documents, and of good documents; the prior counts as
+#: PRIOR_WEIGHT of the documents, so rules keep their direction and no class takes the place of the other.
+PRIOR = {1: (0.01, 0.39, 0.60), -1: (0.40, 0.40, 0.20)}
+PRIOR_GOOD, PRIOR_WEIGHT = 0.8, 0.1
 
-    Starts from rules that are right in 8 of 10 votes and from 8 of 10 documents being good; counts are smoothed by that prior,
-    so a rule that never votes keeps it. Of the two mirror images, the start selects the one where rules are better than chance."""
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, rules: int = len(RULES)) -> tuple[np.ndarray, dict]:
+    """EM of the two-class model with a rule's three outcomes: the posterior of good for each pattern, and what was estimated."""
     v = np.array([decode(p, rules) for p in patterns], int).reshape(-1, rules)
-    right = {1: np.full(rules, 0.8), -1: np.full(rules, 0.8)}  # P(vote is y | it votes, class y)
-    good, strength = 0.8, 4.0
-    post = np.zeros(len(v))
+    total, post, good = counts.sum(), np.zeros(len(v)), PRIOR_GOOD
+    shares = {y: np.tile(np.array(PRIOR[y])[:, None], (1, rules)) for y in PRIOR}  # outcome x rule
+    at = np.arange(rules)
     for _ in range(rounds):
-        def loglik(y: int) -> np.ndarray:
-            agree, differ = np.log(right[y]), np.log(1 - right[y])
-            return (v == y) @ agree + (v == -y) @ differ
-
-        a, b = np.log(good) + loglik(1), np.log(1 - good) + loglik(-1)
+        a = math.log(good) + np.log(shares[1][v + 1, at]).sum(axis=1)
+        b = math.log(1 - good) + np.log(shares[-1][v + 1, at]).sum(axis=1)
         new = 1 / (1 + np.exp(np.clip(b - a, -700, 700)))
-        if len(v):
-            w = {1: counts * new, -1: counts * (1 - new)}
-            for y in (1, -1):
-                hit, cast = w[y] @ (v == y), w[y] @ (v != 0)
-                right[y] = np.clip((hit + 0.8 * strength) / (cast + strength), 0.01, 0.99)
-            good = float(np.clip((w[1].sum() + 8) / (counts.sum() + 10), 0.02, 0.98))
-        done = len(new) == 0 or np.abs(new - post).max() < 1e-9
+        weight = PRIOR_WEIGHT * total + 1
+        for y, w in ((1, counts * new), (-1, counts * (1 - new))):
+            cast = np.stack([w @ (v == k) for k in (-1, 0, 1)]) + weight * np.array(PRIOR[y])[:, None]
+            shares[y] = cast / cast.sum(axis=0)
+        good = float((counts @ new + weight * PRIOR_GOOD) / (total + weight))
+        done = not len(new) or np.abs(new - post).max() < 1e-9
         post = new
         if done:
             break
-    return post, {"good": good, "right_on_good": right[1], "right_on_bad": right[-1]}
+    return post, {"good": good, "on_good": shares[1], "on_bad": shares[-1]}
 
 
 def judge(spark: SparkSession, docs: DataFrame, carry: Sequence[str] = ("doc_id",), threshold: float = 0.5, text_column: str = "text") -> DataFrame:
