@@ -500,3 +500,102 @@ def valid_spans(spark, sf):
     """The general parser of time contexts (any form), against the plain one."""
     c = star.events(spark, sf)
     return c.select("tx", validtime.spans(F.col("contexts")).alias("spans"))
+
+
+# --- movement: search, sync, connect, score, pages ---
+
+
+@add("select doc_id from documents where (' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ') like '% rights reserved %'")
+def search_phrase(spark, sf):
+    from tenet.operators.sync import has_phrase
+
+    return star.table(spark, sf, "documents").where(has_phrase(F.col("text"), "Rights reserved")).select("doc_id")
+
+
+@add(events("select count(*) as rows, count(distinct tx) as ids from k"))
+def sync_union(spark, sf):
+    """Two overlapping parts of a store, merged, are the store."""
+    from tenet.operators.sync import merged
+
+    c, n = star.events(spark, sf), F.conv(F.substring("tx", -12, 12), 16, 10).cast("long")
+    return merged(c.where(n % 3 != 0), c.where(n % 2 == 0).unionByName(c.where(n % 3 == 0))).agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+
+
+TEMPLATE = "customer/?c_custkey HAS balance: ?c_acctbal\ncustomer/?c_custkey LIVES-IN nation/?c_nationkey"
+
+
+@add("select 'customer/' || c_custkey as subject, 'HAS' as verb, 'balance' as attribute, null as object, c_acctbal as value_num from customer union all select 'customer/' || c_custkey, 'LIVES-IN', null, 'nation/' || c_nationkey, null from customer")
+def connect_map(spark, sf):
+    from tenet.operators.connect import mapped, parse_template
+
+    out = mapped(star.table(spark, sf, "customer"), parse_template(TEMPLATE), "crm", ["c_custkey"])
+    return out.select("subject", "verb", "attribute", "object", "value_num")
+
+
+@add("select 'append' as what, count(*) as n from customer where c_custkey % 10 = 0 union all select 'retract', count(*) from customer where c_custkey % 10 = 0 and c_nationkey <> 0")
+def connect_diff(spark, sf):
+    """Every tenth customer moves to nation 0: its record is mapped anew, and where it moved its former nation is retracted."""
+    from tenet.operators.connect import incremental, mapped, parse_template
+    from tenet.schema import conform
+
+    old = star.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    new = old.withColumn("c_nationkey", F.when(F.col("c_custkey") % 10 == 0, F.lit(0)).otherwise(F.col("c_nationkey")))
+    line = parse_template("customer/?c_custkey LIVES-IN nation/?c_nationkey")
+    before, after = mapped(old, line, "crm", ["c_custkey"]), mapped(new, line, "crm", ["c_custkey"])
+    held = conform(before.withColumn("tx", F.col("record"))).withColumn("record", F.col("tx"))
+    known = before.select("record", "digest").where(F.col("record").cast("long") % 10 != 0)
+    append, retract = incremental(held, after, known)
+    return append.agg(F.count("*").alias("n")).select(F.lit("append").alias("what"), "n").union(retract.agg(F.count("*").alias("n")).select(F.lit("retract").alias("what"), "n"))
+
+
+@add("select 'customer/' || c_custkey as c, c_acctbal as value_num from customer where c_acctbal > 9000")
+def federated(spark, sf):
+    from tenet.operators.connect import federated as run
+    from tenet.operators.connect import parse_template
+
+    empty = star.star(spark, sf).where("verb = 'PLACES'").limit(0)
+    records = star.table(spark, sf, "customer")
+    return run(spark, empty, records, parse_template(TEMPLATE), "crm", ["c_custkey"], "?c HAS balance: _\nWHERE value > 9000").select("c", F.col("row_value_num").alias("value_num"))
+
+
+@add(events("select count_if(value_num < 100)::bigint as hit, count(*) as produced, count(*) as golden from cur"))
+def eval_prf(spark, sf):
+    """Current beliefs against golden ones in which values of 100 and more differ."""
+    from tenet.operators.sync import score
+
+    c = belief.current(star.events(spark, sf))
+    golden = c.withColumn("value_num", F.when(F.col("value_num") < 100, F.col("value_num")).otherwise(F.col("value_num") + 1))
+    return score(c, golden).select("hit", "produced", "golden")
+
+
+@add()
+def html_text(spark, sf):
+    from tenet.sources.html import page
+
+    return star.table(spark, sf, "pages").select("page_id", page(F.col("html")).alias("p")).select("page_id", "p.title", "p.text")
+
+
+@add(relations("select subject as path, subject, verb, object from rel where verb = 'CONTAINS'"))
+def text_ingest(spark, sf):
+    """Documents read as claim text: their lines that are claims (lenient; most lines are none)."""
+    from tenet.sources.text import parse_table
+
+    lines = star.star(spark, sf).where("verb = 'CONTAINS'").select(F.concat_ws(" ", "subject", "verb", "object").alias("line"), F.col("subject").alias("path"))
+    docs = lines.groupBy("path").agg(F.concat_ws("\n", F.array_sort(F.collect_list("line"))).alias("text"))
+    return parse_table(docs).select("path", "subject", "verb", "object")
+
+
+@add(events("select subject || ' HAS ' || case when negated then 'NOT ' else '' end || attribute as head, count(*) as n from cur where sensitivity <= 1 group by 1"))
+def export_text(spark, sf):
+    from tenet.store import emitted
+
+    rows = belief.visible(belief.current(star.events(spark, sf)), "internal")
+    return rows.groupBy(F.substring_index(emitted(), ":", 1).alias("head")).agg(F.count("*").alias("n"))
+
+
+@add(events("select subject, attribute, claim_key from k"))
+def json_records(spark, sf):
+    """Through JSON records and back."""
+    from tenet.store import from_records, records
+
+    return from_records(records(star.events(spark, sf))).select("subject", "attribute", "claim_key")

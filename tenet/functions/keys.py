@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def json_text(c: Column) -> Column:
     """A string as JSON writes it: quotes, backslashes and control characters escaped."""
-    inner = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
-    for char, escaped in (("\n", r"\\\\n"), ("\r", r"\\\\r"), ("\t", r"\\\\t")):
+    inner = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
+    for char, escaped in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):
         inner = F.regexp_replace(inner, char, escaped)
     return F.concat(F.lit('"'), inner, F.lit('"'))
 

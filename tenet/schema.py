@@ -52,7 +52,7 @@ def conform(df: DataFrame) -> DataFrame:
 
             c = claim_key()
         elif f.name == "id":
-            c = F.col("tx")
+            c = F.col("tx") if "tx" in have else F.lit(None).cast("string")
         else:
             c = F.lit(DEFAULTS.get(f.name)).cast(f.dataType)
         out.append(c.alias(f.name))
