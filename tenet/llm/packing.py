@@ -186,7 +186,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, en
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     arrow_sized(spark)
     cut = pieces(tokenizer_path, end_id, room)
-    rows = docs.select("doc_id", cut("text").alias("p")).select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+    # The outer form: for the plain one the optimizer infers a filter on the pieces, for which every text would be encoded twice.
+    rows = docs.select("doc_id", cut("text").alias("p")).select("doc_id", F.explode_outer("p").alias("p")).select("doc_id", "p.*")
     rows = staged(spark, rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-rows.where(F.col("length") < room).count() // GROUP))
     short = rows.where(F.col("length") < room).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
