@@ -17,6 +17,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+#: What a Python worker keeps between tasks and can do without: functions that drop it.
+KEPT: list = []
+
+
+def forget() -> None:
+    """Give back what other operators' tasks have left in this worker, and Arrow's unused memory."""
+    import pyarrow as pa
+
+    for drop in KEPT:
+        drop()
+    pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -50,15 +63,35 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and is computed once."""
     path = new_path(spark, name)
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this process has staged and not deleted.
+STAGED: list[str] = []
+
+
+def release(spark: SparkSession, paths: list[str], *kept: DataFrame) -> None:
+    """Delete these staged tables but those that the given frames read: for callers that have written what was made of them."""
+    needed = {f.rpartition("/")[0].rpartition("tenet/")[2] for df in kept for f in df.inputFiles()}
+    for path in [p for p in paths if p in STAGED and p.rpartition("tenet/")[2] not in needed]:
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in STAGED:
+        STAGED.remove(path)
+
+
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
         for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            name = f.rpartition("tenet/")[2]
+            for path in [p for p in STAGED if p.endswith("tenet/" + name)]:
+                delete(spark, path)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenet.llm.common import arrow_sized, spark_type, staged, struct_array
+from tenet.llm.common import arrow_sized, forget, spark_type, staged, struct_array
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the method adds.
@@ -178,6 +178,7 @@ def found_in(text: str | None) -> tuple:
 
 @F.arrow_udf(spark_type(TYPE))
 def extracted(texts: pa.Array) -> pa.Array:
+    forget()
     return struct_array([found_in(t) for t in texts.to_pylist()], TYPE)
 
 

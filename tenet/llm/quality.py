@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenet.llm.common import BLANKS, arrow_sized, spark_type, staged, struct_array
+from tenet.llm.common import BLANKS, arrow_sized, forget, spark_type, staged, struct_array
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -92,6 +92,7 @@ def decode(pattern: int, rules: int = len(RULES)) -> list[int]:
 
 @F.arrow_udf(spark_type(TYPE))
 def judged(texts: pa.Array) -> pa.Array:
+    forget()
     rows = []
     for t in texts.to_pylist():
         s = stats(t)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh64_intdigest
 
-from tenet.llm.common import arrow_sized, staged
+from tenet.llm.common import arrow_sized, forget, staged
 from tenet.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -63,6 +63,7 @@ def fingerprint(text: str | None) -> int:
 @F.arrow_udf(T.LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     """The fingerprints' bits as signed longs."""
+    forget()
     return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
 

@@ -12,12 +12,14 @@ from functools import lru_cache
 
 import numpy as np
 
+from tenet.llm.common import KEPT
+
 #: Where white space differs between Python's str.split and the pre-tokenizers' \s, texts go through the library whole.
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿\x00]")
 #: No text has this character between units: the units that hold it are encoded alone.
 MARK = "\x02"
 #: A cache is emptied at so many units; each takes about 200 bytes.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 600_000
 
 
 class Encoder:
@@ -89,3 +91,6 @@ class Encoder:
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
     """One encoder a Python worker, kept between tasks."""
     return Encoder(path, dtype)
+
+
+KEPT.append(encoder.cache_clear)
