@@ -223,13 +223,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from the first `rows` labelled training rows by hash of doc_id; equal texts of one doc_id count once."""
+    """Learn from the first `rows` labelled training rows by hash of doc_id; of several texts of one doc_id the least counts, and null texts teach nothing."""
     seen = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
-    # Its texts come to the driver one partition at a time.
-    got = {(r["doc_id"], r["text"]): int(r["toxic"] > 0) for r in sample.toLocalIterator()}
-    return learn((text, y) for (_, text), y in sorted(got.items(), key=lambda x: (x[0][0], x[0][1] or "")))
+    # A row for each doc_id, however often it repeats; they come to the driver one partition at a time.
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    got = sorted((r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in sample.where("text is not null").toLocalIterator())
+    return learn((text, y) for _, text, y in got)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, column: str = "text") -> Column:
