@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tenet.llm import pii, simhash
+from tenet.llm import nearcopies, pii, simhash
 
 
 def test_stages(spark, sf, tmp_path):
@@ -33,3 +33,66 @@ def test_empty(spark, sf, tmp_path):
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.count() == 0
+
+
+def brute_near_copies(rows):
+    """Smallest doc_id of each component of texts with 5-word Jaccard similarity of 0.8 or more; the pairs of different texts."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    held, up, pairs = [(i, shingles(t)) for i, t in sorted(rows)], {i: i for i, _ in rows}, []
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, (i, a) in enumerate(held):
+        for j, b in held[:n]:
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                pairs.append((i, j))
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return {root(i) for i, _ in rows}, pairs
+
+
+def altered(i):
+    """Chains of edits, each of which changes up to five shingles of the 60: most differ from the base in more than 3 bits."""
+    base = [f"w{i // 6}x{k}" for k in range(64)]
+    for e in range(i % 6):
+        base[7 + 11 * e] = f"edit{e}"
+    return " ".join(base)
+
+
+def test_near_copies_by_jaccard(spark):
+    rows = [(i, altered(i)) for i in range(240)]
+    want, pairs = brute_near_copies(rows)
+    prints = {i: simhash.fingerprint(t) for i, t in rows}
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in pairs) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_near_copies_of_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 2000")
+    want, _ = brute_near_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == want
+
+
+def test_near_copies_in_parts(spark):
+    """A bucket that is dealt over parts has the links of one task."""
+    rows = [(i, altered(i % 6), altered(i % 6).split()) for i in range(40)]
+    nodes = [(i, 60, [7]) for i, _, _ in rows]
+    args = spark.createDataFrame(nodes, "row long, n long, bands array<long>"), spark.createDataFrame([r[:2] for r in rows], "row long, text string")
+    joined = nearcopies.Groups()
+    for r in nearcopies.links(spark, *args, tree=7).collect():
+        joined.join(r["a"], r["b"])
+    assert len({joined.find(i) for i, _, _ in rows}) == 1
+
+
+def test_near_copies_awkward(spark):
+    rows = [(None, "one two three"), (4, "one two three"), (3, None), (2, " "), (5, "One  TWO three"), (6, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(spark, docs).collect()) == [2, 4, 6]
