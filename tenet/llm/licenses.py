@@ -4,9 +4,9 @@ containment verifies them.
 A text's words (letters and digits, lower case) make 5-word shingles, each one 64-bit hash. Windows of eight shingles begin at
 every fourth; each has twelve minima of (hash xor a fixed mask), two to a band. A window that equals one of a template's
 shares all six bands with it; windows of similarity s share one with probability 1 - (1 - s^2)^6: 0.998 at 0.8, 0.9996 at 0.85.
-Templates are indexed at every offset, so an unaltered window is found wherever it lies. A template of fewer than eight
-shingles, shorter than a window, is indexed by windows of one shingle, whose minimum under any mask is the shingle itself:
-there the probability is 1 - (share of shingles lost)^n, and 1 for a single unaltered shingle.
+Templates are indexed at every offset, so an unaltered window is found wherever it lies. A template
+of fewer than fifteen words may hold no whole window that begins at a text's fourth place; it is indexed by single shingles,
+of which a text has every one, so any unaltered shingle finds it.
 
 Each hit names a template and where it would begin; the shingles of that stretch of the text (a quarter longer at both ends)
 are then compared with the template's, exactly. Matches have at least `least` of the template's distinct shingles.
@@ -85,7 +85,7 @@ def index(spark: SparkSession, templates: Mapping[str, str] = TEMPLATES) -> Data
     found: dict[tuple[int, str], set[int]] = defaultdict(set)
     held = {r["template"]: (r["n"], r["all"]) for r in rows.select("template", F.size("words").alias("n"), "all").collect()}
     for r in keyed(rows.select("template", "words"), 1).select("template", "p", "bands", "ones").collect():
-        if held[r["template"]][0] < WINDOW + SHINGLE - 1:
+        if held[r["template"]][0] < WINDOW + SHINGLE - 1 + STRIDE - 1:
             found[r["ones"][0], r["template"]].add(r["p"])
         elif r["p"] + WINDOW + SHINGLE - 1 <= held[r["template"]][0]:
             for key in r["bands"]:

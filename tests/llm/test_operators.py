@@ -545,6 +545,30 @@ def test_licences_near_copies(spark):
     assert len(want) > 60 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_licences_short_in_mid_text(spark):
+    rng, rows = random.Random(4), []
+    templates = licenses.TEMPLATES | {f"of {n} words": " ".join(f"notice{n}x{k}" for k in range(n)) for n in range(5, 17)}
+    for name, text in templates.items():
+        w = text.split()
+        if len(w) > 16:
+            continue
+        for before in range(8):
+            for change in (None, 0, -1):
+                own = [*w]
+                if change is not None:
+                    own[change] = "altered"
+                rows.append((len(rows), name, " ".join([*[f"n{rng.randrange(10**9)}" for _ in range(before)], *own, *[f"n{rng.randrange(10**9)}" for _ in range(20)]]), change))
+    docs = spark.createDataFrame([(i, t) for i, _, t, _ in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["template"]) for r in licenses.scan(spark, docs, templates).collect()}
+
+    def n_shingles(name):
+        return len([w for w in re.split(r"[^a-z0-9]+", templates[name].lower()) if w]) - licenses.SHINGLE + 1
+
+    # An altered word at an end costs one shingle; from fifteen words on, altered notices are found by chance.
+    sure = {(i, k) for i, k, _, change in rows if n_shingles(k) > 0 and (change is None or 5 <= n_shingles(k) <= 10)}
+    assert len(sure) > 150 and not sure - got
+
+
 def test_licences_awkward(spark, docs, none):
     assert [r["template"] for r in licenses.scan(spark, docs).collect()] == ["MIT short"]
     assert licenses.scan(spark, none).count() == 0
