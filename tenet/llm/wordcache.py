@@ -2,7 +2,8 @@
 
 A unit is a stretch of text that the tokenizer's own pre-tokenizer always encodes by itself, whatever stands around it.
 Each distinct unit goes through the library once while it is cached; a text that cannot be cut into such units goes through
-the library whole. Ids are therefore always the library's.
+the library whole, and so does one that holds an added token's content (`<|endoftext|>`), which the library takes for that token.
+Ids are therefore always the library's, with its defaults but for add_special_tokens=False.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.dtype, self.cache_units = np.dtype(dtype), cache_units
         self.cache: dict[str, bytes] = {}
         lower = self.library.normalizer is not None
-        self.units = self._split_words if lower else self._split_spaced
+        self.split = self._split_words if lower else self._split_spaced
+        #: In lower case, as a normalizer may make them.
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.angled = all(a.startswith("<") for a in self.added)  # then most texts need no search
         #: Between joined units stands a mark that the pre-tokenizer always takes alone; its ids are found again in the result.
         self.mark = f" {MARK} " if lower else f" {MARK}"
         self.mark_ids = self.library.encode("a" + self.mark, add_special_tokens=False).ids[1:]
@@ -58,6 +61,10 @@ class Encoder:
         raw, width = ids.tobytes(), self.dtype.itemsize
         return [raw[s * width : e * width] for s, e in zip(starts, ends, strict=True)]
 
+    def units(self, text: str) -> list[str] | None:
+        low = text.lower() if "<" in text or not self.angled else ""
+        return None if low and any(a in low for a in self.added) else self.split(text)
+
     @staticmethod
     def _split_words(text: str) -> list[str] | None:
         """For a pre-tokenizer that drops white space: its words. Odd blanks: None."""

@@ -57,6 +57,19 @@ def test_encoder_equals_library(spark, sf, name):
         assert enc.encode([*rows, *odd]) == enc.whole([*rows, *odd])
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_added_tokens(name):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer(name))  # its defaults, as the contract has them
+    rows = ["end <|endoftext|> x", "a<|endoftext|>b", "<|ENDOFTEXT|> y", "<|startoftext|> z <|endoftext|>", "a < b", "<|endof text|>", "<|endoftext|>\n\n  x", "x <", "end"]
+    enc = Encoder(queries.tokenizer(name))
+    for _ in range(2):
+        assert enc.encode(rows) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(rows[:1])][0]
+    assert any(i in ids for i, t in library.get_added_tokens_decoder().items() if t.content == "<|endoftext|>")
+
+
 def test_perfect_hash():
     rng = random.Random(1)
     keys = np.array(sorted({rng.getrandbits(64) for _ in range(20_000)}), np.uint64)
