@@ -7,7 +7,7 @@ code before the code width would grow, so encoding and decoding are array operat
 the samples of all frames back.
 
 LZW decoding: between two clear codes, the width of each code follows from its position alone, so a whole run is cut out at
-once; each entry is a stretch of the run's own output (where its prefix began, one longer), so no dictionary is kept.
+once, and a run that goes on with a full table in further cuts; each entry is a stretch of the run's own output (where its prefix began, one longer), so no dictionary is kept.
 
 Cases: null text is stored as empty. Empty payloads are padded to 64 bytes. A payload over 64 x 65535 samples takes several
 frames. Equal texts give equal values in every column. Broken files raise ValueError from `decode`; `decode_media` marks them.
@@ -32,7 +32,7 @@ from tenet.llm.common import arrow_sized, spark_type, struct_array
 WIDTH, MOST_ROWS = 64, 65535
 #: The width of literal codes, and codes between clear codes: the next entry would be number 512.
 BITS, CLEAR, END, RUN = 9, 256, 257, 254
-#: Codes that decoding cuts out at once: no run between clear codes grows a table further.
+#: Codes that decoding cuts out at once. Longer runs go on with a full table, at 12 bits.
 CUT = 8192
 
 
@@ -55,24 +55,30 @@ def unlzw(data: bytes, min_bits: int, n_out: int) -> np.ndarray:
         return fast
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
     out, n, at = np.zeros(n_out, np.uint8), 0, 0
+    first, starts, lengths = 0, [], []
     while n < n_out:
-        codes, offsets = _cut(bits, at, min_bits)
+        codes, offsets = _cut(bits, at, min_bits, first)
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         k = int(stop[0]) if len(stop) else len(codes)
-        n = _expand(codes[:k], clear, out, n)
-        if k == len(codes) or codes[k] == clear + 1:
+        n = _expand(codes[:k], clear, out, n, first, starts, lengths)
+        if k < len(codes):
+            if codes[k] == clear + 1:
+                break
+            at, first, starts, lengths = int(offsets[k + 1]), 0, [], []
+        elif k < CUT:
             break
-        at = int(offsets[k + 1])
+        else:
+            at, first = int(offsets[k]), first + CUT
     if n < n_out:
         raise ValueError(f"a code stream ends after {n} of {n_out} samples")
     return out
 
 
-def _cut(bits: np.ndarray, at: int, min_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All codes from a clear code on, as if none followed: their values, and where each begins (one more)."""
+def _cut(bits: np.ndarray, at: int, min_bits: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The next CUT codes, of which the first has that number since a clear code, as if none followed: values, and where each begins (one more)."""
     clear = 1 << min_bits
     # When code i is read (from 0), entries up to clear + 1 + max(i - 1, 0) exist.
-    entries = clear + 2 + np.maximum(np.arange(CUT) - 1, 0)
+    entries = clear + 2 + np.maximum(np.arange(first, first + CUT) - 1, 0)
     widths = np.minimum(np.maximum(min_bits + 1, np.floor(np.log2(entries)).astype(np.int64) + 1), 12)
     offsets = at + np.concatenate([[0], np.cumsum(widths)])
     usable = int(np.searchsorted(offsets, len(bits), side="right")) - 1
@@ -84,12 +90,10 @@ def _cut(bits: np.ndarray, at: int, min_bits: int) -> tuple[np.ndarray, np.ndarr
     return codes, offsets
 
 
-def _expand(codes: np.ndarray, clear: int, out: np.ndarray, n: int) -> int:
-    """Append a run's strings to out from n on; returns the new length."""
-    starts: list[int] = []
-    lengths: list[int] = []
+def _expand(codes: np.ndarray, clear: int, out: np.ndarray, n: int, first: int, starts: list[int], lengths: list[int]) -> int:
+    """Append the strings of codes to out from n on; returns the new length. starts and lengths: of the run's strings before, and then of these."""
     most = 4096 - clear - 2
-    for i, c in enumerate(codes.tolist()):
+    for i, c in enumerate(codes.tolist(), first):
         if n >= len(out):
             break
         starts.append(n)

@@ -184,8 +184,8 @@ def test_quality_awkward(spark, docs, none):
 # --- GIF ---
 
 
-def plain_lzw(data, bits):
-    """A textbook encoder, which fills its table before it clears."""
+def plain_lzw(data, bits, defer=False):
+    """A textbook encoder, which fills its table before it clears, or never clears."""
     clear, acc, n = 1 << bits, 0, 0
 
     def emit(code, width):
@@ -204,7 +204,7 @@ def plain_lzw(data, bits):
             table[cur + bytes([b])] = free
             width += free == 1 << width and width < 12
             free += 1
-        else:
+        elif not defer:
             emit(clear, width)
             table, free, width = {bytes([i]): i for i in range(clear)}, clear + 2, bits + 1
         cur = bytes([b])
@@ -222,6 +222,17 @@ def test_lzw(bits):
     assert bytes(gif.unlzw(gif.lzw_literals(np.arange(256, dtype=np.uint8)), 8, 256)) == bytes(range(256))
 
 
+@pytest.mark.parametrize("bits", [2, 4, 8])
+def test_lzw_deferred_clear(bits):
+    rng = random.Random(bits)
+    data = bytes(rng.choices(range(1 << bits), k=120_000))
+    code = plain_lzw(data, bits, defer=True)
+    assert len(code) * 8 > 12 * 2 * gif.CUT
+    assert bytes(gif.unlzw(code, bits, len(data))) == data
+    with pytest.raises(ValueError):
+        gif.unlzw(code[: len(code) // 2], bits, len(data))
+
+
 def animated():
     """Two 2 x 2 frames: red and green; then blue over one pixel, with a transparent one, after disposal to background."""
     palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
