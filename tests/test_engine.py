@@ -280,3 +280,17 @@ def test_catalogue(spark, sf, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 298
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rule_fixpoint_takes_all_customers(spark):
+    sf = "/root/testdata/sf0.01"  # 1500 customers
+    up = {k: 3 if k == 1 else k // 2 for k in (r["c_custkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()) if k > 0}
+    want = set()
+    for k in up:
+        x, seen = k, set()
+        while x in up and up[x] not in seen:
+            x = up[x]
+            seen.add(x)
+        want |= {(f"customer/{k}", f"customer/{x}") for x in seen}
+    got = [tuple(r) for r in catalogue.QUERIES["rule_fixpoint"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
