@@ -95,6 +95,9 @@ def disagreements(claims: DataFrame, representatives: DataFrame) -> DataFrame:
 
 # --- alias discovery ---
 
+#: A part of a block holds about so many names.
+BLOCK = 2000
+
 
 def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"^.*/", "")), r"[^a-z0-9]+", " "))
@@ -103,19 +106,20 @@ def normal(c: Column) -> Column:
 def suggest(entities: DataFrame, known: DataFrame | None = None, least: float = 0.7, top: int | None = None) -> DataFrame:
     """(a, b, score, signal) of names that may be one thing, from a column `name`.
 
-    Blocks: first character with length band, last four characters, and each token; only pairs of a block are compared, once.
+    Blocks: first character, last four characters (of names of five or more), and each token; only pairs of a block are
+    compared, once. A block of more than BLOCK names is dealt over parts, each compared with the whole block.
     Signals: equal when normalised 1.0, the same tokens reordered 0.9, a subset of tokens 0.7, one the other's beginning by the
     share of its length, and edit similarity of at least 0.75. Names that differ in digits alone are no aliases."""
     names = entities.select("name", normal(F.col("name")).alias("norm")).where("norm <> ''").distinct()
-    tokens = F.split("norm", " ")
-    band = F.floor(F.length("norm") / 4).cast("string")
-    first = F.concat(F.lit("p:"), F.substring("norm", 1, 5), F.lit(":"), band)
-    last = F.concat(F.lit("s:"), F.right(F.col("norm"), F.lit(4)), F.lit(":"), F.substring("norm", 1, 1))
-    words = F.concat(F.lit("t:"), F.array_join(F.array_sort(F.array_distinct(tokens)), " "))
+    first = F.array(F.concat(F.lit("p:"), F.substring("norm", 1, 1)))
+    last = F.when(F.length("norm") >= 5, F.array(F.concat(F.lit("s:"), F.right(F.col("norm"), F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.split("norm", " "), lambda t: F.concat(F.lit("t:"), t))
     flat = F.concat(F.lit("e:"), F.regexp_replace("norm", " ", ""))
-    keyed = names.select("name", "norm", F.explode(F.array_distinct(F.array(first, last, words, flat))).alias("block"))
-    other = keyed.select("block", F.col("name").alias("name_b"), F.col("norm").alias("norm_b"))
-    pairs = keyed.join(other, "block").where("name < name_b").select("name", "name_b", "norm", "norm_b").distinct()
+    keyed = names.select("name", "norm", F.explode(F.array_distinct(F.concat(first, last, words, F.array(flat)))).alias("block"))
+    sizes = keyed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    keyed = keyed.join(sizes, "block")
+    other = keyed.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("name_b"), F.col("norm").alias("norm_b"))
+    pairs = keyed.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).join(other, ["block", "part"]).where("name < name_b").select("name", "name_b", "norm", "norm_b").distinct()
     a, b = F.col("norm"), F.col("norm_b")
     letters = lambda c: F.regexp_replace(c, "[0-9]", "")
     pairs = pairs.where((a == b) | (letters(a) != letters(b)))

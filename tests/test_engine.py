@@ -294,3 +294,13 @@ def test_rule_fixpoint_takes_all_customers(spark):
         want |= {(f"customer/{k}", f"customer/{x}") for x in seen}
     got = [tuple(r) for r in catalogue.QUERIES["rule_fixpoint"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("block", [2000, 2])
+def test_alias_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(shape, "BLOCK", block)
+    names = ["acme", "acme corporation", "kubernetes", "jubernetes", "postgres", "pstgres", "other"]
+    found = shape.suggest(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert sorted((r["a"], r["b"], r["signal"]) for r in found) == [("acme", "acme corporation", "beginning"), ("jubernetes", "kubernetes", "edit"), ("postgres", "pstgres", "edit")]
+    rest = shape.suggest(spark.createDataFrame([("north acme works",), ("works acme",)], "name string")).collect()
+    assert [(r["a"], r["b"], r["score"], r["signal"]) for r in rest] == [("north acme works", "works acme", 0.7, "subset")]
