@@ -42,7 +42,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Generators of further candidates.
 GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]{2,6}[-_])?(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9])", re.ASCII),
+    "secret": re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]{2,6}[-_])?(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+", re.ASCII),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", re.ASCII),
     "national_phone": re.compile(r"(?<![0-9+])(?<!\+1 )\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9-])", re.ASCII),

@@ -528,6 +528,16 @@ def test_redact_awkward(spark, docs, none):
     assert out.where("text is null").count() == 1 and pii.redact(spark, none).count() == 0
 
 
+def test_long_secrets_are_candidates():
+    rng = random.Random(3)
+    for n in (20, 128, 129, 5000):
+        token = "ya29." + "".join(rng.choices("abcXYZ0189", k=n - 1)) + "7"
+        text = f"token: {token} end"
+        assert [(s, e) for k, s, e, _ in pii.candidates(text) if k == 0] == [(12, 12 + n)]
+    dashed = "a1b2-c3d4_" * 40
+    assert [(s, e) for k, s, e, _ in pii.candidates(dashed) if k == 0] == [(0, 400)]
+
+
 # --- licences ---
 
 
