@@ -1,13 +1,13 @@
-"""What the corpus operators share: reading tables, the shared folder, staged tables, Arrow batch sizes."""
+"""What the corpus operators share: reading tables, rows' identities, Arrow batch sizes, narrow filters for wide rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenet.staging import delete, new_path, owned, stage, staged
+
 #: ASCII white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 #: A word of the contracts, for the JVM's and DuckDB's regular expressions alike.
@@ -44,62 +44,65 @@ def arrow_sized(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tenet-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not, near the given one."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tenet/{name}-{uuid.uuid4().hex}"
+def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, … and, as `file` and `at`, longs that tell its rows apart and stay the same in every scan; and
+    where each of its own columns is now. A table that is read as it stands has them in its files; others are staged first."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    try:
+        if plain:
+            rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return rows, names
+    except AnalysisException:  # a format without row numbers
+        pass
+    rows = docs.toDF(*names.values()).select("*", F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return staged(spark, rows, "rows"), names
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and is computed once."""
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bits of a `Sieve`: it is broadcast as at most a 64th as many rows of 16 bytes.
+SIEVE_BITS = 1 << 24
 
 
-#: Tables that this process has staged and not deleted.
-STAGED: list[str] = []
+class Sieve:
+    """A filter of fixed size for the ids (file, at) of a table: it lets all of them pass, and few others while they are few.
 
+    It goes ahead of a join that would shuffle whole texts, so only rows that may join are shuffled. Its size has a bound
+    whatever the number of ids; where they are very many it lets most rows pass, and the join does the work alone."""
 
-def release(spark: SparkSession, paths: list[str], *kept: DataFrame) -> None:
-    """Delete these staged tables but those that the given frames read: for callers that have written what was made of them."""
-    needed = {f.rpartition("/")[0].rpartition("tenet/")[2] for df in kept for f in df.inputFiles()}
-    for path in [p for p in paths if p in STAGED and p.rpartition("tenet/")[2] not in needed]:
-        delete(spark, path)
+    def __init__(self, ids: DataFrame, bits: int = SIEVE_BITS):
+        self.bits = bits
+        words = ids.select(*self._place())
+        self.words = words.groupBy("word").agg(F.bit_or("bit").alias("mask"))  # bits / 64 rows at most
 
+    def _place(self) -> tuple[Column, Column]:
+        """The word and the bit of an id."""
+        place = F.pmod(F.xxhash64("file", "at"), F.lit(self.bits).cast("long"))
+        return F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit")
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if path in STAGED:
-        STAGED.remove(path)
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """rows with `may`: can its id be among the ids?"""
+        out = rows.select("*", *self._place()).join(F.broadcast(self.words), "word", "left")
+        return out.withColumn("may", F.coalesce(F.col("mask").bitwiseAND(F.col("bit")) != 0, F.lit(False))).drop("word", "bit", "mask")
 
 
-def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            name = f.rpartition("tenet/")[2]
-            for path in [p for p in STAGED if p.endswith("tenet/" + name)]:
-                delete(spark, path)
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose (file, at) is among the ids."""
+    return Sieve(ids).marked(rows).where("may").drop("may").join(ids.select("file", "at"), ["file", "at"], "left_semi")
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df has not, near the given one."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
+def rows_without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose (file, at) is not among the ids: most pass without a shuffle."""
+    marked = Sieve(ids).marked(rows)
+    rest = marked.where("may").drop("may").join(ids.select("file", "at"), ["file", "at"], "left_anti")
+    return marked.where("not may").drop("may").unionByName(rest)
 
 
 def text_or_empty(column: str = "text"):
@@ -118,3 +121,6 @@ def struct_array(rows: list[tuple], kind):
     import pyarrow as pa
 
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
+
+
+__all__ = ["Sieve", "arrow_sized", "delete", "documents", "forget", "new_path", "numbered", "owned", "rows_of", "rows_without", "stage", "staged", "struct_array", "table", "text_or_empty", "unused"]

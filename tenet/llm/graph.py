@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenet.llm.common import drop_staged, staged
+from tenet.llm.common import delete, stage
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     number, and a round's result is written to the shared folder. Minima are aggregated before they are shuffled, so a hub
     meets in no single task. Rounds end when the edges stay the same."""
     directed = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = staged(spark, directed, "edges"), None
+    path, now = stage(spark, directed, "edges")
+    before = None
     while (seen := digest(now)) != before:
         before = seen
         both = now.union(now.select("b", "a"))
@@ -23,9 +24,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = staged(spark, star.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        drop_staged(spark, now)
-        now = after
+        last, (path, now) = path, stage(spark, star.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        delete(spark, last)
     roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
