@@ -76,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 OP8 = """
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-         md5('mix:' || coalesce(doc_id::varchar, '')) as key
+         md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight, source_size * 2.0::double as most from s),
@@ -90,11 +90,13 @@ t as (
   select source, source_size,
          case when o.at is null or ratio < o.at.ratio then most else least(o.at.level * weight, most) end as target
   from l cross join o),
+g as (select source, key, any_value(size) as size, count(*) as copies from d group by source, key),
 p as (
-  select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint as budget, floor(t.target)::bigint // greatest(t.source_size, 1) as whole,
-         coalesce(sum(d.size) over (partition by d.source order by d.key, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as before
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, (whole * size + greatest(0, least(budget - whole * source_size - before, size)))::bigint as taken from p
+  select g.source, g.key, g.size, g.copies, t.source_size, t.target, floor(t.target)::bigint as budget, floor(t.target)::bigint // greatest(t.source_size, 1) as whole,
+         coalesce(sum(g.size * g.copies) over (partition by g.source order by g.key rows between unbounded preceding and 1 preceding), 0)::bigint as before
+  from g join t on g.source is not distinct from t.source)
+select d.doc_id, d.size, p.source_size, p.target, (p.whole * p.size + greatest(0, least(p.budget - p.whole * p.source_size - p.before, p.size * p.copies)) // p.copies)::bigint as taken
+from d join p on d.source is not distinct from p.source and d.key = p.key
 """
 
 SQL: dict[str, str] = {"op8_source_mix": OP8}

@@ -4,12 +4,13 @@ Every shard scores a record's key; the highest score has the record. A score is
 a 64-bit hash of key and shard number, so a shard gets records in proportion to its weight, the place of a record depends on
 nothing but its key and the shards, and a further shard takes rows only into itself.
 
-Slots number a shard's rows from 0 without gaps. They are made in two steps, so no shard's rows meet in one task: rows are
-ranked inside small buckets of each shard, and buckets are offset by the counts of those before them.
+Slots number a shard's rows from 0 without gaps. Equal rows are counted together first, and dealt out again at the end in runs of
+at most RUN. Runs are put in small buckets of each shard; prefix sums inside a bucket and over the counts of the buckets before
+it give each run its first slot, so neither a shard's rows nor those of one key meet in one task.
 
 Cases: a null key is hashed like any other value, so its rows share a shard (they spread over buckets by checksum). Null text
-has size 1 and the checksum of nothing. Repeated rows are numbered apart, in any order among themselves, which gives the same
-result. An empty table gives an empty result. Other columns are ignored.
+has size 1 and the checksum of nothing. Repeated rows are numbered apart; which is which makes no difference. An empty table gives
+an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tenet.llm.common import text_or_empty
 
-#: Buckets of a shard: each holds 1/4096 of its rows.
+#: Buckets of a shard: each holds 1/4096 of its runs of rows.
 BUCKETS = 4096
+#: Equal rows in a run, at most.
+RUN = 1 << 14
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
@@ -55,11 +58,15 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], added_weight: flo
     for i, w in enumerate(weights):
         old = F.when(at == i, score(key, i, w)).otherwise(old)
     rows = rows.withColumn("grown_shard", F.when(new > old, F.lit(len(weights))).otherwise(at).cast("int"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(BUCKETS)).cast("int"))
-    counts = rows.groupBy("shard", "bucket").count()
+    alike = rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("copies"))
+    runs = alike.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.withColumn("n", F.least(F.lit(RUN).cast("long"), F.col("copies") - F.col("first")))
+    runs = runs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "first"), F.lit(BUCKETS)).cast("int"))
+    counts = runs.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(within))
-    slot = (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot")
-    return ranked.join(offsets, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "first").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, ["shard", "bucket"])
+    each = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    slot = (F.col("offset") + F.col("start") + F.col("i")).cast("long").alias("slot")
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
