@@ -2,16 +2,18 @@
 lossless storage of bytes as 8-bit samples of GIF images.
 
 `decode` follows GIF89a: global and local palettes, interlacing, graphic control (delay, disposal 0-3, transparent index), and
-the canvas that frames are put on. `store` writes bytes as samples of frames 64 wide, palette grey, literal codes with a clear
-code before the code width would grow, so encoding and decoding are array operations; any decoder reads it. `samples` reads
-the samples of all frames back.
+the canvas that frames are put on. `store` writes bytes as samples of an animation of frames 64 wide and up to 256 high, each
+an LZW stream of its own with dictionary codes of 9 to 12 bits and a clear code where the table is full. The palette spreads a
+sample's bits over red, green and blue; a frame's delay follows its height; disposal goes through the three rules in turn, and
+every second frame has a transparent colour. Samples are read back before palettes, so none of this loses a byte.
 
 LZW decoding: between two clear codes, the width of each code follows from its position alone, so a whole run is cut out at
-once, and a run that goes on with a full table in further cuts; each entry is a stretch of the run's own output (where its prefix began, one longer), so no dictionary is kept.
+once, and a run that goes on with a full table in further cuts.
 
-Cases: null text is stored as empty. Empty payloads are padded to 64 bytes. A payload over 64 x 65535 samples takes several
-frames. Equal texts give equal values in every column. Broken files raise ValueError from `decode`; `decode_media` marks them.
-Repeated rows and empty tables need nothing special; other columns are carried by name.
+Cases: null text is stored as empty. Empty payloads are padded to 64 bytes. A payload over a frame takes several. Equal texts give
+equal values in every column. Broken files raise ValueError from `decode`; `decode_media` gives null frames for them and for
+null. Repeated rows and empty tables need nothing special; other columns are carried by name, and a column of the name that is
+to be added is kept: the new one gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenet.llm.common import arrow_sized, spark_type, struct_array
+from tenet.llm.common import arrow_sized, spark_type, struct_array, unused
 
-WIDTH, MOST_ROWS = 64, 65535
-#: The width of literal codes, and codes between clear codes: the next entry would be number 512.
-BITS, CLEAR, END, RUN = 9, 256, 257, 254
+#: Samples of a row, and rows of a frame at most.
+WIDTH, MOST_ROWS = 64, 256
+CLEAR, END = 256, 257
 #: Codes that decoding cuts out at once. Longer runs go on with a full table, at 12 bits.
-CUT = 8192
+CUT = 4096
 
 
 @dataclass
 class Frame:
-    """A composited frame: rgba is height x width x 4; delay in hundredths of a second."""
+    """A composited frame: rgba is height x width x 4; delay in hundredths of a second; samples are the image's own, before palettes."""
 
     delay: int
     disposal: int
     rgba: np.ndarray
+    samples: np.ndarray
 
 
 # --- LZW ---
@@ -51,130 +55,120 @@ class Frame:
 def unlzw(data: bytes, min_bits: int, n_out: int) -> np.ndarray:
     """The samples of an LZW code stream."""
     clear = 1 << min_bits
-    if min_bits == 8 and (fast := _literal_run(data, n_out)) is not None:
-        return fast
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    out, n, at = np.zeros(n_out, np.uint8), 0, 0
-    first, starts, lengths = 0, [], []
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16  # at each byte, the next three
+    strings: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
+    parts, n, at, first, last = [], 0, 0, 0, b""
+    table = strings[:]
     while n < n_out:
-        codes, offsets = _cut(bits, at, min_bits, first)
+        codes, offsets = _cut(words, len(data) * 8, at, min_bits, first)
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         k = int(stop[0]) if len(stop) else len(codes)
-        n = _expand(codes[:k], clear, out, n, first, starts, lengths)
-        if k < len(codes):
-            if codes[k] == clear + 1:
+        got, last = _expand(codes[:k].tolist(), table, last)
+        parts += got
+        n += sum(map(len, got))
+        if k == len(codes) or codes[k] == clear + 1:
+            if k < CUT:
                 break
-            at, first, starts, lengths = int(offsets[k + 1]), 0, [], []
-        elif k < CUT:
-            break
-        else:
             at, first = int(offsets[k]), first + CUT
+        else:
+            at, first, last, table = int(offsets[k + 1]), 0, b"", strings[:]
     if n < n_out:
         raise ValueError(f"a code stream ends after {n} of {n_out} samples")
-    return out
+    return np.frombuffer(b"".join(parts)[:n_out], np.uint8)
 
 
-def _cut(bits: np.ndarray, at: int, min_bits: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The next CUT codes, of which the first has that number since a clear code, as if none followed: values, and where each begins (one more)."""
-    clear = 1 << min_bits
+@lru_cache(maxsize=64)
+def widths(first: int, n: int, min_bits: int) -> np.ndarray:
+    """Bits of n codes of which the first has that number since a clear code."""
     # When code i is read (from 0), entries up to clear + 1 + max(i - 1, 0) exist.
-    entries = clear + 2 + np.maximum(np.arange(first, first + CUT) - 1, 0)
-    widths = np.minimum(np.maximum(min_bits + 1, np.floor(np.log2(entries)).astype(np.int64) + 1), 12)
-    offsets = at + np.concatenate([[0], np.cumsum(widths)])
-    usable = int(np.searchsorted(offsets, len(bits), side="right")) - 1
-    widths, offsets = widths[:usable], offsets[: usable + 1]
-    codes = np.zeros(usable, np.int64)
-    for b in range(12):
-        has = widths > b
-        codes[has] |= bits[offsets[:-1][has] + b].astype(np.int64) << b
-    return codes, offsets
-
-
-def _expand(codes: np.ndarray, clear: int, out: np.ndarray, n: int, first: int, starts: list[int], lengths: list[int]) -> int:
-    """Append the strings of codes to out from n on; returns the new length. starts and lengths: of the run's strings before, and then of these."""
-    most = 4096 - clear - 2
-    for i, c in enumerate(codes.tolist(), first):
-        if n >= len(out):
-            break
-        starts.append(n)
-        if c < clear:
-            out[n] = c
-            length = 1
+    entries = (1 << min_bits) + 2 + np.maximum(np.arange(first, first + n) - 1, 0)
+    return np.minimum(np.maximum(min_bits + 1, np.floor(np.log2(entries)).astype(np.int64) + 1), 12)
+
+
+def _cut(words: np.ndarray, n_bits: int, at: int, min_bits: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The next CUT codes as if no clear code followed: values, and where each begins (one more)."""
+    wide = widths(min(first, 4096), CUT, min_bits)[: max(0, n_bits - at) // (min_bits + 1) + 1]
+    offsets = at + np.concatenate([[0], np.cumsum(wide)])
+    usable = int(np.searchsorted(offsets, n_bits, side="right")) - 1
+    wide, offsets = wide[:usable], offsets[: usable + 1]
+    return words[offsets[:-1] >> 3] >> (offsets[:-1] & 7) & ((1 << wide) - 1), offsets
+
+
+def _expand(codes: list[int], table: list[bytes], last: bytes) -> tuple[list[bytes], bytes]:
+    """The strings of codes, and the last one. The table gets an entry for each code after a run's first, until it is full."""
+    out = []
+    for c in codes:
+        if c < len(table):
+            entry = table[c]
+        elif c == len(table) < 4096 and last:  # the entry that this code makes
+            entry = last + last[:1]
+        else:
+            raise ValueError(f"code {c} is not in the table")
+        out.append(entry)
+        if last and len(table) < 4096:
+            table.append(last + entry[:1])
+        last = entry
+    return out, last
+
+
+def runs(data: bytes) -> list[list[int]]:
+    """The dictionary codes of 8-bit samples, a list for each run between clear codes: a run ends when the table is full."""
+    out, codes, table, free = [], [], {}, CLEAR + 2
+    get, cur = table.get, data[0]
+    for c in data[1:]:
+        pair = cur << 8 | c
+        known = get(pair)
+        if known is not None:
+            cur = known
+            continue
+        codes.append(cur)
+        cur = c
+        if free < 4096:
+            table[pair] = free
+            free += 1
         else:
-            k = c - clear - 2
-            if k < 0 or k > i - 1 or k >= most:
-                raise ValueError(f"code {c} is not in the table")
-            length = lengths[k] + 1
-            s = starts[k]
-            length = min(length, len(out) - n)
-            if s + length <= n:
-                out[n : n + length] = out[s : s + length]
-            else:
-                for j in range(length):
-                    out[n + j] = out[s + j]
-        lengths.append(length)
-        n += length
-    return n
-
-
-def _literal_run(data: bytes, n_out: int) -> np.ndarray | None:
-    """The samples, if the stream is of 9-bit literals with a clear code before each 254 of them; else None."""
-    n_codes = n_out + -(-n_out // RUN) + 1
-    if len(data) != -(-n_codes * BITS // 8):
-        return None
-    codes = _codes_of(data, n_codes)
-    clears = np.arange(0, n_codes - 1, RUN + 1)
-    if codes[-1] != END or (codes[clears] != CLEAR).any():
-        return None
-    mask = np.ones(n_codes, bool)
-    mask[clears], mask[-1] = False, False
-    got = codes[mask]
-    return got.astype(np.uint8) if len(got) == n_out and (got < CLEAR).all() else None
-
-
-def _codes_of(data: bytes, n: int) -> np.ndarray:
-    """n codes of 9 bits: each lies in two neighbouring bytes."""
-    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.uint16)
-    bit = np.arange(n, dtype=np.int64) * BITS
-    at = bit >> 3
-    return (((raw[at] | raw[at + 1] << 8) >> (bit & 7).astype(np.uint16)) & 511) if n else np.zeros(0, np.uint16)
-
-
-def lzw_literals(samples: np.ndarray) -> bytes:
-    n = len(samples)
-    n_codes = n + -(-n // RUN) + 1
-    codes = np.full(n_codes, CLEAR, np.uint16)
-    mask = np.ones(n_codes, bool)
-    mask[np.arange(0, n_codes - 1, RUN + 1)], mask[-1] = False, False
-    codes[mask], codes[-1] = samples, END
-    eight = np.zeros(-(-n_codes // 8) * 8, np.uint16)  # eight codes make nine bytes
-    eight[:n_codes] = codes
-    c = eight.reshape(-1, 8)
-    out = np.zeros((len(c), 10), np.uint16)
-    for j in range(8):
-        wide = c[:, j].astype(np.uint32) << j
-        out[:, j] |= (wide & 255).astype(np.uint16)
-        out[:, j + 1] |= (wide >> 8).astype(np.uint16)
-    return out[:, :9].astype(np.uint8).tobytes()[: -(-n_codes * BITS // 8)]
+            out.append(codes)
+            codes, table, free = [], {}, CLEAR + 2
+            get = table.get
+    codes.append(cur)
+    return [*out, codes]
+
+
+def lzw(data: bytes) -> bytes:
+    """The code stream of 8-bit samples."""
+    values, wide = [np.array([CLEAR])], [widths(0, 1, 8)]
+    found = runs(data)
+    for i, codes in enumerate(found, 1):
+        values.append(np.array([*codes, END if i == len(found) else CLEAR]))
+        wide.append(widths(0, len(codes) + 1, 8))
+    v, w = np.concatenate(values).astype(np.int64), np.concatenate(wide)
+    end = np.cumsum(w)
+    at = end - w
+    v <<= at & 7
+    size = (int(end[-1]) + 7) // 8
+    # Codes share no bit, so what they put into a byte adds up.
+    return sum(np.bincount((at >> 3) + k, v >> 8 * k & 255, size + 2) for k in range(3))[:size].astype(np.uint8).tobytes()
 
 
 # --- files ---
 
-GREY = bytes(x for v in range(256) for x in (v, v, v))
+#: Red, green and blue of each sample: its highest three bits, the next three, the lowest two.
+PALETTE = bytes(x for v in range(256) for x in ((v >> 5) * 255 // 7, (v >> 2 & 7) * 255 // 7, (v & 3) * 255 // 3))
 
 
-def store(payload: bytes, delay: int = 10) -> bytes:
+def store(payload: bytes) -> bytes:
     """A GIF whose frames' samples, in order, are the payload (of a multiple of 64 bytes)."""
     if not payload or len(payload) % WIDTH:
         raise ValueError("a payload has a positive multiple of 64 bytes")
-    samples = np.frombuffer(payload, np.uint8)
     most = WIDTH * MOST_ROWS
-    height = min(len(samples), most) // WIDTH
-    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), GREY]
-    for i in range(0, len(samples), most):
-        frame = samples[i : i + most]
-        code = lzw_literals(frame)
-        parts += [b"\x21\xf9\x04", struct.pack("<BHBB", 1 << 2, delay, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(frame) // WIDTH, 0), b"\x08", _blocks(code)]
+    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(payload), most) // WIDTH, 0xF7, 0, 0), PALETTE]
+    for k, i in enumerate(range(0, len(payload), most)):
+        frame = payload[i : i + most]
+        rows = len(frame) // WIDTH
+        disposal, transparent = 1 + k % 3, k % 2
+        control = struct.pack("<BHBB", disposal << 2 | transparent, 2 + rows // 8, 0, 0)
+        parts += [b"\x21\xf9\x04", control, b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, rows, 0), b"\x08", _blocks(lzw(frame))]
     return b"".join([*parts, b"\x3b"])
 
 
@@ -270,7 +264,7 @@ def decode(raw: bytes) -> list[Frame]:
             hole = part == transparent
             new[hole] = canvas[at][hole]
         canvas[at] = new
-        frames.append(Frame(delay, disposal, canvas.copy()))
+        frames.append(Frame(delay, disposal, canvas.copy(), idx))
         if disposal == 2:
             canvas[at] = 0
         elif disposal == 3:
@@ -296,16 +290,15 @@ def histogram(frames: list[Frame], bins: int = 4) -> np.ndarray:
     return total
 
 
-def features(frames: list[Frame]) -> str:
+def features(frames: list[Frame], counts: np.ndarray) -> str:
     """frames, total delay, and the colours that occur with their counts, as text."""
-    counts = histogram(frames)
     return f"frames={len(frames)};delay={sum(f.delay for f in frames)};rgb4=" + ",".join(f"{i}:{counts[i]}" for i in np.flatnonzero(counts))
 
 
 # --- DataFrames ---
 
 FRAMES = pa.list_(pa.struct([("index", pa.int32()), ("delay", pa.int32()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
-DIGEST = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+DIGEST = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int32()), ("delay", pa.int32()), ("histogram", pa.list_(pa.int64()))])
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -336,8 +329,10 @@ def decoded(media: pa.Array) -> pa.Array:
 def digest(text: str | None) -> tuple:
     n, payload = padded(text)
     media = store(payload)
-    back = samples(media)
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(decode(media))
+    shown = decode(media)
+    back = b"".join(f.samples.tobytes() for f in shown)
+    counts = histogram(shown)
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(shown, counts), len(shown), sum(f.delay for f in shown), counts.tolist()
 
 
 @F.arrow_udf(spark_type(DIGEST))
@@ -349,12 +344,12 @@ def digests(texts: pa.Array) -> pa.Array:
 def store_texts(spark: SparkSession, docs: DataFrame, into: str = "media") -> DataFrame:
     """docs with a column of GIF files that hold the texts."""
     arrow_sized(spark)
-    return docs.withColumn(into, stored(F.col("text")))
+    return docs.withColumn(unused(docs, into), stored(F.col("text")))
 
 
 def decode_media(spark: SparkSession, media: DataFrame, column: str = "media", into: str = "frames") -> DataFrame:
     arrow_sized(spark)
-    return media.withColumn(into, decoded(F.col(column)))
+    return media.withColumn(unused(media, into), decoded(F.col(column)))
 
 
 def media_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
