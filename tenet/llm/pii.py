@@ -10,7 +10,8 @@ added where they overlap no base span.
 A text is read once: its base spans and its candidates with their vote patterns are staged, and the patterns' counts (of a
 bounded number of patterns) are all that is gathered.
 
-Cases: null and empty texts have no spans. Offsets are code points. Repeated rows are judged alike. Without any candidate
+Cases: null and empty texts have no spans. Numbers of any length are compared as they are written, and no pattern's time grows
+faster than the text. Offsets are code points. Repeated rows are judged alike. Without any candidate
 nothing is fitted, and the base spans are the result. Empty tables give empty results. `redact` carries all columns whatever
 their names.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -34,15 +36,17 @@ KINDS = ("email", "ip", "card", "phone")
 #: What the method adds.
 ADDED = ("secret", "iban", "ssn", "national_phone")
 
-# The base patterns. The first run of each is possessive, which changes no match.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# The base patterns, email and ip in parts. Emails are found from their @ and addresses from whole chains of
+# numbers, so a long run of letters or digits is read once, not from each of its places.
+LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Generators of further candidates.
 GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]{2,6}[-_])?(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+", re.ASCII),
+    "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", re.ASCII),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", re.ASCII),
     "national_phone": re.compile(r"(?<![0-9+])(?<!\+1 )\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9-])", re.ASCII),
@@ -60,6 +64,7 @@ CUES = {
 DECOYS = re.compile(r"(?i)(?:version|isbn|issn|order|commit|sha|sha1|sha256|md5|hash|digest|checksum|uuid|build|revision|page|figure|item|invoice)\W{0,6}$")
 CONTEXT = 32
 LABELERS = 5
+DIGITS = re.compile("[0-9]")
 
 TYPE = pa.struct([("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("base_sha256", pa.string()), ("candidates", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32())])))])
 
@@ -75,15 +80,46 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[Span]:
+    """What [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+ finds, in one pass over the text."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = done + len(text[done:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            out.append(("email", start, found.end()))
+        done = found.end() if found else at + 1
+        at = text.find("@", done)
+    return out
+
+
+def small(part: str) -> bool:
+    """Is a number of any length at most 255?"""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or 0) <= 255
+
+
+def addresses(text: str) -> list[Span]:
+    """What [0-9]+(\\.[0-9]+){3} finds, less those with a part over 255: a chain's numbers, four by four."""
+    out = []
+    for m in CHAIN.finditer(text):
+        parts = m.group().split(".") if m.group().count(".") >= 3 else []
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            end = at + sum(map(len, parts[i : i + 4])) + 3
+            if all(map(small, parts[i : i + 4])):
+                out.append(("ip", at, end))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """By kind, then start."""
-    out: list[Span] = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out = emails(text) if "@" in text else []
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+        out += addresses(text)
     for m in CARD.finditer(text):
-        d = digits_of(m.group()) if m.end() - m.start() >= 13 else ""
+        d = digits_of(m.group()) if 13 <= m.end() - m.start() <= 37 else ""  # 19 digits, 18 marks between them
         if 13 <= len(d) <= 19 and luhn(d):
             out.append(("card", *m.span()))
     if "+" in text:
@@ -140,6 +176,8 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     out = []
     for k, (kind, pattern) in enumerate(GENERATORS.items()):
         for m in pattern.finditer(text):
+            if kind == "secret" and not DIGITS.search(m.group()):
+                continue
             out.append((k, m.start(), m.end(), encode(k, vote(kind, text, *m.span()), m.end() - m.start())))
     return out
 
@@ -160,9 +198,6 @@ def decode(pattern: int) -> tuple[int, list[int], int]:
     return kind, votes[::-1], code
 
 
-DIGITS = re.compile("[0-9]")
-
-
 def found_in(text: str | None) -> tuple:
     text = text or ""
     spans: list[Span] = []
@@ -229,12 +264,21 @@ def with_added(base: str, found: list[dict], takes: dict[int, float], threshold:
     """The base spans, then the added ones that overlap none of them nor each other, joined."""
     if not found:
         return base
-    held = [(int(s), int(e)) for s, e in (x.split(":")[1:] for x in base.split(",") if x)]
+    starts, ends = [], []  # disjoint stretches that are taken
+    for a, b in sorted((int(a), int(b)) for a, b in (x.split(":")[1:] for x in base.split(",") if x)):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     for c in sorted(found, key=lambda c: (c["kind"], c["start"])):
-        if takes.get(c["pattern"], 0.0) >= threshold and all(c["end"] <= s or e <= c["start"] for s, e in held):
-            held.append((c["start"], c["end"]))
-            out.append((ADDED[c["kind"]], c["start"], c["end"]))
+        if takes.get(c["pattern"], 0.0) >= threshold:
+            i = bisect_left(starts, c["end"])
+            if not i or ends[i - 1] <= c["start"]:
+                starts.insert(i, c["start"])
+                ends.insert(i, c["end"])
+                out.append((ADDED[c["kind"]], c["start"], c["end"]))
     return ",".join(x for x in (base, joined(out)) if x)
 
 
