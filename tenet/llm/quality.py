@@ -7,8 +7,8 @@ ones; the posterior probability of good replaces "all rules must pass". There ar
 so only their counts are gathered, and the posteriors go back as a table of that size.
 
 Cases: null and empty texts have no words: base_failed, not kept. Repeated rows and ties are judged alike, each by its own
-text. On an empty table EM has nothing to fit and the result is empty. Other columns are carried, whatever their names;
-a name that the statistics need is refused by `judge` only where the caller asks to carry it.
+text. On an empty table EM has nothing to fit and the result is empty. `keep_good` carries all columns, whatever their names;
+`judge` carries those that it is told to, and a name of its own among them stands twice in its result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ TYPE = pa.struct([*[(c, pa.int64()) for c in STATS], ("pattern", pa.int32())])
 #: Windows of words that count as repeated when a text has them twice.
 WINDOW = 5
 RULES = ("length", "symbols", "clean words", "duplicate lines", "repetition", "distinct words", "word length", "sentences")
+#: Distinct words are counted in stretches of so many words, so their share does not fall with the length of a text.
+STRETCH = 100
 #: A word of letters with at most one mark after it.
 CLEAN = re.compile(r"(?<!\S)[\"'(]?[^\W\d_]+[.,;:!?)\"']?(?!\S)")
 
@@ -60,6 +62,12 @@ def n_repeated(words: list[bytes]) -> int:
     return total
 
 
+def distinct_share(text: str) -> float:
+    """Distinct words of each stretch, over all words."""
+    words = text.split()
+    return sum(len(set(words[i : i + STRETCH])) for i in range(0, len(words), STRETCH)) / max(1, len(words))
+
+
 def votes(text: str | None, s: Sequence[int]) -> list[int]:
     """One of -1, 0, 1 for each of RULES."""
     n, chars, symbols, dup, repeat = s
@@ -68,7 +76,7 @@ def votes(text: str | None, s: Sequence[int]) -> list[int]:
     lines = text.count("\n") + 1
     ends = text.count(". ") + text.count(".\n") + text.endswith(".") + text.count("! ") + text.count("? ")
     clean = len(CLEAN.findall(text)) / n
-    distinct = len(set(text.split())) / n if n >= 20 else 1.0
+    distinct = distinct_share(text) if n >= 20 else 1.0
     mean = chars / n
     return [
         -1 if n < 10 else 0,
@@ -76,7 +84,7 @@ def votes(text: str | None, s: Sequence[int]) -> list[int]:
         -1 if clean < 0.65 else 1 if clean > 0.95 else 0,
         -1 if dup >= 3 and dup > 0.3 * lines else 0,
         -1 if repeat > 0.2 * n else 0,
-        -1 if distinct < 0.2 and n < 1000 else 0,
+        -1 if distinct < 0.2 else 0,
         -1 if mean > 12 or mean < 2 else 0,
         -1 if n >= 40 and ends * 80 < n else 1 if ends * 25 >= n else 0,
     ]
