@@ -60,13 +60,29 @@ class PerfectHash:
         return out
 
     def to_bytes(self) -> bytes:
-        return np.array([len(self.sizes), len(self.words)], "<i8").tobytes() + self.sizes.astype("<i8").tobytes() + self.words.astype("<u8").tobytes()
+        """Numbers of levels and words, the levels' sizes, the words, and the rank of each word's first bit (8 bytes each)."""
+        head = np.array([len(self.sizes), len(self.words)], "<i8").tobytes() + self.sizes.astype("<i8").tobytes()
+        return head + self.words.astype("<u8").tobytes() + self.ranks[:-1].astype("<i8").tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> tuple[PerfectHash, int]:
         n, m = np.frombuffer(raw, "<i8", 2)
         sizes = np.frombuffer(raw, "<i8", n, 16)
-        return cls(sizes, np.frombuffer(raw, "<u8", m, 16 + 8 * n)), int(16 + 8 * (n + m))
+        return cls(sizes, np.frombuffer(raw, "<u8", m, 16 + 8 * n)), int(16 + 8 * (n + 2 * m))
+
+
+def slot_by_reads(key: np.uint64, sizes: np.ndarray, read) -> int:
+    """The slot of one key, -1 if it has none, by reads of 8 bytes: read(i, unsigned) is the i-th word, or rank, of the index.
+
+    Each level costs one read, and keys end on about 1.6 levels, so the number of reads does not grow with the index."""
+    start = 0
+    for level, size in enumerate(sizes.tolist()):
+        at = start + int(mix(np.array([key], np.uint64), level)[0] % np.uint64(size))
+        word, bit = read(at >> 6, True), at & 63
+        if word >> bit & 1:
+            return read(at >> 6, False) + (word & (1 << bit) - 1).bit_count()
+        start += size
+    return -1
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:

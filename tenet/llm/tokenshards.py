@@ -3,7 +3,7 @@
 `write_shards` range-partitions documents by doc_id, so shard by shard and inside each the documents ascend; a task encodes
 its documents and streams their ids into one payload file. Beside it lies the index file: a minimal perfect hash of the
 document keys and, by slot, a stored 32-bit fingerprint, the offset and the length. `lookup` finds a key's ids with a constant
-number of reads.
+number of small reads: the table of keys, sorted by doc_id, tells its shard, and of that shard's index a few words are read.
 
 Files (little-endian): `<name>.ids` holds nothing but ids, of 2 bytes where the vocabulary allows it, else 4. `<name>.idx`:
 magic `TSHARD01`, id width, number of documents, then the perfect hash, then by slot fingerprints (u4), offsets and lengths
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tenet.llm.common import arrow_sized, new_path, text_or_empty
-from tenet.llm.mphf import PerfectHash, fingerprint, mix
+from tenet.llm.mphf import PerfectHash, fingerprint, mix, slot_by_reads
 from tenet.llm.wordcache import encoder
 
 MAGIC = b"TSHARD01"
@@ -159,6 +159,38 @@ class Shard:
         return np.frombuffer(b"".join(parts), self.dtype)
 
 
+class Reader:
+    """One key's ids by a constant number of small reads; of the index, only its sizes are held."""
+
+    def __init__(self, name: str):
+        fs, at = opened(name)
+        self.index, self.payload = fs.open_input_file(at + ".idx"), fs.open_input_file(at + ".ids")
+        head = self.index.read_at(40, 0)
+        if head[:8] != MAGIC:
+            raise ValueError(f"{name}.idx is no index of a token shard")
+        width, self.n, levels, self.words = np.frombuffer(head, "<i8", 4, 8).tolist()
+        self.dtype = np.dtype(f"<u{width}")
+        self.sizes = np.frombuffer(self.index.read_at(8 * levels, 40), "<i8")
+        self.at = 40 + 8 * levels
+
+    def _number(self, at: int, kind: str) -> int:
+        return int(np.frombuffer(self.index.read_at(int(kind[-1]), at), kind)[0])
+
+    def ids(self, doc_id: int | None, ordinal: int = 0) -> np.ndarray | None:
+        key = key_hash(np.array([NULL_KEY if doc_id is None else doc_id], np.int64), np.array([ordinal]))
+        slot = slot_by_reads(key[0], self.sizes, lambda i, word: self._number(self.at + 8 * i + (0 if word else 8 * self.words), "<u8" if word else "<i8"))
+        table = self.at + 16 * self.words
+        if slot < 0 or self._number(table + 4 * slot, "<u4") != int(fingerprint(key)[0]):
+            return None
+        start, n = (self._number(table + (4 + 8 * k) * self.n + 8 * slot, "<i8") for k in (0, 1))
+        raw = self.payload.read_at(n * self.dtype.itemsize, start * self.dtype.itemsize)
+        return np.frombuffer(raw, self.dtype)
+
+    def close(self) -> None:
+        self.index.close()
+        self.payload.close()
+
+
 def read_shards(spark: SparkSession, keys: DataFrame) -> DataFrame:
     """For each row of the table of keys (or a part of it): its place and the checksum of its ids, found by key in the files."""
     arrow_sized(spark)
@@ -202,17 +234,21 @@ def read_back(spark: SparkSession, keys: DataFrame) -> DataFrame:
 
 
 def lookup(keys: DataFrame, doc_ids: list[int]) -> dict[int, np.ndarray]:
-    """Ids of some documents by key (their first rows), for training loaders and tests."""
-    ranges = keys.groupBy("shard").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).toLocalIterator()
-    shards = [(r["low"], r["high"], Shard(r["shard"])) for r in ranges]
+    """Ids of some documents by key (their first rows), for training loaders and tests.
+
+    Row groups of the sorted table of keys are pruned by doc_id; one shard after another is opened."""
+    places = keys.where(F.col("doc_id").isin(doc_ids) & (F.col("ordinal") == 0)).groupBy("doc_id").agg(F.min("shard").alias("shard")).collect()
+    by_shard: dict[str, list[int]] = {}
+    for r in places:
+        by_shard.setdefault(r["shard"], []).append(r["doc_id"])
     found = {}
-    for d in doc_ids:
-        for low, high, shard in shards:
-            if low is not None and low <= d <= high:
-                start, n = shard.find(np.array([d]), np.array([0]))
-                if n[0] >= 0:
-                    found[d] = shard.ids(start[0], n[0])
+    for name, wanted in by_shard.items():
+        reader = Reader(name)
+        for d in wanted:
+            if (ids := reader.ids(d)) is not None:
+                found[d] = ids
+        reader.close()
     return found
 
 
-__all__ = ["Shard", "lookup", "read_back", "read_shards", "shard_starts", "write_shards"]
+__all__ = ["Reader", "Shard", "lookup", "read_back", "read_shards", "shard_starts", "write_shards"]
