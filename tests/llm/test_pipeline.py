@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table and on awkward ones."""
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tenet.llm import nearcopies, pii, simhash
@@ -27,6 +28,23 @@ def test_stages(spark, sf, tmp_path):
     assert docs.agg(F.sum("length")).first()[0] > 0
 
 
+def test_clashing_names(spark, sf, tmp_path):
+    """Columns of names that stages use inside, nulls, repeats: every stage carries them."""
+    from test_operators import AWKWARD, CLASHING, SCHEMA, clashing, own_columns_stay
+
+    docs = clashing(spark.createDataFrame(AWKWARD, SCHEMA))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.count() > 0 and (k == 4 or (own_columns_stay(docs) and set(CLASHING) <= set(docs.columns)))
+
+
+def test_two_runs_at_once(spark, sf):
+    """Runs share nothing: what one stages is not another's to delete."""
+    a, b = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    assert a.count() == b.count() > 0
+
+
 def test_empty(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -82,14 +100,34 @@ def test_near_copies_of_documents(spark):
 
 
 def test_near_copies_in_parts(spark):
-    """A bucket that is dealt over parts has the links of one task."""
-    rows = [(i, altered(i % 6), altered(i % 6).split()) for i in range(40)]
-    nodes = [(i, 60, [7]) for i, _, _ in rows]
-    args = spark.createDataFrame(nodes, "row long, n long, bands array<long>"), spark.createDataFrame([r[:2] for r in rows], "row long, text string")
+    """A shard that is dealt over parts has the links of one task."""
+    rows = [(i, altered(i % 6)) for i in range(40)]
+    keyed = spark.createDataFrame([(i, i, 60, 0, 7) for i, _ in rows], "node long, root long, n long, k int, key long")
+    sets = spark.createDataFrame(rows, "node long, text string").select("node", nearcopies.signatures("text").alias("s")).select("node", "s.*")
+    found = nearcopies.shards(keyed, tree=7)
+    assert found.first()["parts"] == 6
     joined = nearcopies.Groups()
-    for r in nearcopies.links(spark, *args, tree=7).collect():
+    for r in nearcopies.links(keyed, found, sets).collect():
         joined.join(r["a"], r["b"])
-    assert len({joined.find(i) for i, _, _ in rows}) == 1
+    assert len({joined.find(i) for i, _ in rows}) == 1
+
+
+def test_near_copies_within_wide():
+    """Pairs of similarity 0.8 or more lie within the trees' radius."""
+    import random
+
+    rng, far = random.Random(3), 0
+    for _ in range(3000):
+        n = rng.choice([4, 5, 9, 20, 60, 400])
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = list(a)
+        for k in rng.sample(range(n), n // 9):
+            b[k] = rng.getrandbits(64)
+        b = b if n // 9 else [*b, rng.getrandbits(64)]
+        if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)):
+            x, y = (simhash.majority(np.array(s, np.uint64)) for s in (a, b))
+            far = max(far, (x ^ y).bit_count())
+    assert 12 < far <= nearcopies.WIDE
 
 
 def test_near_copies_awkward(spark):
