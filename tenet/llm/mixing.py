@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tenet.llm.common import WORD
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
-#: Hexadecimal digits of the key that make a range: 65,536 ranges a source.
-RANGE_DIGITS = 4
+#: Hexadecimal digits of the key that make a range: 4096 ranges a source, whose sums one task puts in order.
+RANGE_DIGITS = 3
 #: Cuts of at most so many sources are broadcast.
 MOST_SOURCES = 10_000
 
