@@ -8,11 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: How JSON writes the characters that it must escape: short forms where it has them.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+ESCAPES |= {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in ESCAPES}
+
+
 def json_text(c: Column) -> Column:
-    """A string as JSON writes it: quotes, backslashes and control characters escaped."""
-    inner = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
-    for char, escaped in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):
-        inner = F.regexp_replace(inner, char, escaped)
+    """A string as JSON writes it: quotes, backslashes and control characters escaped. Most strings need nothing."""
+    table = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+    each = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    inner = F.when(c.rlike(r'[\x00-\x1f"\\]'), F.array_join(each, "")).otherwise(c)
     return F.concat(F.lit('"'), inner, F.lit('"'))
 
 
@@ -70,8 +75,12 @@ def uuid7_ms(tx: Column) -> Column:
     return F.conv(F.regexp_replace(F.substring(tx, 1, 13), "-", ""), 16, 10).cast("long")
 
 
+#: The form of a time-ordered id.
+UUID7 = "[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+
+
 def is_uuid7(tx: Column) -> Column:
-    return tx.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return tx.rlike(f"^{UUID7}$")
 
 
 def tx_bound(ms: int) -> str:

@@ -94,6 +94,20 @@ def significant(x: float, digits: int = 4) -> str:
     return format_number(float(f"{x:.{digits}g}"))
 
 
+def format_at_column(num: Column, text: Column, unit: Column) -> Column:
+    """As `format_at`, of a column of numbers in the style of the trajectories that they come from: with multipliers if these have
+    them, and the unit glued if theirs is."""
+    multiplied, glued = text.rlike(r"\d[TBMK](\s|$)"), text.rlike(r"\d(?![TBMK](\s|$))[A-Za-z%]")
+    scaled, letter = num, F.lit("")
+    for k, m in sorted(MULTIPLIERS.items(), key=lambda x: x[1]):
+        large = multiplied & (F.abs(num) >= m)
+        scaled, letter = F.when(large, num / m).otherwise(scaled), F.when(large, k).otherwise(letter)
+    rounded = F.format_string("%.3e", scaled).try_cast("double")  # four significant digits
+    digits = F.regexp_replace(F.format_string("%.12f", rounded), r"\.?0+$", "")
+    tail = F.when(unit.isNull() | (unit == ""), "").when(glued, unit).otherwise(F.concat(F.lit(" "), unit))
+    return F.when(num.isNotNull(), F.concat(digits, letter, tail))
+
+
 def parse_confidence(text: str) -> float | None:
     m = re.fullmatch(r"\s*(-?\d+(?:\.\d+)?)\s*%\s*", text)
     return min(1.0, max(0.0, float(m[1]) / 100)) if m else None
@@ -114,6 +128,23 @@ def sigma(delta: Column, level: Column) -> Column:
     return F.when(s > 0, s)
 
 
+def interval(mean: Column, delta: Column) -> Column:
+    """[low, high] around a mean."""
+    return F.array(mean - delta, mean + delta)
+
+
+def segments(c: Column) -> Column:
+    """The scope segments of an entity."""
+    return F.split(c, "/")
+
+
+def entity_problems(c: Column) -> Column:
+    """Which conventions of entity names a name breaks; none is an error."""
+    parts = segments(c)
+    found = F.array(F.when(F.size(parts) > 3, "more than 3 scope segments"), F.when(F.exists(parts, lambda x: x == ""), "empty scope segment"), F.when(c.rlike(r"\s"), "white space"))
+    return F.when(c == "", F.array(F.lit("empty name"))).otherwise(F.array_compact(found))
+
+
 def entity(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"\s+", "-")
 
@@ -139,3 +170,20 @@ def span(source: str, start: int, end: int) -> str:
 def parse_span(context: str) -> tuple[str, int, int] | None:
     m = re.fullmatch(r"src:(.+)#L(\d+)-L(\d+)", context)
     return (unquote(m[1]), int(m[2]), int(m[3])) if m and 1 <= int(m[2]) <= int(m[3]) and span(unquote(m[1]), int(m[2]), int(m[3])) == context else None
+
+
+def sources(contexts: Column) -> Column:
+    """(source, start, end, href) of the source contexts that are well formed, in order; lines are null where they name none, and href
+    where the source is no web address."""
+    def one(c: Column) -> Column:
+        path = F.regexp_extract(c, r"^src:([^#]+)", 1)
+        first, last = F.regexp_extract(c, r"#L([1-9]\d*)", 1), F.regexp_extract(c, r"-L([1-9]\d*)$", 1)
+        name = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+        start = F.when(first != "", first.cast("int"))
+        end = F.when(last != "", last.cast("int")).otherwise(start)
+        web = name.rlike("(?i)^https?://") & ~name.contains("#")
+        tail = F.when(start.isNull(), "").otherwise(F.concat(F.lit("#L"), start, F.lit("-L"), end))
+        return F.struct(name.alias("source"), start.alias("start"), end.alias("end"), F.when(web, F.concat(F.replace(name, F.lit(" "), F.lit("%20")), tail)).alias("href"))
+
+    formed = F.filter(contexts, lambda c: c.rlike(r"^src:[^#]+(?:#L[1-9]\d*(?:-L[1-9]\d*)?)?$"))
+    return F.filter(F.transform(formed, one), lambda r: r["start"].isNull() | (r["start"] <= r["end"]))

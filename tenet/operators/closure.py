@@ -1,8 +1,11 @@
-"""Graph recursion over current claims: alias components, transitive verbs, support edges, lineage."""
+"""Graph recursion over current claims: alias components, transitive verbs, support edges, lineage.
+
+A graph of at most DRIVER_EDGES edges (counted first) is walked on the driver, as far as its pairs stay within MOST_PAIRS; larger
+ones, and those with more pairs, are Spark jobs: label propagation with jumps, doubling of paths, frontiers from seeds.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,31 +14,16 @@ from pyspark.sql import types as T
 
 from tenet.functions.keys import is_entity
 from tenet.operators.belief import current, supported
+from tenet.staging import new_path
+from tenet.staging import staged as written
 
 PAIR = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])
-#: A graph of at most so many edges is walked on the driver; the count is taken before the edges are.
-DRIVER_EDGES = 20_000
+#: A graph of at most so many edges is walked on the driver, for at most so many pairs.
+DRIVER_EDGES, MOST_PAIRS = 20_000, 200_000
 #: Steps of doubling: enough for chains of 2^30 hops.
 MOST_STEPS = 30
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="tenet-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tenet/{name}-{uuid.uuid4().hex}"
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and survives lost executors."""
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def edges_of_verb(claims: DataFrame, verb: str, bound: str | None = None) -> DataFrame:
     """(src, dst) of current supported relations between entities."""
     rows = supported(current(claims.where((F.col("verb") == verb) & F.col("object").isNotNull()), bound))
@@ -48,13 +36,13 @@ def alias_edges(claims: DataFrame, verb: str = "ALIAS") -> DataFrame:
     return e.union(e.select("dst", "src")).where("src <> dst").distinct()
 
 
-def representatives(spark: SparkSession, claims: DataFrame, verb: str = "ALIAS") -> DataFrame:
+def representatives(spark: SparkSession, claims: DataFrame, verb: str = "ALIAS", driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(name, rep) for every name with an alias: rep is the least name that aliases connect it with.
 
     Labels spread along edges and jump to their label's label, so rounds are logarithmic in a chain's length; only minima are
     shuffled."""
     edges = written(spark, alias_edges(claims, verb), "alias")
-    if (n := edges.count()) <= DRIVER_EDGES:
+    if (n := edges.count()) <= driver_edges:
         return components_on_driver(spark, [tuple(r) for r in edges.collect()] if n else [])
     labels = written(spark, edges.groupBy(F.col("src").alias("name")).agg(F.least(F.min("src"), F.min("dst")).alias("rep")), "labels")
     for _ in range(64):
@@ -80,7 +68,7 @@ def components_on_driver(spark: SparkSession, edges: list[tuple[str, str]]) -> D
     for a, b in edges:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
-    return spark.createDataFrame([(x, find(x)) for x in up], "name string, rep string")
+    return spark.createDataFrame([(x, find(x)) for x in list(up)], "name string, rep string")
 
 
 def aliases_of(reps: DataFrame, name: str) -> DataFrame:
@@ -90,17 +78,19 @@ def aliases_of(reps: DataFrame, name: str) -> DataFrame:
     return found.orderBy((F.col("name") != name), "name")
 
 
-def closure(spark: SparkSession, edges: DataFrame, seeds: Iterable[str] | None = None, backwards: bool = False) -> DataFrame:
+def closure(spark: SparkSession, edges: DataFrame, seeds: Iterable[str] | None = None, backwards: bool = False, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(src, dst) pairs of one or more hops; with seeds, those from them (or, backwards, into them). Cycles end.
 
-    Small graphs (counted first) are walked on the driver. Others, all pairs by doubling: after k steps all paths of up to 2^k
-    hops. From seeds, a frontier that joins the edges, and leaves what it has seen."""
+    On Spark, all pairs by doubling: after k steps all paths of up to 2^k hops. From seeds, a frontier that joins the edges, and
+    leaves what it has seen."""
     edges = written(spark, edges.select("src", "dst").distinct(), "edges")
     if backwards:
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    n = edges.count()
-    if n <= DRIVER_EDGES:
-        pairs = spark.createDataFrame(walk(edges.collect(), None if seeds is None else list(seeds)), PAIR)
+    found = None
+    if edges.count() <= driver_edges:
+        found = walk(edges.collect(), None if seeds is None else list(seeds))
+    if found is not None:
+        pairs = spark.createDataFrame(found, PAIR)
     elif seeds is not None:
         pairs = from_seeds(spark, edges, list(seeds))
     else:
@@ -108,11 +98,12 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: Iterable[str] | None =
     return pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backwards else pairs
 
 
-def walk(edges: list, seeds: list[str] | None) -> list[tuple[str, str]]:
+def walk(edges: list, seeds: list[str] | None, most: int = MOST_PAIRS) -> list[tuple[str, str]] | None:
+    """The pairs, or None once there are more than `most`."""
     next_: dict[str, list[str]] = {}
     for a, b in edges:
         next_.setdefault(a, []).append(b)
-    out = []
+    out: list[tuple[str, str]] = []
     for s in next_ if seeds is None else seeds:
         seen: set[str] = set()
         todo = list(next_.get(s, ()))
@@ -120,6 +111,8 @@ def walk(edges: list, seeds: list[str] | None) -> list[tuple[str, str]]:
             x = todo.pop()
             if x not in seen:
                 seen.add(x)
+                if len(out) + len(seen) > most:
+                    return None
                 todo += next_.get(x, ())
         out += [(s, x) for x in seen]
     return out
@@ -138,16 +131,20 @@ def doubled(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def from_seeds(spark: SparkSession, edges: DataFrame, seeds: list[str]) -> DataFrame:
-    first = spark.createDataFrame([(s, s) for s in seeds], PAIR)
+    """A hop a job: each adds its new pairs to one folder, so what was found before is never written again."""
+    at = new_path(spark, "reached")
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+    frontier = spark.createDataFrame([(s, s) for s in dict.fromkeys(seeds)], PAIR)
     seen = spark.createDataFrame([], PAIR)
-    frontier = first
+    hop = 0
     while True:
         new = frontier.join(step, "dst").select("src", F.col("far").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
-        frontier = written(spark, new, "frontier")
+        new.write.parquet(f"{at}/hop={hop}")
+        frontier = spark.read.schema(PAIR).parquet(f"{at}/hop={hop}")
+        seen = spark.read.schema(PAIR).parquet(f"{at}/hop=*")
         if frontier.limit(1).count() == 0:
             return seen
-        seen = written(spark, seen.union(frontier), "seen")
+        hop += 1
 
 
 def support(closed: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -167,8 +164,22 @@ def through_aliases(spark: SparkSession, edges: DataFrame, reps: DataFrame) -> D
     return out.join(r, out["dst"] == r["name"], "left").select("src", F.coalesce("rep", "dst").alias("dst")).distinct()
 
 
+def stored_names(edges: DataFrame, reps: DataFrame, end: str) -> DataFrame:
+    """(rep, name): the names that edges have at that end, by their representative."""
+    names = edges.select(F.col(end).alias("name")).distinct()
+    return names.join(reps.select("name", "rep"), "name", "left").select(F.coalesce("rep", "name").alias("rep"), "name")
+
+
+def expanded(pairs: DataFrame, edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of representatives as pairs of the names that are stored: sources as edges begin, destinations as they end."""
+    src, dst = stored_names(edges, reps, "src"), stored_names(edges, reps, "dst")
+    out = pairs.join(src.withColumnsRenamed({"rep": "src", "name": "from"}), "src")
+    return out.join(dst.withColumnsRenamed({"rep": "dst", "name": "to"}), "dst").select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct()
+
+
 def lineage(spark: SparkSession, edges: DataFrame, ids: Iterable[str], depth: int = 16, up: bool = False) -> DataFrame:
-    """(root, id, depth): what the roots rest on (or, up, what rests on them), each at its least depth, to a depth."""
+    """(root, id, depth, truncated): what the roots rest on (or, up, what rests on them), each at its least depth, to a depth. A row is
+    truncated if it is as deep as that and has more below it."""
     a, b = ("child_id", "parent_id") if up else ("parent_id", "child_id")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
     schema = "root string, id string, depth int"
@@ -181,4 +192,5 @@ def lineage(spark: SparkSession, edges: DataFrame, ids: Iterable[str], depth: in
         if frontier.limit(1).count() == 0:
             break
         seen = seen.union(frontier)
-    return seen
+    more = seen.where(F.col("depth") == depth).join(step.select("id"), "id", "left_semi").select("root", "id", F.lit(True).alias("truncated"))
+    return seen.join(more, ["root", "id"], "left").select("root", "id", "depth", F.coalesce("truncated", F.lit(False)).alias("truncated"))

@@ -6,16 +6,17 @@ valid-time instant interpolates a trajectory.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenet.functions import validtime
-from tenet.functions.keys import tx_bound
-from tenet.functions.values import number, parse_confidence
+from tenet.functions.keys import UUID7, tx_bound
+from tenet.functions.values import DATE, format_at_column, number, parse_confidence
 from tenet.operators import closure as graph
-from tenet.operators.belief import as_of, current
+from tenet.operators.belief import as_of, current, supported
 from tenet.operators.registry import Registry
 from tenet.operators.resolve import Entry, winners
 from tenet.plans.pattern import Filter, Pattern, PatternError, is_free, is_variable, parse
@@ -23,8 +24,10 @@ from tenet.plans.pattern import Filter, Pattern, PatternError, is_free, is_varia
 
 @dataclass(frozen=True)
 class Options:
-    """all: every row, not the current ones. as_of: a transaction instant (text or milliseconds), up to and with it. at: a
-    valid-time instant. resolve: only winners, under a policy. aliases: names match through alias components."""
+    """all: every row, not the current ones. as_of: a transaction instant (text, milliseconds or an id), up to and with it. at: a
+    valid-time instant. resolve: only winners, under a policy. aliases: names match through alias components. ordered: by tx, and
+    transitive pairs by their ends; limit and offset read a part of that order. support: transitive solutions with the ids of the
+    edge rows on any path between their ends. driver_edges: closures of at most so many edges are walked on the driver."""
 
     all: bool = False
     as_of: str | int | None = None
@@ -34,6 +37,11 @@ class Options:
     aliases: bool = False
     bindings_only: bool = False
     plain_times: bool = False
+    ordered: bool = False
+    limit: int | None = None
+    offset: int = 0
+    support: bool = False
+    driver_edges: int = graph.DRIVER_EDGES
     registry: Registry = field(default_factory=Registry)
 
 
@@ -46,6 +54,8 @@ def bound_of(as_of_: str | int | None) -> str | None:
         return None
     if isinstance(as_of_, int):
         return tx_bound(as_of_ + 1)
+    if re.fullmatch(UUID7, as_of_):
+        return as_of_ + "!"  # the least text after the id
     period = validtime.period(as_of_)
     return tx_bound(period[1] if period else validtime.instant(as_of_) + 1)
 
@@ -68,7 +78,18 @@ def query(spark: SparkSession, claims: DataFrame, text: str | Pattern, options:
         spans = validtime.plain_spans(F.col("contexts")) if o.plain_times else validtime.spans(F.col("contexts"))
         rows = rows.withColumn("__spans", spans).where(validtime.applies(F.col("__spans"), instant))
         rows = rows.withColumn("at_num", validtime.interpolated(F.col("__spans"), F.col("traj_from"), F.col("traj_to"), instant)).drop("__spans")
-    return bound_columns(rows, p, o, claims.columns)
+    return part(bound_columns(rows, p, o, claims.columns), o, ["row_tx"])
+
+
+def part(rows: DataFrame, o: Options, order: list[str]) -> DataFrame:
+    """The rows in order, or the part of them that limit and offset name."""
+    if not (o.ordered or o.limit is not None or o.offset):
+        return rows
+    if missing := [c for c in order if c not in rows.columns]:
+        raise PatternError(f"an order needs {missing}; it excludes bindings_only")
+    rows = rows.orderBy(*order)
+    rows = rows.offset(o.offset) if o.offset else rows
+    return rows if o.limit is None else rows.limit(o.limit)
 
 
 def rewritten(p: Pattern, registry: Registry) -> Pattern:
@@ -113,7 +134,7 @@ def matches(p: Pattern) -> Column:
     elif p.obj is not None:
         if is_free(p.obj):
             c &= F.col("object").isNotNull()
-        elif number(p.obj):
+        elif is_value(p.obj):
             c &= (F.col("object") == p.obj) | (F.col("object").isNull() & (F.col("value_text") == p.obj))
     for ctx in p.contexts:
         c &= F.array_contains("contexts", ctx)
@@ -122,6 +143,11 @@ def matches(p: Pattern) -> Column:
     return c
 
 
+def is_value(term: str) -> bool:
+    """A number or a date: as an object it also names rows that have it as their value."""
+    return number(term) is not None or re.match(DATE, term) is not None
+
+
 def tagged(key: str, value: str | None) -> Column:
     """A flat tag for no value, else the tag with exactly this one."""
     return F.exists("tags", lambda t: (t["key"] == key) & (t["value"].isNull() if value is None else t["value"] == value))
@@ -137,7 +163,7 @@ def exact(value: str) -> Column:
 
 def ends(rows: DataFrame, p: Pattern, reps: DataFrame | None) -> DataFrame:
     """Fixed and repeated ends; under aliases by representatives, so equality stays an equality."""
-    slots = [("subject", p.subject)] + ([("object", p.obj)] if p.obj is not None and not number(p.obj) else [])
+    slots = [("subject", p.subject)] + ([("object", p.obj)] if p.obj is not None and not is_value(p.obj) else [])
     for column, slot in slots:
         if not is_free(slot) and reps is None:
             rows = rows.where(F.col(column) == slot)
@@ -193,6 +219,8 @@ def tx_condition(f: Filter) -> Column:
 
 def bound_columns(rows: DataFrame, p: Pattern, o: Options, columns: list[str]) -> DataFrame:
     value = F.coalesce("value_text", F.col("value_num").cast("string"))
+    if o.at is not None:  # an interpolated value stands for the trajectory
+        value = F.coalesce(format_at_column(F.col("at_num"), F.col("value_text"), F.col("value_unit")), value)
     places = [(p.subject, F.col("subject")), (p.verb, F.col("verb")), (p.obj, F.col("object")), (p.value, value)]
     out, seen = [], set()
     for slot, c in places:
@@ -207,21 +235,22 @@ def bound_columns(rows: DataFrame, p: Pattern, o: Options, columns: list[str]) -
 
 
 def transitive(spark: SparkSession, claims: DataFrame, p: Pattern, o: Options) -> DataFrame:
-    """src and dst under the variables' names. A fixed end seeds the walk; closures read current beliefs even under `all`."""
-    edges = graph.edges_of_verb(as_of(claims, bound_of(o.as_of), False), p.verb)
-    src, dst = p.subject, p.obj
-    reps = None
+    """src and dst under the variables' names. A fixed end seeds the walk; closures read current beliefs even under `all`. Under aliases
+    the walk is among representatives, and its ends are told by the names that edges have there."""
+    seen = as_of(claims, bound_of(o.as_of), False)
+    stored = edges = graph.edges_of_verb(seen, p.verb)
+    src, dst, reps = p.subject, p.obj, None
     if o.aliases:
-        reps = graph.representatives(spark, as_of(claims, bound_of(o.as_of), False))
+        reps = graph.representatives(spark, seen, driver_edges=o.driver_edges)
         edges = graph.through_aliases(spark, edges, reps)
         stand = lambda s: s if is_free(s) else next((r[0] for r in reps.where(F.col("name") == s).select("rep").limit(1).collect()), s)
         src, dst = stand(src), stand(dst)
     if not is_free(src):
-        pairs = graph.closure(spark, edges, [src])
+        pairs = graph.closure(spark, edges, [src], driver_edges=o.driver_edges)
     elif not is_free(dst):
-        pairs = graph.closure(spark, edges, [dst], backwards=True)
+        pairs = graph.closure(spark, edges, [dst], backwards=True, driver_edges=o.driver_edges)
     else:
-        pairs = graph.closure(spark, edges)
+        pairs = graph.closure(spark, edges, driver_edges=o.driver_edges)
     if not is_free(src) and not is_free(dst):
         pairs = pairs.where(F.col("dst") == dst)
     if is_variable(p.subject) and p.subject == p.obj:
@@ -231,17 +260,32 @@ def transitive(spark: SparkSession, claims: DataFrame, p: Pattern, o: Options) -
         out.append(F.col("src").alias(p.subject[1:]))
     if is_variable(p.obj) and p.obj != p.subject:
         out.append(F.col("dst").alias(p.obj[1:]))
-    return pairs.select(*out).distinct() if out else pairs
-
-
-def joined(spark: SparkSession, claims: DataFrame, premises: list[str | Pattern], options: Options | None = None) -> DataFrame:
+    if o.support:
+        if reps is not None:
+            raise PatternError("support of closures is of the names as they stand: it excludes aliases")
+        rows = supported(current(seen.where((F.col("verb") == p.verb) & F.col("object").isNotNull())))
+        ids = rows.select(F.col("subject").alias("edge_src"), F.col("object").alias("edge_dst"), "id")
+        found = graph.support(graph.closure(spark, edges, driver_edges=o.driver_edges), edges, pairs).join(ids, ["edge_src", "edge_dst"])
+        pairs = found.groupBy("src", "dst").agg(F.array_sort(F.collect_set("id")).alias("support"))
+        return part(pairs.select(*out, "support") if out else pairs, o, [n[1:] for n in dict.fromkeys((p.subject, p.obj)) if is_variable(n)])
+    if reps is not None and out:
+        names = pairs.select("src", "dst")
+        pairs = graph.expanded(names, stored, reps)
+    found = pairs.select(*out).distinct() if out else pairs
+    return part(found, o, found.columns)
+
+
+def joined(spark: SparkSession, claims: DataFrame, premises: list[str | Pattern], options: Options | None = None, each: dict[int, DataFrame] | None = None, only: dict[int, Column] | None = None) -> DataFrame:
     """Bindings of several patterns at once: each a DataFrame, joined on the variables they share. The rows' ids and
-    confidences are carried as arrays, in the premises' order; transitive premises add neither."""
+    confidences are carried as arrays, in the premises' order; transitive premises add neither. `each` gives some premises claims
+    of their own, `only` a condition on the rows (row_ columns) that they match."""
     o = replace(options or Options(), bindings_only=False)
     out: DataFrame | None = None
-    for text in premises:
+    for i, text in enumerate(premises):
         p = parse(text) if isinstance(text, str) else text
-        rows = query(spark, claims, p, o)
+        rows = query(spark, (each or {}).get(i, claims), p, o)
+        if only and i in only:
+            rows = rows.where(only[i])
         if p.transitive:
             rows = rows.select(*p.variables, F.array().cast("array<string>").alias("ids"), F.array().cast("array<double>").alias("confs"))
         else:
