@@ -1,4 +1,4 @@
-"""Shapes, health and alias discovery: expectations, instances, violations, staleness, disagreements, coverage, the gate."""
+"""Shapes and health: expectations, instances, violations, staleness, disagreements, coverage, the gate."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenet.functions.keys import is_entity, other_contexts, uuid7_ms
 from tenet.operators import closure as graph
 from tenet.operators.belief import current, supported
+from tenet.operators.registry import Registry
 
 DAY = 86_400_000
 
@@ -23,6 +24,19 @@ def expectations(claims: DataFrame) -> DataFrame:
     return rows.select(F.col("subject").alias("type"), what.alias("property"), F.when(what.rlike("^[A-Z][A-Z-]*$"), "relation").otherwise("attribute").alias("kind"), tag_value("cardinality").alias("cardinality"), tag_value("unit").alias("unit"))
 
 
+#: Expectations are declared by people; up to so many are read ahead, so only facts that they name are read at all.
+MOST_EXPECTATIONS = 10_000
+EXPECTATION = "type string, property string, kind string, cardinality string, unit string"
+
+
+def relevant(claims: DataFrame, expected: list, registry: Registry) -> DataFrame:
+    """The claims that any expectation is about. Verb and attribute are parts of the claim key, so this goes below `current`."""
+    attributes = sorted({e["property"] for e in expected if e["kind"] == "attribute"})
+    verbs = {registry.stored(e["property"]) for e in expected if e["kind"] == "relation"}
+    verbs |= {registry.primary(v) for v in verbs if registry.primary(v)}
+    return claims.where(((F.col("verb") == "HAS") & F.col("attribute").isin(attributes)) | (F.col("verb").isin(sorted(verbs)) & F.col("object").isNotNull()))
+
+
 def instances(spark: SparkSession, claims: DataFrame) -> DataFrame:
     """(entity, type, via): positive IS into a type or one of its EXTENDS+ descendants; `via` is the type named."""
     named = supported(current(claims.where((F.col("verb") == "IS") & F.col("object").isNotNull()))).where(is_entity(F.col("object")))
@@ -31,21 +45,38 @@ def instances(spark: SparkSession, claims: DataFrame) -> DataFrame:
     return direct.withColumn("type", F.col("via")).select("entity", "type", "via").union(direct.join(up, "via").select("entity", "type", "via")).distinct()
 
 
-def violations(claims: DataFrame, expected: DataFrame, held: DataFrame) -> DataFrame:
-    """(entity, type, property, problem, observed): what instances lack, have too often, or have in another unit."""
+def violations(claims: DataFrame, expected: DataFrame, held: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """(entity, type, property, problem, observed, units): what instances lack, have too often, or have in another unit.
+
+    An expectation of an inverse verb counts the primary relations into the entity; one of a renamed verb those of its stored name."""
+    r = registry or Registry()
     facts = supported(current(claims))
-    att = facts.where(F.col("attribute").isNotNull() & (F.col("verb") == "HAS")).select(F.col("subject").alias("entity"), F.col("attribute").alias("property"), F.lit("attribute").alias("kind"), "value_unit")
-    rel = facts.where(F.col("object").isNotNull()).select(F.col("subject").alias("entity"), F.col("verb").alias("property"), F.lit("relation").alias("kind"), F.lit(None).cast("string").alias("value_unit"))
-    counted = att.union(rel).groupBy("entity", "property", "kind").agg(F.count("*").alias("n"), F.collect_set(F.coalesce("value_unit", F.lit(""))).alias("units"))
-    pairs = held.select("entity", "type").join(expected, "type")
-    seen = pairs.join(counted, ["entity", "property", "kind"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    none = F.lit(None).cast("string").alias("value_unit")
+    attribute = F.struct(F.col("subject").alias("entity"), F.col("attribute").alias("property"), F.lit("attribute").alias("kind"), "value_unit")
+    forth = F.struct(F.col("subject").alias("entity"), F.col("verb").alias("property"), F.lit("relation").alias("kind"), none)
+    names = F.create_map(*[F.lit(x) for inverse, primary in r.inverses.items() for x in (primary, inverse)])
+    inverse = F.try_element_at(names, F.col("verb"))
+    back = F.struct(F.col("object").alias("entity"), inverse.alias("property"), F.lit("relation").alias("kind"), none)
+    has, related = F.col("attribute").isNotNull() & (F.col("verb") == "HAS"), F.col("object").isNotNull()
+    ends = F.array(F.when(has, attribute), F.when(related, forth), F.when(related & inverse.isNotNull(), back))
+    counted = facts.select(F.explode(F.array_compact(ends)).alias("f")).select("f.*").groupBy("entity", "property", "kind")
+    counted = counted.agg(F.count("*").alias("n"), F.collect_set(F.coalesce("value_unit", F.lit(""))).alias("units"))
+    pairs = held.select("entity", "type").join(expected.withColumn("stored", r.column(F.col("property"))), "type")
+    seen = pairs.join(counted.withColumnRenamed("property", "stored"), ["entity", "stored", "kind"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     wrong = F.when(F.col("n") == 0, "missing").when((F.col("cardinality") == "one") & (F.col("n") > 1), "too many")
     wrong = wrong.when(F.col("unit").isNotNull() & F.exists("units", lambda u: u != F.col("unit")), "unit")
-    return seen.withColumn("problem", wrong).where("problem is not null").select("entity", "type", "property", "problem", F.col("n").cast("long").alias("observed"))
+    units = F.array_sort(F.filter(F.coalesce("units", F.array().cast("array<string>")), lambda u: u != ""))
+    return seen.withColumn("problem", wrong).where("problem is not null").select("entity", "type", "property", "problem", F.col("n").cast("long").alias("observed"), units.alias("units"))
 
 
-def check(spark: SparkSession, claims: DataFrame) -> DataFrame:
-    return violations(claims, expectations(claims), instances(spark, claims))
+def check(spark: SparkSession, claims: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """All violations. The expectations are read first, and facts that none of them names are filtered at the scan."""
+    expected = expectations(claims)
+    read = expected.limit(MOST_EXPECTATIONS + 1).collect()
+    if len(read) > MOST_EXPECTATIONS:
+        return violations(claims, expected, instances(spark, claims), registry)
+    r = registry or Registry()
+    return violations(relevant(claims, read, r), spark.createDataFrame(read, EXPECTATION), instances(spark, claims), r)
 
 
 def new_violations(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -93,54 +124,3 @@ def disagreements(claims: DataFrame, representatives: DataFrame) -> DataFrame:
     return out.where((F.col("name") < F.col("name_b")) & differ).select("rep", "verb", "what", "name", "name_b", "value", "value_b")
 
 
-# --- alias discovery ---
-
-#: A part of a block holds about so many names.
-BLOCK = 2000
-
-
-def normal(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"^.*/", "")), r"[^a-z0-9]+", " "))
-
-
-def suggest(entities: DataFrame, known: DataFrame | None = None, least: float = 0.7, top: int | None = None) -> DataFrame:
-    """(a, b, score, signal) of names that may be one thing, from a column `name`.
-
-    Blocks: first character, last four characters (of names of five or more), and each token; only pairs of a block are
-    compared, once. A block of more than BLOCK names is dealt over parts, each compared with the whole block.
-    Signals: equal when normalised 1.0, the same tokens reordered 0.9, a subset of tokens 0.7, one the other's beginning by the
-    share of its length, and edit similarity of at least 0.75. Names that differ in digits alone are no aliases."""
-    names = entities.select("name", normal(F.col("name")).alias("norm")).where("norm <> ''").distinct()
-    first = F.array(F.concat(F.lit("p:"), F.substring("norm", 1, 1)))
-    last = F.when(F.length("norm") >= 5, F.array(F.concat(F.lit("s:"), F.right(F.col("norm"), F.lit(4))))).otherwise(F.array().cast("array<string>"))
-    words = F.transform(F.split("norm", " "), lambda t: F.concat(F.lit("t:"), t))
-    flat = F.concat(F.lit("e:"), F.regexp_replace("norm", " ", ""))
-    keyed = names.select("name", "norm", F.explode(F.array_distinct(F.concat(first, last, words, F.array(flat)))).alias("block"))
-    sizes = keyed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    keyed = keyed.join(sizes, "block")
-    other = keyed.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("name_b"), F.col("norm").alias("norm_b"))
-    pairs = keyed.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).join(other, ["block", "part"]).where("name < name_b").select("name", "name_b", "norm", "norm_b").distinct()
-    a, b = F.col("norm"), F.col("norm_b")
-    letters = lambda c: F.regexp_replace(c, "[0-9]", "")
-    pairs = pairs.where((a == b) | (letters(a) != letters(b)))
-    ta, tb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    common, small = F.size(F.array_intersect(ta, tb)), F.least(F.size(ta), F.size(tb))
-    longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    edit = 1 - F.levenshtein(a, b) / longest
-    squeeze = lambda c: F.regexp_replace(c, " ", "")
-    signal = F.when(squeeze(a) == squeeze(b), F.struct(F.lit(1.0).alias("score"), F.lit("equal").alias("signal")))
-    signal = signal.when((common == F.size(ta)) & (common == F.size(tb)), F.struct(F.lit(0.9).alias("score"), F.lit("reordered").alias("signal")))
-    signal = signal.when(a.startswith(b) | b.startswith(a), F.struct(F.greatest(F.lit(0.7), shortest / longest).alias("score"), F.lit("beginning").alias("signal")))
-    signal = signal.when(common == small, F.struct(F.lit(0.7).alias("score"), F.lit("subset").alias("signal")))
-    signal = signal.when(edit >= 0.75, F.struct(edit.alias("score"), F.lit("edit").alias("signal")))
-    out = pairs.withColumn("s", signal).where("s is not null").select(F.col("name").alias("a"), F.col("name_b").alias("b"), "s.score", "s.signal").where(F.col("score") >= least)
-    if known is not None:
-        r = known.select("name", "rep")
-        out = out.join(r.withColumnsRenamed({"name": "a", "rep": "ra"}), "a", "left").join(r.withColumnsRenamed({"name": "b", "rep": "rb"}), "b", "left")
-        out = out.where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b", "score", "signal")
-    return out.orderBy(F.desc("score"), "a", "b").limit(top) if top else out
-
-
-def suggested_confidence(score: Column) -> Column:
-    """What a suggestion is written with: half its score, within 0.3 and 0.5."""
-    return F.least(F.lit(0.5), F.greatest(F.lit(0.3), score / 2))
