@@ -46,8 +46,8 @@ def latest(claims: DataFrame, key: str) -> DataFrame:
 
 
 def about(claims: DataFrame, entity: str) -> DataFrame:
-    """All rows that name the entity as subject or object."""
-    return claims.where((F.col("subject") == entity) | (F.col("object") == entity))
+    """All rows that name the entity as subject or object, the newest first."""
+    return claims.where((F.col("subject") == entity) | (F.col("object") == entity)).orderBy(F.desc("tx"))
 
 
 def forward(claims: DataFrame, entity: str, everything: bool = False) -> DataFrame:
@@ -172,5 +172,10 @@ def snapshot(claims: DataFrame) -> str | None:
     return claims.agg(F.max("tx")).first()[0]
 
 
+def capped(rows: DataFrame, n: int, *order: Column | str) -> tuple[DataFrame, int]:
+    """A section of at most n rows, and how many there are in all."""
+    return rows.orderBy(*order).limit(n), rows.count()
+
+
 def ranked_in(rows: DataFrame, group: Sequence[str], *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

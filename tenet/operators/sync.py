@@ -1,8 +1,9 @@
-"""Union of stores by row identity, phrase search, and scoring against a golden set."""
+"""Union of stores by row identity, phrase and boolean search, and scoring against a golden set."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,20 +25,92 @@ def tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def has_phrase(c: Column, phrase: str) -> Column:
+#: Letters with marks, below U+0250, and the letters alone; by canonical decomposition.
+MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
+PLAIN = [unicodedata.normalize("NFD", c)[0] for c in MARKED]
+
+
+def folded(c: Column) -> Column:
+    """Lower case, without marks on letters."""
+    return F.lower(F.translate(c, "".join(MARKED), "".join(PLAIN)))
+
+
+def fold(text: str) -> str:
+    return text.translate({ord(a): b for a, b in zip(MARKED, PLAIN, strict=True)}).lower()
+
+
+def spaced(c: Column, fold_marks: bool = False) -> Column:
+    """The tokens of a text with one blank around each."""
+    text = F.coalesce(c, F.lit(""))
+    return F.concat(F.lit(" "), F.regexp_replace(folded(text) if fold_marks else F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
+def has_phrase(c: Column, phrase: str, fold_marks: bool = False) -> Column:
     """Do the phrase's tokens stand in the text one after another?"""
-    words = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
-    if not words:
-        return F.lit(False)
-    joined = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    return joined.contains(f" {' '.join(words)} ")
-
-
-def search(claims: DataFrame, phrase: str, limit: int = 20) -> DataFrame:
-    """The newest rows with the phrase in any of their texts."""
-    found = has_phrase(F.col(SEARCHED[0]), phrase)
-    for c in SEARCHED[1:]:
-        found |= has_phrase(F.col(c), phrase)
+    words = [w for w in re.split(r"[\W_]+", fold(phrase) if fold_marks else phrase.lower()) if w]
+    return spaced(c, fold_marks).contains(f" {' '.join(words)} ") if words else F.lit(False)
+
+
+def matching(c: Column, expression: str) -> Column:
+    """A boolean search: words, "phrases", beginnings (word*), AND (also by standing side by side), OR, NOT and brackets, marks folded.
+
+    NOT takes what follows it from what stands before it; AND binds closer than OR, NOT closer than AND."""
+    text, tokens = spaced(c, True), re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+', expression)
+    at = 0
+
+    def atom() -> Column:
+        nonlocal at
+        if at >= len(tokens) or tokens[at] in (")", "AND", "OR", "NOT"):
+            raise ValueError(f"a search term is missing: {expression}")
+        token = tokens[at]
+        at += 1
+        if token == "(":
+            inner = either()
+            if at >= len(tokens) or tokens[at] != ")":
+                raise ValueError(f"a bracket is open: {expression}")
+            at += 1
+            return inner
+        words = [w for w in re.split(r"[\W_]+", fold(token)) if w]
+        return text.contains(f" {' '.join(words)}" + ("" if token.endswith("*") else " ")) if words else F.lit(False)
+
+    def without() -> Column:
+        nonlocal at
+        out = atom()
+        while at < len(tokens) and tokens[at] == "NOT":
+            at += 1
+            out = out & ~atom()
+        return out
+
+    def both() -> Column:
+        nonlocal at
+        out = without()
+        while at < len(tokens) and tokens[at] not in ("OR", ")"):
+            at += tokens[at] == "AND"
+            out = out & without()
+        return out
+
+    def either() -> Column:
+        nonlocal at
+        out = both()
+        while at < len(tokens) and tokens[at] == "OR":
+            at += 1
+            out = out | both()
+        return out
+
+    found = either()
+    if at < len(tokens):
+        raise ValueError(f"a bracket closes nothing: {expression}")
+    return found
+
+
+def search(claims: DataFrame, phrase: str, limit: int = 20, raw: bool = False) -> DataFrame:
+    """The newest rows with the phrase in any of their texts, marks folded; raw takes a boolean search over all texts together."""
+    if raw:
+        found = matching(F.concat_ws(" | ", *SEARCHED), phrase)
+    else:
+        found = has_phrase(F.col(SEARCHED[0]), phrase, True)
+        for c in SEARCHED[1:]:
+            found |= has_phrase(F.col(c), phrase, True)
     return claims.where(found).orderBy(F.desc("tx")).limit(limit)
 
 

@@ -96,6 +96,12 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out)
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of parts and suppliers that stand in one line, as items that go together."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return conform(li.select(*relation(14, F.col("l_partkey") * 10_000_000 + F.col("l_suppkey"), name("item", "l_partkey"), "GOES-WITH", name("item", "l_suppkey"))))
+
+
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit prices by supplier, with a delta of two sigmas; one row for each line item that has a discount."""
     li = table(spark, sf_dir, "lineitem").where("l_discount > 0")

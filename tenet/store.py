@@ -1,21 +1,28 @@
-"""A store: claims and edges as immutable tables, with versioned snapshots. Changes make a new value; commit writes it."""
+"""A store: claims and edges as immutable tables, with versioned snapshots. Changes make a new value; `save` writes it.
+
+A transaction is a candidate store: what fails in it leaves the store that it began with."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenet.extensions import ParquetStorage, Storage
+from tenet.functions import keys
 from tenet.functions.keys import tx_bound, uuid7_ms
-from tenet.operators import belief, sync
+from tenet.operators import belief, shape, sync
 from tenet.operators.registry import Registry, fold
 from tenet.plans.query import Options, query
 from tenet.schema import CLAIM, EDGE, conform
 from tenet.sources import text as claim_text
+from tenet.staging import staged
 
 
 @dataclass(frozen=True)
@@ -37,14 +44,45 @@ class Store:
         last = self.claims.agg(F.max("tx")).first()[0]
         return max(self.clock(), int(last.replace("-", "")[:12], 16) + 1 if last else 0)
 
-    def append(self, rows: DataFrame, edges: DataFrame | None = None) -> Store:
-        """Rows that have ids; those with ids already here are left out."""
-        return replace(self, claims=sync.merged(self.claims, conform(rows)), edges=self.edges if edges is None else sync.merged_edges(self.edges, edges))
+    def append(self, rows: DataFrame, edges: DataFrame | None = None, minted: bool = False) -> Store:
+        """Rows that have ids; those with ids already here are left out. minted: the ids are later than all here, so none of them is."""
+        new = conform(rows)
+        claims = self.claims.unionByName(new) if minted else sync.merged(self.claims, new)
+        return replace(self, claims=claims, edges=self.edges if edges is None else self.edges.unionByName(edges) if minted else sync.merged_edges(self.edges, edges))
+
+    def add(self, rows: DataFrame) -> Store:
+        """Rows without ids, which get new ones in any order: later than all here, and by a number in it."""
+        plain = rows.drop("id", "tx")
+        numbered = plain.withColumn("tx", keys.uuid7(F.lit(self.next_ms()), F.monotonically_increasing_id()))
+        return self.append(staged(self.spark, conform(numbered), "added"), minted=True)
+
+    def append_edges(self, edges: DataFrame) -> Store:
+        """Edges between rows; those that are here already count once."""
+        return replace(self, edges=sync.merged_edges(self.edges, edges))
 
     def ingest(self, text: str, source: str | None = None, strict: bool = False) -> tuple[Store, claim_text.Document]:
         """Parse and append a text; strict leaves the store as it was if any line has a problem (it raises)."""
         rows, edges, doc = claim_text.claims_of(self.spark, text, self.next_ms(), source, strict, self.registry())
-        return self.append(rows, edges), doc
+        return self.append(rows, edges, minted=True), doc
+
+    def gated(self, text: str, source: str | None = None, strict: bool = False) -> tuple[Store, DataFrame | None]:
+        """As `ingest`, unless that adds a violation of the expectations that hold after it: then the store as it is, and those."""
+        after, _ = self.ingest(text, source, strict)
+        new = shape.new_violations(shape.check(self.spark, self.claims, self.registry()), shape.check(self.spark, after.claims, after.registry()))
+        return (self, new) if new.limit(1).count() else (after, None)
+
+    def synced(self, text: str) -> tuple[Store, list[tuple[int, str]]]:
+        """Rows of an annotated text (each claim line after a line `;@ id`) by their own ids: those here are left out. With any problem
+        nothing is taken, and the problems (line, what) are told."""
+        rows, edges, problems = claim_text.annotated(self.spark, text, self.registry())
+        return (self, problems) if problems else (self.append(rows, edges), [])
+
+    @contextmanager
+    def transaction(self) -> Iterator[Transaction]:
+        """Changes to a candidate, whose `store` is what was made of it; an exception takes it back to what it was, and goes on."""
+        t = Transaction(self)
+        with t.savepoint():
+            yield t
 
     def query(self, text: str, **options) -> DataFrame:
         return query(self.spark, self.claims, text, Options(registry=self.registry(), **options))
@@ -56,50 +94,95 @@ class Store:
         return belief.current(self.claims, as_of)
 
     def export(self, current: bool = True, ceiling: str = "internal", with_tx: bool = False) -> DataFrame:
-        """(tx, line): canonical text of the rows that the ceiling lets through, resolved first."""
+        """(tx, line): canonical text of the rows that the ceiling lets through, resolved first; with_tx: each after a line with its id."""
         rows = belief.visible(self.current() if current else self.claims, ceiling)
-        return rows.select("tx", emitted(with_tx).alias("line"))
+        line = F.concat(F.lit(";@ "), F.col("tx"), F.lit("\n"), emitted()) if with_tx else emitted()
+        return rows.select("tx", line.alias("line"))
 
     # --- snapshots ---
 
-    def save(self, path: str) -> dict:
+    def save(self, path: str, storage: Callable[[str], Storage] = ParquetStorage) -> dict:
         """A new version under path: tables sorted for pruning, then a manifest, whose presence is the commit."""
         version = f"v{self.next_ms():015d}"
-        self.claims.repartitionByRange("verb", "claim_key").sortWithinPartitions("claim_key", "tx").write.parquet(f"{path}/{version}/claims")
-        self.edges.write.parquet(f"{path}/{version}/edges")
-        manifest = {"version": version, **counts(self.spark, f"{path}/{version}")}
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/{version}/manifest")
+        at = storage(f"{path}/{version}")
+        at.write(self.claims, "claims")
+        at.write(self.edges, "edges")
+        manifest = {"version": version, **digests(self.spark, f"{path}/{version}")}
+        at.publish(self.spark, json.dumps(manifest))
         return manifest
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, version: str, verify: bool = True) -> Store:
-        manifest = json.loads(spark.read.text(f"{path}/{version}/manifest").first()[0])
-        if verify and (found := counts(spark, f"{path}/{version}")) != {k: manifest[k] for k in found}:
-            raise ValueError(f"{path}/{version} is not what its manifest says: {found}")
-        return cls(spark, spark.read.schema(CLAIM).parquet(f"{path}/{version}/claims"), spark.read.schema(EDGE).parquet(f"{path}/{version}/edges"))
+    def load(cls, spark: SparkSession, path: str, version: str, verify: bool = True, storage: Callable[[str], Storage] = ParquetStorage) -> Store:
+        if verify:
+            verified(spark, path, version, storage=storage)
+        at = storage(f"{path}/{version}")
+        return cls(spark, conform(at.read(spark, "claims")), at.read(spark, "edges").select(*EDGE.names))
+
+    @classmethod
+    def restore(cls, spark: SparkSession, path: str, version: str, target: str, sha256: str | None = None) -> dict:
+        """A verified copy of a version under target, which becomes visible at once or not at all; its manifest."""
+        verified(spark, path, version, sha256)
+        return cls.load(spark, path, version, verify=False).save(target)
 
 
-def counts(spark: SparkSession, path: str) -> dict:
-    """Rows and order-free digests of a snapshot's tables."""
-    out = {}
-    for name in ("claims", "edges"):
-        df = spark.read.parquet(f"{path}/{name}")
-        h = F.xxhash64(*[F.to_json(c) if t.startswith(("array", "struct")) else F.col(c) for c, t in df.dtypes])
-        r = df.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0))).first()
-        out |= {f"{name}_rows": r[0], f"{name}_digest": r[1]}
-    return out
+class Transaction:
+    """A store that changes in place while its transaction lasts; savepoints nest."""
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
 
+    @contextmanager
+    def savepoint(self) -> Iterator[Transaction]:
+        before = self.store
+        try:
+            yield self
+        except BaseException:
+            self.store = before
+            raise
 
-def emitted(with_tx: bool = False):
+    def ingest(self, text: str, source: str | None = None, strict: bool = False) -> claim_text.Document:
+        self.store, doc = self.store.ingest(text, source, strict)
+        return doc
+
+    def append(self, rows: DataFrame, edges: DataFrame | None = None) -> None:
+        self.store = self.store.append(rows, edges)
+
+
+def digests(spark: SparkSession, path: str) -> dict:
+    """Of a snapshot's tables: rows, the latest id, and the SHA-256 of their files' names and SHA-256 in order. Files are read whole, by
+    executors, one at a time; their digests alone come to the driver."""
+    out, said = {}, hashlib.sha256()
+    for name in ("claims", "edges"):
+        df = spark.read.parquet(f"{path}/{name}")
+        last = F.max("tx") if "tx" in df.columns else F.lit(None).cast("string")
+        r = df.agg(F.count("*"), last).first()
+        out |= {f"{name}_rows": r[0]} | ({"last": r[1]} if "tx" in df.columns else {})
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/{name}")
+        for f in files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.sha2("content", 256).alias("sha")).orderBy("file").toLocalIterator():
+            said.update(f"{name}/{f['file']} {f['sha']}\n".encode())
+    return out | {"sha256": said.hexdigest()}
+
+
+def verified(spark: SparkSession, path: str, version: str, sha256: str | None = None, storage: Callable[[str], Storage] = ParquetStorage) -> dict:
+    """The manifest of a version whose files are what it says, and what the caller expects."""
+    said = storage(f"{path}/{version}").manifest(spark)
+    if said is None:
+        raise ValueError(f"{path}/{version} was never published")
+    manifest, found = json.loads(said), digests(spark, f"{path}/{version}")
+    if found != {k: manifest[k] for k in found} or (sha256 is not None and found["sha256"] != sha256.lower()):
+        raise ValueError(f"{path}/{version} is not what its manifest says, or not what is expected: {found}")
+    return manifest
+
+
+def emitted():
     """A claim's canonical line, as a column."""
-    none = F.lit(None).cast("string")
     value = F.coalesce("value_text", F.concat_ws(" ", F.col("value_num").cast("string"), "value_unit"))
     payload = F.when(F.col("attribute").isNotNull(), F.concat(F.col("attribute"), F.lit(": "), value)).when(F.col("object").isNotNull(), F.col("object")).when(value != "", value)
     delta = F.when(F.col("delta_num").isNotNull(), F.concat(F.lit("+/- "), F.col("delta_num").cast("string"), F.coalesce("delta_unit", F.lit(""))))
     tags = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("#"), t["key"], F.when(t["value"].isNotNull(), F.concat(F.lit(":"), t["value"])).otherwise(F.lit("")))), " ")
     ctx = F.array_join(F.transform("contexts", lambda c: F.concat(F.lit("@"), c)), " ")
     conf = F.when(F.col("conf") < 1, F.concat(F.lit("@ "), F.regexp_replace(F.format_number(F.col("conf") * 100, 2), r"\.?0+$", ""), F.lit("%")))
-    parts = [F.col("subject"), F.col("verb"), F.when(F.col("negated"), "NOT"), payload, delta, F.nullif(ctx, F.lit("")), F.nullif(tags, F.lit("")), conf, F.when(F.col("importance"), "!"), F.when(F.col("comment").isNotNull(), F.concat(F.lit("; "), "comment")), F.concat(F.lit(";@ "), "tx") if with_tx else none]
+    parts = [F.col("subject"), F.col("verb"), F.when(F.col("negated"), "NOT"), payload, delta, F.nullif(ctx, F.lit("")), F.nullif(tags, F.lit("")), conf, F.when(F.col("importance"), "!"), F.when(F.col("comment").isNotNull(), F.concat(F.lit("; "), "comment"))]
     return F.concat_ws(" ", *parts)
 
 
@@ -108,6 +191,14 @@ def records(claims: DataFrame) -> DataFrame:
     return claims.select("id", F.to_json(F.struct(F.lit("tenet.claim/1").alias("format"), *claims.columns)).alias("record"))
 
 
+def match_record(columns: list[str]):
+    """A solution of a query as versioned JSON: its bindings, and the claim that it matched."""
+    bound = [c for c in columns if not c.startswith("row_") and c not in ("at_num", "support")]
+    bindings = F.map_from_arrays(F.array(*[F.lit(c) for c in bound]), F.array(*[F.col(c) for c in bound]))
+    claim = F.struct(*[F.col(c).alias(c.removeprefix("row_")) for c in columns if c.startswith("row_")])
+    return F.to_json(F.struct(F.lit("tenet.match/1").alias("format"), bindings.alias("bindings"), claim.alias("claim")))
+
+
 def from_records(rows: DataFrame) -> DataFrame:
     """Back from JSON; a record whose key is not its content's raises."""
     from pyspark.sql import types as T
@@ -119,4 +210,4 @@ def from_records(rows: DataFrame) -> DataFrame:
     return parsed.withColumn("id", F.when(ok, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("not a claim record: "), "id")))).drop("format")
 
 
-__all__ = ["Store", "emitted", "from_records", "records", "tx_bound", "uuid7_ms"]
+__all__ = ["Store", "Transaction", "digests", "emitted", "from_records", "records", "tx_bound", "uuid7_ms", "verified"]

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenet.operators.belief import current
-from tenet.operators.rules import events_since
+from tenet.operators.rules import events_since, triggered
 from tenet.schema import CLAIM
+from tenet.staging import delete
 
 
 def appended(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -29,37 +30,87 @@ def latest(stream: DataFrame) -> DataFrame:
     return best.select(*[F.col(f"r.{c}").alias(c) for c in names], "claim_key")
 
 
-def keep_current(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Fold batches into versioned tables of current beliefs under `target`: version n is batch n folded into version n - 1, so a
-    batch that is run again writes the same table."""
+def keep_current(stream: DataFrame, target: str, checkpoint: str, buckets: int = 16, keep: int = 2, every: str | None = None) -> StreamingQuery:
+    """Fold batches into tables of current beliefs under `target`: version n is batch n folded into version n - 1, so a batch that is run
+    again writes the same table. Keys are dealt over buckets; only buckets that a batch touches are written anew, and a version
+    names the folder of each bucket. The last `keep` versions stay. every: a trigger interval, else what there is now, once."""
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.schema(CLAIM).parquet(f"{target}/batch={number - 1}").select(*batch.columns).unionByName(batch)
-        current(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        bucket = F.pmod(F.xxhash64("claim_key"), F.lit(buckets)).cast("int").alias("bucket")
+        rows = batch.select("*", bucket)
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # `buckets` numbers at most
+        before = parts(spark, target, number - 1)
+        held = [before[b] for b in touched if b in before]
+        both = rows.drop("bucket")
+        for path in held:
+            both = both.unionByName(spark.read.schema(CLAIM).parquet(path).select(*batch.columns))
+        at = f"{target}/batch={number}"
+        current(both).select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/rows")
+        now = before | {b: f"{at}/rows/bucket={b}" for b in touched}
+        listing = spark.createDataFrame(sorted(now.items()), "bucket int, path string")
+        listing.coalesce(1).write.mode("overwrite").parquet(f"{at}/parts")
+        forget(spark, target, number - keep, number)
+
+    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def parts(spark: SparkSession, target: str, number: int) -> dict[int, str]:
+    """The folder of each bucket of a version; none before the first."""
+    if number < 0:
+        return {}
+    return {r["bucket"]: r["path"] for r in spark.read.schema("bucket int, path string").parquet(f"{target}/batch={number}/parts").collect()}
+
+
+def kept(spark: SparkSession, target: str, number: int) -> DataFrame:
+    """The current beliefs of a version."""
+    paths = list(parts(spark, target, number).values())
+    return spark.read.schema(CLAIM).parquet(*paths) if paths else spark.createDataFrame([], CLAIM)
+
+
+def forget(spark: SparkSession, target: str, number: int, newest: int) -> None:
+    """Delete a version's listing, and those of its buckets that no later version names."""
+    if number < 0 or not exists(spark, f"{target}/batch={number}/parts"):
+        return
+    named = {p for n in range(number + 1, newest + 1) for p in parts(spark, target, n).values()}
+    gone = [p for p in parts(spark, target, number).values() if p not in named]
+    delete(spark, *gone, f"{target}/batch={number}/parts")
+
+
+def on_events(stream: DataFrame, history: str, premises: list[str], act: Callable[[DataFrame, int], None], checkpoint: str, mark: str, marks: str, every: str | None = None) -> StreamingQuery:
+    """Call act(solutions, batch number) with the solutions that cite rows of the batch, if there are any.
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    At most once: a batch is written down under `marks` before act is called, and one that is written down is never acted on again,
+    not even if act failed half way. Only the batch's rows join the history, premise by premise."""
 
+    def fire(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = events_since(batch, mark).agg(F.min("tx")).first()[0]
+        if first is None or not noted(spark, f"{marks}/batch={number}"):
+            return
+        claims = spark.read.schema(CLAIM).parquet(history)
+        solutions = triggered(spark, claims, premises, max(mark, just_before(first)))
+        if solutions.limit(1).count():
+            act(solutions, number)
 
-def on_events(stream: DataFrame, history: str, premises: list[str], act: Callable[[DataFrame, int], None], checkpoint: str, mark: str) -> StreamingQuery:
-    """Call act(solutions, batch number) with the solutions that cite rows of the batch, if there are any.
+    writer = stream.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
-    The batch is marked done in the checkpoint after act returns; act gets the batch number to make its effects idempotent."""
 
-    def fire(batch: DataFrame, number: int) -> None:
-        from tenet.operators.rules import triggered
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-        fresh = events_since(batch, mark)
-        first = fresh.agg(F.min("tx")).first()[0]
-        if first is None:
-            return
-        claims = batch.sparkSession.read.schema(CLAIM).parquet(history)
-        solutions = triggered(batch.sparkSession, claims, premises, max(mark, just_before(first)))
-        act(solutions, number)
 
-    return stream.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def noted(spark: SparkSession, path: str) -> bool:
+    """Make a folder, if it is not there: has this call made it?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return False
+    fs.mkdirs(at)
+    return True
 
 
 def just_before(tx: str) -> str:
