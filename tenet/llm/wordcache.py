@@ -9,7 +9,8 @@ Ids are therefore always the library's, with its defaults but for add_special_to
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, partial
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -19,6 +20,7 @@ from tenet.llm.common import KEPT
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿\x00]")
 #: No text has this character between units: the units that hold it are encoded alone.
 MARK = "\x02"
+nfc = partial(is_normalized, "NFC")
 #: A cache is emptied at so many units; each takes about 200 bytes.
 CACHE_UNITS = 600_000
 
@@ -40,17 +42,46 @@ class Encoder:
         #: Between joined units stands a mark that the pre-tokenizer always takes alone; its ids are found again in the result.
         self.mark = f" {MARK} " if lower else f" {MARK}"
         self.mark_ids = self.library.encode("a" + self.mark, add_special_tokens=False).ids[1:]
+        #: Bytes that each id stands for (a byte is a character of a byte-level vocabulary), and whether a word may end with it.
+        known = self.library.get_vocab(with_added_tokens=False)
+        self.sizes, self.closes = np.zeros(max(known.values()) + 1, np.int64), np.ones(max(known.values()) + 1, bool)
+        for token, i in known.items():
+            self.sizes[i] = len(token.removesuffix("</w>") if lower else token)
+            self.closes[i] = not lower or token.endswith("</w>")
+        self.lower = lower
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def apart(self, units: list[str]) -> list[bytes]:
         """Each unit's ids, from one call: the library's cost a call is many times that of a word."""
+        joined = (" " if self.lower else "").join(units)
+        return self.cut(joined, [len((u.lower() if self.lower else u).encode()) for u in units]) or self.marked(units)
+
+    def plain(self, unit: str) -> bool:
+        """May a unit be joined with others of its like, with nothing between them?"""
+        return nfc(unit) if self.lower else unit[0] in " \n"
+
+    def cut(self, joined: str, sizes: list[int]) -> list[bytes] | None:
+        """The ids of joined units, cut where the units' bytes end; None if any end is not that of an id."""
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        if not len(ids) or int(ids.max()) >= len(self.sizes):
+            return None
+        reached, ends = np.cumsum(self.sizes[ids]), np.cumsum(sizes)
+        last = np.searchsorted(reached, ends)
+        if last[-1] != len(ids) - 1 or (reached[last] != ends).any() or not self.closes[ids[last]].all():
+            return None
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        stops = ((last + 1) * width).tolist()
+        return [raw[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def marked(self, units: list[str]) -> list[bytes]:
+        """As `apart`, with a mark between the units."""
         odd = [u for u in units if MARK in u or u[0] not in " \n"] if self.mark[-1] == MARK else [u for u in units if MARK in u]
         if odd:
             alone = dict(zip(odd, self.whole(odd), strict=True))
             rest = [u for u in units if u not in alone]
-            alone.update(zip(rest, self.apart(rest) if rest else [], strict=True))
+            alone.update(zip(rest, self.marked(rest) if rest else [], strict=True))
             return [alone[u] for u in units]
         ids = np.array(self.library.encode_batch_fast([self.mark.join(units)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         n = len(self.mark_ids)
@@ -87,9 +118,11 @@ class Encoder:
             cache.clear()
         cut = [self.units(t) for t in texts]
         missing = list({u for units in cut if units for u in units}.difference(cache))
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            cache.update(zip(part, self.apart(part), strict=True))
+        fits = [u for u in missing if self.plain(u)]
+        for group, way in ((fits, self.apart), (list(set(missing).difference(fits)), self.marked)):
+            for i in range(0, len(group), 4096):
+                part = group[i : i + 4096]
+                cache.update(zip(part, way(part), strict=True))
         got = cache.__getitem__
         return [b"".join(map(got, units)) if units is not None else self.whole([t])[0] for units, t in zip(cut, texts, strict=True)]
 
