@@ -33,6 +33,12 @@ def supported(claims: DataFrame) -> DataFrame:
     return claims.where((F.col("conf") > 0) & ~F.col("negated"))
 
 
+def believed(claims: DataFrame, *columns: str, bound: str | None = None, inclusive: bool = True) -> DataFrame:
+    """These columns of the current supported rows: nothing else of a row is aggregated and shuffled."""
+    narrow = claims.select("claim_key", "tx", "conf", "negated", *[c for c in columns if c != "tx"])
+    return supported(current(narrow, bound, inclusive)).select(*columns)
+
+
 def at_least(claims: DataFrame, conf: float) -> DataFrame:
     return current(claims).where(F.col("conf") >= conf)
 
@@ -103,18 +109,18 @@ def topic_members(claims: DataFrame, topic: str) -> DataFrame:
 
 
 def topics_of(claims: DataFrame, entity: str) -> DataFrame:
-    return supported(current(claims.where((F.col("verb") == "CONTAINS") & (F.col("object") == entity)))).select(F.col("subject").alias("topic"))
+    return believed(claims.where((F.col("verb") == "CONTAINS") & (F.col("object") == entity)), "subject").select(F.col("subject").alias("topic"))
 
 
 def topics(claims: DataFrame) -> DataFrame:
     """Topics with their numbers of members."""
-    held = supported(current(claims.where((F.col("verb") == "CONTAINS") & F.col("object").isNotNull())))
+    held = believed(claims.where((F.col("verb") == "CONTAINS") & F.col("object").isNotNull()), "subject")
     return held.groupBy(F.col("subject").alias("topic")).agg(F.count("*").alias("members"))
 
 
 def citations(claims: DataFrame) -> DataFrame:
     """For every entity of current relations: how many it names, and how many name it. One pass, one shuffle."""
-    held = supported(current(claims.where(F.col("object").isNotNull())))
+    held = believed(claims.where(F.col("object").isNotNull()), "subject", "object")
     ends = held.select(F.explode(F.array(F.struct(F.col("subject").alias("entity"), F.lit(1).alias("out")), F.struct(F.col("object").alias("entity"), F.lit(0).alias("out")))).alias("e"))
     return ends.groupBy("e.entity").agg(F.sum("e.out").alias("cites"), F.sum(1 - F.col("e.out")).alias("cited_by"))
 

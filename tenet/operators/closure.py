@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenet.functions.keys import is_entity
-from tenet.operators.belief import current, supported
+from tenet.operators.belief import believed
 from tenet.staging import new_path
 from tenet.staging import staged as written
 
@@ -26,7 +26,7 @@ MOST_STEPS = 30
 
 def edges_of_verb(claims: DataFrame, verb: str, bound: str | None = None) -> DataFrame:
     """(src, dst) of current supported relations between entities."""
-    rows = supported(current(claims.where((F.col("verb") == verb) & F.col("object").isNotNull()), bound))
+    rows = believed(claims.where((F.col("verb") == verb) & F.col("object").isNotNull()), "subject", "object", bound=bound)
     rows = rows.where(is_entity(F.col("subject")) & is_entity(F.col("object")))
     return rows.select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenet.functions.keys import is_entity, other_contexts, uuid7_ms
 from tenet.operators import closure as graph
-from tenet.operators.belief import current, supported
+from tenet.operators.belief import believed, current
 from tenet.operators.registry import Registry
 
 DAY = 86_400_000
@@ -19,7 +19,7 @@ def tag_value(key: str) -> Column:
 
 def expectations(claims: DataFrame) -> DataFrame:
     """type, property, kind (relation for a verb, else attribute), cardinality and unit, of current positive EXPECTS rows."""
-    rows = supported(current(claims.where(F.col("verb") == "EXPECTS")))
+    rows = believed(claims.where(F.col("verb") == "EXPECTS"), "subject", "object", "attribute", "tags")
     what = F.coalesce("object", "attribute")
     return rows.select(F.col("subject").alias("type"), what.alias("property"), F.when(what.rlike("^[A-Z][A-Z-]*$"), "relation").otherwise("attribute").alias("kind"), tag_value("cardinality").alias("cardinality"), tag_value("unit").alias("unit"))
 
@@ -39,7 +39,7 @@ def relevant(claims: DataFrame, expected: list, registry: Registry) -> DataFrame
 
 def instances(spark: SparkSession, claims: DataFrame) -> DataFrame:
     """(entity, type, via): positive IS into a type or one of its EXTENDS+ descendants; `via` is the type named."""
-    named = supported(current(claims.where((F.col("verb") == "IS") & F.col("object").isNotNull()))).where(is_entity(F.col("object")))
+    named = believed(claims.where((F.col("verb") == "IS") & F.col("object").isNotNull()), "subject", "object").where(is_entity(F.col("object")))
     direct = named.select(F.col("subject").alias("entity"), F.col("object").alias("via"))
     up = graph.closure(spark, graph.edges_of_verb(claims, "EXTENDS")).select(F.col("src").alias("via"), F.col("dst").alias("type"))
     return direct.withColumn("type", F.col("via")).select("entity", "type", "via").union(direct.join(up, "via").select("entity", "type", "via")).distinct()
@@ -50,7 +50,7 @@ def violations(claims: DataFrame, expected: DataFrame, held: DataFrame, registry
 
     An expectation of an inverse verb counts the primary relations into the entity; one of a renamed verb those of its stored name."""
     r = registry or Registry()
-    facts = supported(current(claims))
+    facts = believed(claims, "subject", "verb", "attribute", "object", "value_unit")
     none = F.lit(None).cast("string").alias("value_unit")
     attribute = F.struct(F.col("subject").alias("entity"), F.col("attribute").alias("property"), F.lit("attribute").alias("kind"), "value_unit")
     forth = F.struct(F.col("subject").alias("entity"), F.col("verb").alias("property"), F.lit("relation").alias("kind"), none)
