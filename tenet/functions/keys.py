@@ -8,16 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: How JSON writes the characters that it must escape: short forms where it has them.
-ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-ESCAPES |= {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in ESCAPES}
+#: Characters that JSON writes as a backslash and a letter, and the letters.
+SHORT, LETTERS = '\b\f\n\r\t"\\', 'bfnrt"\\'
 
 
 def json_text(c: Column) -> Column:
     """A string as JSON writes it: quotes, backslashes and control characters escaped. Most strings need nothing."""
-    table = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
-    each = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    inner = F.when(c.rlike(r'[\x00-\x1f"\\]'), F.array_join(each, "")).otherwise(c)
+    def one(x: Column) -> Column:
+        short = F.concat(F.lit("\\"), F.translate(x, SHORT, LETTERS))
+        return F.when(x.rlike(r'[\x08\f\n\r\t"\\]'), short).when(x < " ", F.format_string("\\u%04x", F.ascii(x))).otherwise(x)
+
+    inner = F.when(c.rlike(r'[\x00-\x1f"\\]'), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
     return F.concat(F.lit('"'), inner, F.lit('"'))
 
 
