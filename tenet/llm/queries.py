@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenet.llm import gif, licenses, mixing, packing, pii, quality, sharding, simhash, tokenshards, toxicity
+from tenet.llm import clusters, codes, gif, licenses, mixing, packing, pii, quality, sharding, simhash, suffixes, tokenshards, toxicity, vector_sql
 from tenet.llm.common import documents, table
 
 #: The rows of SHARDS have equal weights.
@@ -65,13 +65,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, documents(spark, sf_dir))
 
 
+def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(spark, documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(spark, table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_rendezvous_shards, op3_quality_rules, op4_gif_media, op5_simhash_dedup, op6_best_fit_packing, op7_toxicity, op8_source_mix, op9_personal_data, op10_license_scan, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_rendezvous_shards, op3_quality_rules, op4_gif_media, op5_simhash_dedup, op6_best_fit_packing, op7_toxicity, op8_source_mix, op9_personal_data, op10_license_scan, op11_repeated_bytes, op12_vector_codes, op13_centroid_clusters, pipeline)}
 
 OP8 = """
 with d as (
@@ -99,4 +111,4 @@ select d.doc_id, d.size, p.source_size, p.target, (p.whole * p.size + greatest(0
 from d join p on d.source is not distinct from p.source and d.key = p.key
 """
 
-SQL: dict[str, str] = {"op8_source_mix": OP8}
+SQL: dict[str, str] = {"op8_source_mix": OP8, "op11_repeated_bytes": vector_sql.REPEATED, "op12_vector_codes": vector_sql.codes_sql(), "op13_centroid_clusters": vector_sql.clusters_sql()}
