@@ -167,8 +167,8 @@ def shared_starts(spark: SparkSession, texts: DataFrame, first: int, threshold:
         ranks = staged(spark, ranked(several, by).drop("times"), "ranks")
         place = staged(spark, place.join(ranks, by).select("c", "low", "place", "rank"), "places")
         further = ladder[turn + 1] - length
-        place = place.join(place.select("c", (F.col("place") - further).alias("place"), F.col("rank").alias("next")), ["c", "place"])
-        by = ["rank", "next"]
+        place = place.withColumnRenamed("rank", "near").join(place.select("c", (F.col("place") - further).alias("place"), F.col("rank").alias("far")), ["c", "place"])
+        by = ["near", "far"]
     raise AssertionError
 
 
