@@ -20,6 +20,8 @@ from tenet.llm.common import KEPT
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿\x00]")
 #: No text has this character between units: the units that hold it are encoded alone.
 MARK = "\x02"
+#: Before a text's first word. Texts that have this character go through the library whole.
+FIRST = "\x00"
 nfc = partial(is_normalized, "NFC")
 #: A cache is emptied at so many units; each takes about 200 bytes.
 CACHE_UNITS = 600_000
@@ -60,7 +62,7 @@ class Encoder:
 
     def plain(self, unit: str) -> bool:
         """May a unit be joined with others of its like, with nothing between them?"""
-        return nfc(unit) if self.lower else unit[0] in " \n"
+        return nfc(unit) if self.lower else unit[0] in " \n" and unit[-1] != "\n"  # line feeds might run together
 
     def cut(self, joined: str, sizes: list[int]) -> list[bytes] | None:
         """The ids of joined units, cut where the units' bytes end; None if any end is not that of an id."""
@@ -103,26 +105,34 @@ class Encoder:
 
     @staticmethod
     def _split_spaced(text: str) -> list[str] | None:
-        """For a byte-level pre-tokenizer, which binds one blank to the word after it: pieces with the blank or line feed before
-        them. Runs of white space that its pattern would take together: None."""
+        """For a byte-level pre-tokenizer, which binds one blank to the word after it: words, for each of which `spaced_unit` tells the
+        unit, and two line feeds before a blank, which its pattern takes together. Other runs of white space: None."""
         if not text:
             return []
         if "  " in text or " \n" in text or "\n\n\n" in text or text[0] in " \n\t\r" or text[-1] == " " or text.endswith("\n\n") or ODD_BLANKS.search(text) or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
             return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[0] == "\n" else " " + x for x in rest]]
+        if "\n\n " not in text:
+            return (FIRST + text.replace("\n", " \n")).split(" ")
+        parts = [p.replace("\n", " \n").split(" ") for p in (FIRST + text).split("\n\n ")]
+        return [*parts[0], *[w for p in parts[1:] for w in ("\n\n", *p)]]
+
+    @staticmethod
+    def spaced_unit(word: str) -> str:
+        """The unit of a word of `_split_spaced`: with a blank before it, but for a text's first and those after a line feed."""
+        return word[1:] if word[0] == FIRST else word if word[0] == "\n" else " " + word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         if len(cache) > self.cache_units:
             cache.clear()
         cut = [self.units(t) for t in texts]
-        missing = list({u for units in cut if units for u in units}.difference(cache))
-        fits = [u for u in missing if self.plain(u)]
-        for group, way in ((fits, self.apart), (list(set(missing).difference(fits)), self.marked)):
+        missing = list(set().union(*filter(None, cut)).difference(cache))
+        pairs = [(k, k if self.lower else self.spaced_unit(k)) for k in missing]
+        for fits, way in ((True, self.apart), (False, self.marked)):
+            group = [p for p in pairs if self.plain(p[1]) == fits]
             for i in range(0, len(group), 4096):
-                part = group[i : i + 4096]
-                cache.update(zip(part, way(part), strict=True))
+                keys, units = zip(*group[i : i + 4096], strict=True)
+                cache.update(zip(keys, way(list(units)), strict=True))
         got = cache.__getitem__
         return [b"".join(map(got, units)) if units is not None else self.whole([t])[0] for units, t in zip(cut, texts, strict=True)]
 

@@ -68,6 +68,23 @@ def test_encoder_equals_library(spark, sf, name):
         assert enc.encode([*rows, *odd]) == enc.whole([*rows, *odd])
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library_on_random_texts(name):
+    """Texts of few characters, white space of all sorts above all, so that every short run of it comes up between all sorts of words."""
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(queries.tokenizer(name)), random.Random(12)
+    marks = ["\n", "\n\n", "\n\n ", "\n ", " ", " ", " ", "  ", "\t", "\r\n", "a", "b", "word", "Words", "12", ".", ",", "'s", "é", "日", "-", "\x02", "<", "x\u0301"]
+    rows = ["".join(rng.choice(marks[: rng.choice([5, 7, 24])] + ["a", "in"]) for _ in range(rng.randrange(1, 14))) for _ in range(9_000)]
+    lines = ["def f(x):", "    return x", "- a list", "  - below it", "", "Plain words of a paragraph.", " indented", "1. first", "\tx"]
+    rows += ["\n".join(rng.choice(lines) for _ in range(rng.randrange(2, 12))) for _ in range(1_000)]
+    enc, got = Encoder(queries.tokenizer(name), cache_units=3000), []
+    for i in range(0, len(rows), 97):
+        got += enc.encode(rows[i : i + 97])
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(rows, add_special_tokens=False)]
+    assert [r for r, g, w in zip(rows, got, want, strict=True) if g != w] == []
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_added_tokens(name):
     from tokenizers import Tokenizer
