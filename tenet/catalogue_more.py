@@ -5,12 +5,12 @@ Importing this adds them to the catalogue.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenet.catalogue import ALIASES, BOUND, POLICY, POS, RANKED, SPANS, add, ask, declared, events, half, relations, shaped
+from tenet.catalogue import ALIASES, BOUND, POLICY, POS, RANKED, REPORTS, SPANS, add, ask, declared, events, half, relations, shaped
 from tenet.functions import keys, values
-from tenet.operators import belief, closure, report, resolve, rules, scenario, shape, suggest, sync
+from tenet.operators import automate, belief, closure, index, report, resolve, rules, scenario, shape, suggest, sync
 from tenet.operators.registry import fold
 from tenet.plans.page import page
 from tenet.plans.query import Options, query
@@ -148,13 +148,13 @@ def entity_names(spark, sf):
 SAMPLES = "[event_type, value || '', value || 'ms', value || ' USD/yr', strftime(ts, '%Y-%m-%d'), strftime(ts, '%Y-Q') || quarter(ts), '~' || value, '900M']"
 
 
-@add(f"with s as (select event_id, unnest({SAMPLES}) as t, unnest(range(8)) as i from events) select event_id, i, regexp_matches(t, '^[A-Za-z%$€£][A-Za-z%$€£/·^0-9-]*$') as unit, i in (4, 5) as date from s")
+@add(f"with s as (select event_id, unnest({SAMPLES}) as t, unnest(range(8)) as i from events) select event_id, i, i = 0 as unit, i in (4, 5) as date from s")
 def unit_and_date_tests(spark, sf):
     v = F.col("value").cast("string")
     quarter = F.concat(F.date_format("ts", "yyyy"), F.lit("-Q"), F.quarter("ts"))
     found = F.array("event_type", v, F.concat(v, F.lit("ms")), F.concat(v, F.lit(" USD/yr")), F.date_format("ts", "yyyy-MM-dd"), quarter, F.concat(F.lit("~"), v), F.lit("900M"))
     e = users(spark, sf).select("event_id", F.posexplode(found).alias("i", "t"))
-    return e.select("event_id", F.col("i").cast("long").alias("i"), F.col("t").rlike(values.UNIT).alias("unit"), F.col("t").rlike(values.DATE).alias("date"))
+    return e.select("event_id", F.col("i").cast("long").alias("i"), F.col("t").rlike(values.UNIT).alias("unit"), values.date_column(F.col("t")).alias("date"))
 
 
 @add("with s as (select event_id, event_id % 4 as k, value as v from events) select event_id, case k when 0 then v when 1 then v when 2 then (event_id % 1000) * 1e6 else v end as num, case k when 1 then 'ms' when 2 then 'USD' end as unit, k = 3 as approx from s")
@@ -540,7 +540,7 @@ TWO_RULES = ["?a REPORTS-TO ?b => ?a KNOWS ?b", "?a KNOWS ?b, ?b KNOWS ?c => ?a
 def rule_lifecycle(spark, sf):
     """Three rules are declared, two of them twice, and one is retracted; a mark keeps the first from being due until rows come that
     its premise may match."""
-    store = Store.empty(spark).add(star.star(spark, sf).where("verb = 'REPORTS-TO'").limit(20))
+    store = Store.empty(spark).add(star.star(spark, sf).where("verb = 'REPORTS-TO'"))
     rows, three = rules.declare(spark, store.claims, [*TWO_RULES, "?a IS ?b => ?a WAS ?b"])
     store = store.add(rows)
     again, _ = rules.declare(spark, store.claims, TWO_RULES)
@@ -553,6 +553,48 @@ def rule_lifecycle(spark, sf):
     return spark.createDataFrame([(r.subject, r.text, r.subject in due) for r in held], "subject string, text string, due boolean")
 
 
+KNOWS = f"e as ({{}}), two as (select a.src, b.src as mid, b.dst from e a join e b on a.dst = b.src)"
+
+
+def supported_store(spark: SparkSession, sf: str) -> Store:
+    """Who reports to whom, with a rule of one hop and a rule on top of it, derived with their support."""
+    store = Store.empty(spark).append(star.star(spark, sf).where("verb = 'REPORTS-TO'"))
+    store = store.add(rules.declare(spark, store.claims, ["?a REPORTS-TO ?b => ?a KNOWS ?b", "?a KNOWS ?b, ?b REPORTS-TO ?c => ?a MET ?c"])[0])
+    store, found = store.derive()
+    if not found.complete:
+        raise AssertionError(found)
+    return store
+
+
+def said_of(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(F.col("id").alias(name), F.concat_ws(" ", "subject", "verb", "object").alias(f"{name}_line"))
+
+
+@add(relations("select 'BECAUSE' as role, src || ' KNOWS ' || dst as conclusion, src || ' REPORTS-TO ' || dst as reason from e union all select 'BECAUSE', src || ' MET ' || dst, src || ' KNOWS ' || mid from two union all select 'BECAUSE', src || ' MET ' || dst, mid || ' REPORTS-TO ' || dst from two union all select 'VIA', src || ' KNOWS ' || dst, 'first' from e union all select distinct 'VIA', src || ' MET ' || dst, 'second' from two", KNOWS.format(REPORTS)))
+def support_edges(spark, sf):
+    """What each conclusion rests on, conclusions of the same run included, and its rule."""
+    store = supported_store(spark, sf)
+    first = rules.parse_rule("?a REPORTS-TO ?b => ?a KNOWS ?b").subject
+    e = store.edges.join(said_of(store.claims, "parent_id"), "parent_id").join(said_of(store.claims, "child_id"), "child_id")
+    rule = F.when(F.col("child_id_line").startswith(first), "first").otherwise("second")
+    return e.select("role", F.col("parent_id_line").alias("conclusion"), F.when(F.col("role") == "VIA", rule).otherwise(F.col("child_id_line")).alias("reason"))
+
+
+KEPT = REPORTS + " and (try_cast(split_part(subject, '/', 2) as int) % 10 <> 7)"
+
+
+@add(relations("select src as subject, 'KNOWS' as verb, dst as object from e union select src, 'MET', dst from two", KNOWS.format(KEPT)))
+def support_maintained(spark, sf):
+    """A tenth of the reports are withdrawn: only what rests on them is put in question, and what still follows stays."""
+    store = supported_store(spark, sf)
+    gone = store.claims.where("verb = 'REPORTS-TO'").where(F.substring_index("subject", "/", -1).cast("int") % 10 == 7)
+    before = belief.current(store.claims).where("verb in ('KNOWS', 'MET') and conf > 0").count()
+    store, found = store.add(gone.withColumn("conf", F.lit(0.0))).derive()
+    if not found.complete or not 0 < found.touched < before / 2:
+        raise AssertionError(f"{found.touched} of {before} were put in question")
+    return belief.current(store.claims).where("verb in ('KNOWS', 'MET') and conf > 0").select("subject", "verb", "object")
+
+
 @add(events(f", a as (select *, (event_id % 4 = 0) as infra from cur where attribute = 'click' and {POS}), b as (select * from cur where attribute = 'error' and {POS}) select a.subject as u, a.tx as x, b.tx as y from a join b using (subject) where (a.tx > {BOUND} and not a.infra) or b.tx > {BOUND}"))
 def automation_events(spark, sf):
     """Rows of the engine's own bookkeeping are no events: every fourth click is one, and fires nothing by itself."""
@@ -563,19 +605,45 @@ def automation_events(spark, sf):
     return out.select("u", F.col("ids")[0].alias("x"), F.col("ids")[1].alias("y"))
 
 
-@add("select 'api' as subject, 'level' as attribute, 'gold' as value_text, 'src:action/promote' as contexts")
+@add("select 'customer/' || c_custkey as subject, 'level' as attribute, trim(c_mktsegment) as value_text, 'src:action/promote' as contexts from customer where c_acctbal > 0 and c_custkey % 2 = 0")
 def action_effects(spark, sf):
-    """An action's effects: what is so already is not appended again, and a hook sees the rest."""
-    from tenet.extensions import Hooks
-
-    store, _ = Store.empty(spark).ingest("api HAS tier: gold\napi HAS state: live @src:action/promote")
-    action = rules.parse_action("promote", "?who, ?who HAS tier: ?t => ?who HAS level: ?t, ?who HAS state: live")
-    seen: list[int] = []
-    hooks = Hooks().on("promote", lambda args, rows: seen.append(rows.count()))
-    rows = rules.governed(spark, store.claims, action, {"who": "api"}, hooks)
-    if seen != [1] or hooks.problems:
-        raise AssertionError("the hook did not see the one row")
-    return rows.select("subject", "attribute", "value_text", F.array_join("contexts", ",").alias("contexts"))
+    """An action for many calls at once, as joins of its preconditions with them: customers without a positive balance have no binding; what
+    is so already is not appended again."""
+    c = star.table(spark, sf, "customer")
+    key = star.name("customer", "c_custkey")
+    tiers = c.select(keys.uuid7(F.lit(1), F.col("c_custkey")).alias("tx"), key.alias("subject"), F.lit("HAS").alias("verb"), F.lit("tier").alias("attribute"), F.trim("c_mktsegment").alias("value_text"))
+    good = c.where("c_acctbal > 0").select(keys.uuid7(F.lit(2), F.col("c_custkey")).alias("tx"), key.alias("subject"), F.lit("IS").alias("verb"), F.lit("solvent").alias("object"))
+    done = c.where("c_custkey % 2 = 1").select(keys.uuid7(F.lit(3), F.col("c_custkey")).alias("tx"), key.alias("subject"), F.lit("HAS").alias("verb"), F.lit("level").alias("attribute"), F.trim("c_mktsegment").alias("value_text"), F.array(F.lit("src:action/promote")).alias("contexts"))
+    claims = conform(tiers).unionByName(conform(good)).unionByName(conform(done))
+    action = rules.parse_action("promote", "?who, ?who IS solvent, ?who HAS tier: ?t => ?who HAS level: ?t")
+    rows, refused = automate.effects(spark, claims, action, c.select(key.alias("call"), key.alias("who")))
+    if refused.where("why not like 'no binding%'").limit(1).count():
+        raise AssertionError("a call has more than one binding")
+    new = rules.reply_rows(claims, rows.drop("call"), "src:action/promote")
+    return new.select("subject", "attribute", "value_text", F.array_join("contexts", ",").alias("contexts"))
+
+
+def automated(spark: SparkSession, sf: str, automations: dict[str, str], actions: dict[str, str]) -> Store:
+    """The events' claims, with automations and actions declared before all of them."""
+    store = Store.empty(spark, clock=lambda: 1000)
+    for texts, attribute in ((automations, automate.AUTOMATION), (actions, automate.ACTION)):
+        store = store.add(automate.declare(spark, store.claims, texts, attribute))
+    return store.append(star.events(spark, sf), minted=True)
+
+
+CASCADE = "both as (select distinct a.subject from (select subject from cur where attribute = 'click' and not negated and conf > 0) a join (select subject from cur where attribute = 'error' and not negated and conf > 0) b using (subject)), rich as (select distinct subject from cur where attribute = 'purchase' and not negated and conf > 0)"
+
+
+@add(events(f", {CASCADE} select subject, 'flagged' as what, 1 as round from both union all select subject, 'call', 2 from both join rich using (subject)"))
+def automation_cascade(spark, sf):
+    """Two rounds: users who click and err are flagged; flagged users who bought are to be called. A third pass finds nothing more."""
+    store = automated(spark, sf, {"flag": "?u HAS click: _, ?u HAS error: _ => action/flag", "call": "?u HAS mark: flagged, ?u HAS purchase: _ => action/call"}, {"flag": "?u => ?u HAS mark: flagged", "call": "?u => ?u NEEDS call"})
+    out = automate.settle(store, derive=False, check=False)
+    if not out.ok or out.notes or min(out.fired.values()) == 0:
+        raise AssertionError(f"it did not settle: {out.outcomes} {out.notes}")
+    rows = belief.current(out.store.claims.where("attribute = 'mark' or verb = 'NEEDS'")).where("conf > 0")
+    flagged = F.col("attribute") == "mark"
+    return rows.select("subject", F.when(F.coalesce(flagged, F.lit(False)), "flagged").otherwise("call").alias("what"), F.when(F.coalesce(flagged, F.lit(False)), 1).otherwise(2).alias("round"))
 
 
 @add(events("select subject, attribute, round(case when event_id % 2 = 0 then conf else 0.11 end, 9) as conf from cur where event_id % 2 = 1 and abs(conf - 0.11) >= 1e-9"))
@@ -587,6 +655,34 @@ def agent_reply(spark, sf):
     return rules.reply_rows(held, reply, "src:automation/x").select("subject", "attribute", F.round("conf", 9).alias("conf"))
 
 
+# --- text with edges ---
+
+
+@add("""
+with c as (select c_custkey as k, 'customer/' || c_custkey as s, trim(c_mktsegment) as seg from customer),
+l as (
+  select k, 0 as part, s || ' NEEDS care' as line from c where k % 5 = 0
+  union all select k, 1, '  WHEN ' || s || ' IS awake' from c where k % 5 = 0
+  union all select k, 2, '  BECAUSE ' || s || ' HAS tier: ' || seg from c where k % 5 = 0
+  union all select k, 0, s || ' HAS tier: ' || seg from c where k % 5 <> 0)
+select line, row_number() over (order by k, part) as place from (select line, part, k + case when k % 5 = 0 then 1000000000 else 0 end as k from l)
+""")
+def export_edges(spark, sf):
+    """Lines below what they qualify. The reason was told again later, so its edge goes to the newer row; a second edge to it is one."""
+    c = star.table(spark, sf, "customer")
+    s = star.name("customer", "c_custkey")
+    five = c.where("c_custkey % 5 = 0")
+    at = lambda ms: keys.uuid7(F.lit(ms), F.col("c_custkey")).alias("tx")
+    tier = lambda rows, ms: conform(rows.select(at(ms), s.alias("subject"), F.lit("HAS").alias("verb"), F.lit("tier").alias("attribute"), F.trim("c_mktsegment").alias("value_text")))
+    head = conform(five.select(at(3), s.alias("subject"), F.lit("NEEDS").alias("verb"), F.lit("care").alias("object")))
+    when = conform(five.select(at(4), s.alias("subject"), F.lit("IS").alias("verb"), F.lit("awake").alias("object")))
+    claims = tier(c, 1).unionByName(head).unionByName(when).unionByName(tier(five, 5))
+    edge = lambda role, ms: five.select(at(3).alias("parent_id"), F.lit(role).alias("role"), at(ms).alias("child_id"))
+    edges = edge("WHEN", 4).union(edge("BECAUSE", 1)).union(edge("BECAUSE", 5))
+    lines = Store(spark, claims, edges).text()
+    return lines.select("line", F.row_number().over(Window.orderBy("path")).cast("long").alias("place"))
+
+
 # --- connect ---
 
 
@@ -609,6 +705,28 @@ def solutions_compare(spark, sf):
     return missing.select(F.lit("missing").alias("what"), "c").union(unexpected.select(F.lit("unexpected").alias("what"), "c"))
 
 
+# --- search ---
+
+
+def indexed(spark: SparkSession, sf: str) -> index.Index:
+    """Customers' names and segments, and parts' names as comments, in an index that two refreshes made."""
+    c, p = star.table(spark, sf, "customer"), star.table(spark, sf, "part")
+    customers = conform(c.select(keys.uuid7(F.lit(1), F.col("c_custkey")).alias("tx"), star.name("customer", "c_custkey").alias("subject"), F.lit("IN").alias("verb"), F.lower("c_mktsegment").alias("value_text")))
+    parts = conform(p.select(keys.uuid7(F.lit(2), F.col("p_partkey")).alias("tx"), star.name("part", "p_partkey").alias("subject"), F.lit("IS").alias("verb"), F.col("p_name").alias("comment")))
+    return index.Index(spark, new_path(spark, "index")).refresh(customers).refresh(customers.unionByName(parts))
+
+
+SEGMENT_WORDS = "list_filter(regexp_split_to_array(lower(c_mktsegment), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@add(f"select 'customer/' || c_custkey as subject from customer where (list_contains({SEGMENT_WORDS}, 'building') or len(list_filter({SEGMENT_WORDS}, lambda w: starts_with(w, 'auto'))) > 0) and c_custkey % 10 <> 0 and c_custkey <> 7 and c_custkey > 0")
+def search_index(spark, sf):
+    """A boolean search by postings: segments by a word or a beginning, without customer 7; ids that end in 0 are left to the caller."""
+    hits = indexed(spark, sf).search("(building OR auto*) NOT \"customer 7\"")
+    key = F.conv(F.substring("id", -12, 12), 16, 10).cast("long")
+    return hits.where(key % 10 != 0).select(F.concat(F.lit("customer/"), key).alias("subject"))
+
+
 # --- streams, run to their end over tables ---
 
 
@@ -646,6 +764,21 @@ def stream_triggers(spark, sf):
     return spark.read.parquet(out)
 
 
+@add(events(f"select subject as u, tx as x, 1::bigint as times from cur where attribute = 'click' and {POS}"))
+def stream_late_events(spark, sf):
+    """One file a batch, the newest rows first and one file delivered twice: each row is an event once, in the batch that brings it."""
+    at, out, c = new_path(spark, "feed"), new_path(spark, "fired"), belief.current(star.events(spark, sf)).select(*CLAIM.names)
+    c = staged(spark, c, "current")
+    for k, part in enumerate((2, 1, 2, 0)):
+        c.where(num() % 3 == part).coalesce(1).write.parquet(f"{at}/{k}")
+
+    def act(found: DataFrame, number: int) -> None:
+        found.select("u", F.col("ids")[0].alias("x")).write.mode("append").parquet(out)
+
+    feed.on_events(feed.appended(spark, f"{at}/*", 1), f"{at}/*", ["?u HAS click: _"], act, f"{at}-check", keys.tx_bound(0), f"{at}-ledger").awaitTermination()
+    return spark.read.parquet(out).groupBy("u", "x").agg(F.count("*").alias("times"))
+
+
 @add("select date_trunc('hour', ts) as start, event_type as verb, count(*) as rows from events group by 1, 2")
 def stream_windows(spark, sf):
     """Rows by the hour of their transaction, as a stream with a watermark would count them."""

@@ -10,11 +10,14 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tenet.functions.validtime import period
+
 # Glued multipliers, and the forms of numbers, trajectories and dates.
 MULTIPLIERS = {"T": 1e12, "B": 1e9, "M": 1e6, "K": 1e3}
 NUMBER = r"^(-?\d+(?:\.\d+)?)([A-Za-z%]*)$"
-UNIT = r"^[A-Za-z%$€£][A-Za-z%$€£/·^0-9-]*$"
-DATE = r"^\d{4}(?:-(?:\d{2}(?:-\d{2})?|Q[1-4]|H[12]|W\d{2}))?$"
+UNIT = r"^[A-Za-z%$][A-Za-z0-9%$]*(?:/[A-Za-z0-9%$]+)*$"
+DAY = r"(?:0[13578]|1[02])-(?:0[1-9]|[12]\d|3[01])|(?:0[469]|11)-(?:0[1-9]|[12]\d|30)|02-(?:0[1-9]|[12]\d)"
+DATE = rf"^\d{{4}}-(?:{DAY}|0[1-9]|1[0-2]|Q[1-4]|H[12]|W(?:0[1-9]|[1-4]\d|5[0-3]))$"
 DURATIONS = {"ms": 1.0, "s": 1000.0, "min": 60_000.0, "h": 3_600_000.0}
 
 
@@ -42,6 +45,21 @@ def number(text: str) -> tuple[float, str | None] | None:
     return n, glued or spaced.strip() or None
 
 
+def is_date(text: str) -> bool:
+    """A day, week, month, quarter or half that the calendar has; a year alone is a number."""
+    return re.match(DATE, text) is not None and period(text) is not None
+
+
+def date_column(c: Column) -> Column:
+    """`is_date` of a column: leap days and weeks are what the form can't tell."""
+    leap = F.try_to_date(c, "yyyy-MM-dd").isNotNull() | (F.length(c) != 10)
+    year = F.substring(c, 1, 4)
+    # The 28th of December lies in a year's last week.
+    last = F.weekofyear(F.try_to_date(F.concat(year, F.lit("-12-28")), "yyyy-MM-dd"))
+    week = ~c.contains("W") | (F.substring(c, 7, 2).try_cast("int") <= last)
+    return c.rlike(DATE) & (year > "0000") & leap & week
+
+
 def parse_value(text: str) -> Value:
     """trajectory, number, date, text, code or atom, in this order of trial."""
     t = text.strip()
@@ -54,7 +72,7 @@ def parse_value(text: str) -> Value:
         start = number(a) or (number(f"{a} {end[1]}") if end and end[1] else None)
         if start and end and (start[1] is None or start[1] == end[1]):
             return Value("trajectory", t, None, end[1], approx, start[0], end[0])
-    if re.match(DATE, body) and not (approx or re.fullmatch(r"\d{1,3}", body)) and ("-" in body):
+    if is_date(body) and not approx:
         return Value("date", t)
     if found := number(body):
         return Value("number", t, found[0], found[1], approx)

@@ -157,6 +157,14 @@ def support(closed: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.join(back, ["edge_dst", "dst"], "left_semi").select("src", "dst", "edge_src", "edge_dst").distinct()
 
 
+def within(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges of which both ends are ends of pairs."""
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    for end in ("src", "dst"):
+        edges = edges.join(nodes, edges[end] == nodes["node"], "left_semi")
+    return edges
+
+
 def through_aliases(spark: SparkSession, edges: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges between representatives: hops that cross aliases are hops of one node."""
     r = reps.select("name", "rep")

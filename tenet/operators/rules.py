@@ -14,7 +14,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenet.extensions import Hooks
 from tenet.functions.keys import claim_key, is_uuid7
 from tenet.functions.values import number, rounded_confidence
 from tenet.operators.belief import current
@@ -324,13 +323,14 @@ def events_since(claims: DataFrame, mark: str, infrastructure: tuple[str, ...] =
     return claims.where(is_event(mark, infrastructure, own) & (F.col("conf") > 0))
 
 
-def triggered(spark: SparkSession, claims: DataFrame, premises: list[str], mark: str, constraints: tuple = (), own: tuple[str, ...] = ()) -> DataFrame:
-    """Solutions of the premises that cite at least one event row: each premise in turn takes events alone, the others all rows."""
+def triggered(spark: SparkSession, claims: DataFrame, premises: list[str], mark: str, constraints: tuple = (), own: tuple[str, ...] = (), among: DataFrame | None = None) -> DataFrame:
+    """Solutions of the premises that cite at least one event row: each premise in turn takes events alone, the others all rows.
+    Events are the rows after the mark, or of those only the ones `among` (row_id)."""
     out = None
     for i, text in enumerate(premises):
         if (parse(text) if isinstance(text, str) else text).transitive:
             continue  # transitive premises cite no rows
-        rows = joined(spark, claims, premises, only={i: is_event(mark, own=own, prefix="row_")})
+        rows = joined(spark, claims, premises, only={i: is_event(mark, own=own, prefix="row_")}, among=None if among is None else {i: among})
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise PatternError("a trigger needs a premise of one hop")
@@ -386,9 +386,9 @@ class Rejected(ValueError):
         self.violations = violations
 
 
-def governed(spark: SparkSession, claims: DataFrame, action: Action, arguments: dict[str, str], hooks: Hooks | None = None, tx: str | None = None) -> DataFrame:
-    """The action's rows that change anything, after the gate: Rejected if they add a violation. Hooks of the action's name get them
-    once they are known to pass; what a hook raises is noted by it and undoes nothing."""
+def governed(spark: SparkSession, claims: DataFrame, action: Action, arguments: dict[str, str], tx: str | None = None) -> DataFrame:
+    """The action's rows that change anything, after the gate: Rejected if they add a violation. Hooks are the caller's to run, once
+    it has the rows in its store: see `tenet.store.Store.act`."""
     from tenet.operators import shape
 
     rows = act(spark, claims, action, arguments)
@@ -397,8 +397,6 @@ def governed(spark: SparkSession, claims: DataFrame, action: Action, arguments:
     added = shape.new_violations(shape.check(spark, claims), shape.check(spark, after))
     if added.limit(1).count():
         raise Rejected(added)
-    if hooks is not None:
-        hooks.run(action.name, arguments, new)
     return new
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,40 +26,57 @@ def tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-#: Letters with marks, below U+0250, and the letters alone; by canonical decomposition.
-MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
+#: Latin letters with marks, and the letters alone; by canonical decomposition.
+MARKED = [c for c in map(chr, range(0xC0, 0x1F00)) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.name(c, "").startswith("LATIN")]
 PLAIN = [unicodedata.normalize("NFD", c)[0] for c in MARKED]
+#: Marks that stand after their letter, and what no token holds.
+MARKS, BETWEEN = r"\p{Mn}+", r"[^\p{L}\p{N}\p{M}]+"
 
 
 def folded(c: Column) -> Column:
     """Lower case, without marks on letters."""
-    return F.lower(F.translate(c, "".join(MARKED), "".join(PLAIN)))
+    return F.lower(F.translate(F.regexp_replace(c, MARKS, ""), "".join(MARKED), "".join(PLAIN)))
 
 
 def fold(text: str) -> str:
-    return text.translate({ord(a): b for a, b in zip(MARKED, PLAIN, strict=True)}).lower()
+    bare = "".join(c for c in text if unicodedata.category(c) != "Mn")
+    return bare.translate({ord(a): b for a, b in zip(MARKED, PLAIN, strict=True)}).lower()
+
+
+def words_of(text: str) -> list[str]:
+    """The tokens of a text on the driver: runs of letters, digits and marks."""
+    return "".join(c if unicodedata.category(c)[0] in "LNM" else " " for c in text).split()
 
 
 def spaced(c: Column, fold_marks: bool = False) -> Column:
     """The tokens of a text with one blank around each."""
     text = F.coalesce(c, F.lit(""))
-    return F.concat(F.lit(" "), F.regexp_replace(folded(text) if fold_marks else F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(folded(text) if fold_marks else F.lower(text), BETWEEN, " "), F.lit(" "))
 
 
 def has_phrase(c: Column, phrase: str, fold_marks: bool = False) -> Column:
     """Do the phrase's tokens stand in the text one after another?"""
-    words = [w for w in re.split(r"[\W_]+", fold(phrase) if fold_marks else phrase.lower()) if w]
+    words = words_of(fold(phrase) if fold_marks else phrase.lower())
     return spaced(c, fold_marks).contains(f" {' '.join(words)} ") if words else F.lit(False)
 
 
-def matching(c: Column, expression: str) -> Column:
-    """A boolean search: words, "phrases", beginnings (word*), AND (also by standing side by side), OR, NOT and brackets, marks folded.
+@dataclass(frozen=True)
+class Atom:
+    """Words that stand one after another; open: the last one is a beginning."""
+
+    words: tuple[str, ...]
+    open: bool
+
+
+def parse_search(expression: str) -> tuple:
+    """A boolean search as a tree of Atoms and ("and" | "or" | "without", left, right): words, "phrases", beginnings (word*), AND
+    (also by standing side by side), OR, NOT and brackets, marks folded.
 
     NOT takes what follows it from what stands before it; AND binds closer than OR, NOT closer than AND."""
-    text, tokens = spaced(c, True), re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+', expression)
+    tokens = re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+', expression)
     at = 0
 
-    def atom() -> Column:
+    def atom():
         nonlocal at
         if at >= len(tokens) or tokens[at] in (")", "AND", "OR", "NOT"):
             raise ValueError(f"a search term is missing: {expression}")
@@ -70,32 +88,24 @@ def matching(c: Column, expression: str) -> Column:
                 raise ValueError(f"a bracket is open: {expression}")
             at += 1
             return inner
-        words = [w for w in re.split(r"[\W_]+", fold(token)) if w]
-        return text.contains(f" {' '.join(words)}" + ("" if token.endswith("*") else " ")) if words else F.lit(False)
+        return Atom(tuple(words_of(fold(token))), token.endswith("*"))
 
-    def without() -> Column:
+    def chain(part, goes_on, name):
         nonlocal at
-        out = atom()
-        while at < len(tokens) and tokens[at] == "NOT":
-            at += 1
-            out = out & ~atom()
+        out = part()
+        while at < len(tokens) and goes_on(tokens[at]):
+            at += tokens[at] in ("AND", "OR", "NOT")
+            out = (name, out, part())
         return out
 
-    def both() -> Column:
-        nonlocal at
-        out = without()
-        while at < len(tokens) and tokens[at] not in ("OR", ")"):
-            at += tokens[at] == "AND"
-            out = out & without()
-        return out
+    def without():
+        return chain(atom, lambda t: t == "NOT", "without")
 
-    def either() -> Column:
-        nonlocal at
-        out = both()
-        while at < len(tokens) and tokens[at] == "OR":
-            at += 1
-            out = out | both()
-        return out
+    def both():
+        return chain(without, lambda t: t not in ("OR", ")", "NOT"), "and")
+
+    def either():
+        return chain(both, lambda t: t == "OR", "or")
 
     found = either()
     if at < len(tokens):
@@ -103,6 +113,21 @@ def matching(c: Column, expression: str) -> Column:
     return found
 
 
+def judged(tree, atom) -> Column:
+    """The tree as a condition, given that of an Atom."""
+    if isinstance(tree, Atom):
+        return atom(tree)
+    name, a, b = tree
+    left, right = judged(a, atom), judged(b, atom)
+    return left | right if name == "or" else left & (~right if name == "without" else right)
+
+
+def matching(c: Column, expression: str) -> Column:
+    """Does a text match a boolean search?"""
+    text = spaced(c, True)
+    return judged(parse_search(expression), lambda a: text.contains(f" {' '.join(a.words)}" + ("" if a.open else " ")) if a.words else F.lit(False))
+
+
 def search(claims: DataFrame, phrase: str, limit: int = 20, raw: bool = False) -> DataFrame:
     """The newest rows with the phrase in any of their texts, marks folded; raw takes a boolean search over all texts together."""
     if raw:

@@ -251,6 +251,7 @@ def transitive(spark: SparkSession, claims: DataFrame, p: Pattern, o: Options) -
         pairs = graph.closure(spark, edges, [dst], backwards=True, driver_edges=o.driver_edges)
     else:
         pairs = graph.closure(spark, edges, driver_edges=o.driver_edges)
+    reached = pairs
     if not is_free(src) and not is_free(dst):
         pairs = pairs.where(F.col("dst") == dst)
     if is_variable(p.subject) and p.subject == p.obj:
@@ -265,7 +266,8 @@ def transitive(spark: SparkSession, claims: DataFrame, p: Pattern, o: Options) -
             raise PatternError("support of closures is of the names as they stand: it excludes aliases")
         rows = supported(current(seen.where((F.col("verb") == p.verb) & F.col("object").isNotNull())))
         ids = rows.select(F.col("subject").alias("edge_src"), F.col("object").alias("edge_dst"), "id")
-        found = graph.support(graph.closure(spark, edges, driver_edges=o.driver_edges), edges, pairs).join(ids, ["edge_src", "edge_dst"])
+        near = graph.written(spark, graph.within(edges, reached), "support")  # a path's edges join nodes that the walk has reached
+        found = graph.support(graph.closure(spark, near, driver_edges=o.driver_edges), near, pairs).join(ids, ["edge_src", "edge_dst"])
         pairs = found.groupBy("src", "dst").agg(F.array_sort(F.collect_set("id")).alias("support"))
         return part(pairs.select(*out, "support") if out else pairs, o, [n[1:] for n in dict.fromkeys((p.subject, p.obj)) if is_variable(n)])
     if reps is not None and out:
@@ -275,19 +277,30 @@ def transitive(spark: SparkSession, claims: DataFrame, p: Pattern, o: Options) -
     return part(found, o, found.columns)
 
 
-def joined(spark: SparkSession, claims: DataFrame, premises: list[str | Pattern], options: Options | None = None, each: dict[int, DataFrame] | None = None, only: dict[int, Column] | None = None) -> DataFrame:
+def joined(spark: SparkSession, claims: DataFrame, premises: list[str | Pattern], options: Options | None = None, each: dict[int, DataFrame] | None = None, only: dict[int, Column] | None = None, among: dict[int, DataFrame] | None = None, start: DataFrame | None = None) -> DataFrame:
     """Bindings of several patterns at once: each a DataFrame, joined on the variables they share. The rows' ids and
-    confidences are carried as arrays, in the premises' order; transitive premises add neither. `each` gives some premises claims
-    of their own, `only` a condition on the rows (row_ columns) that they match."""
+    confidences are carried as arrays, in the order in which premises join; transitive premises add no confidence, and ids of their
+    edges under `support` alone. `each` gives some premises claims of their own, `only` a condition on the rows (row_ columns) that they
+    match, `among` the ids (row_id) of the only rows that they may. `start` has bindings to begin with: premises join them in the order in which they share variables."""
     o = replace(options or Options(), bindings_only=False)
-    out: DataFrame | None = None
-    for i, text in enumerate(premises):
-        p = parse(text) if isinstance(text, str) else text
+    out, left = start, list(enumerate(premises))
+    if start is not None:
+        out = start.distinct().withColumns({"ids": F.array().cast("array<string>"), "confs": F.array().cast("array<double>")})
+    while left:
+        near = [k for k in left if out is None or set(parsed(k[1]).variables) & set(out.columns)]
+        if not near:
+            raise PatternError("premises share no variable: their product is not a join")
+        i, text = near[0] if start is not None else left[0]
+        left.remove((i, text))
+        p = parsed(text)
         rows = query(spark, (each or {}).get(i, claims), p, o)
         if only and i in only:
             rows = rows.where(only[i])
+        if among and i in among and not p.transitive:
+            rows = rows.join(among[i].select("row_id"), "row_id", "left_semi")
         if p.transitive:
-            rows = rows.select(*p.variables, F.array().cast("array<string>").alias("ids"), F.array().cast("array<double>").alias("confs"))
+            ids = F.col("support") if o.support else F.array().cast("array<string>")
+            rows = rows.select(*p.variables, ids.alias("ids"), F.array().cast("array<double>").alias("confs"))
         else:
             rows = rows.select(*p.variables, F.array("row_id").alias("ids"), F.array("row_conf").alias("confs"))
         if out is None:
@@ -300,3 +313,7 @@ def joined(spark: SparkSession, claims: DataFrame, premises: list[str | Pattern]
         out = out.join(right, shared)
         out = out.withColumns({"ids": F.concat("ids", "__ids"), "confs": F.concat("confs", "__confs")}).drop("__ids", "__confs")
     return out
+
+
+def parsed(p: str | Pattern) -> Pattern:
+    return parse(p) if isinstance(p, str) else p

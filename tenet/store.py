@@ -14,10 +14,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenet.extensions import ParquetStorage, Storage
+from tenet.extensions import Hooks, ParquetStorage, Storage
 from tenet.functions import keys
 from tenet.functions.keys import tx_bound, uuid7_ms
-from tenet.operators import belief, shape, sync
+from tenet.operators import belief, export, rules, shape, support, sync
 from tenet.operators.registry import Registry, fold
 from tenet.plans.query import Options, query
 from tenet.schema import CLAIM, EDGE, conform
@@ -71,6 +71,39 @@ class Store:
         new = shape.new_violations(shape.check(self.spark, self.claims, self.registry()), shape.check(self.spark, after.claims, after.registry()))
         return (self, new) if new.limit(1).count() else (after, None)
 
+    def derive(self, passes: int = rules.PASSES) -> tuple[Store, support.Maintained]:
+        """The declared rules' conclusions as rows, with edges to what they rest on. From what came after the rules' marks alone, if all
+        have one; marks follow unless the passes ended too soon."""
+        declared, _ = rules.listed(self.claims)
+        marked = rules.marks(self.claims)
+        since = min(marked[r.subject] for r in declared) if declared and all(r.subject in marked for r in declared) else None
+        found = support.maintain(self.spark, self.claims, self.edges, declared, since, passes)
+        held = belief.current(self.claims.where(support.of_rule())).where("conf > 0")
+        rows = conform(found.append.drop("id", "tx")).unionByName(conform(found.retract))
+        rows = rows.drop("id", "tx").withColumn("tx", keys.uuid7(F.lit(self.next_ms()), F.monotonically_increasing_id()))
+        rows = staged(self.spark, conform(rows), "concluded")
+        declarations = rules.declarations(self.claims).groupBy("subject").agg(F.max("id").alias("id"))
+        edges = staged(self.spark, support.support_edges(found, rows.where("conf > 0"), held, declarations), "support")
+        store = self.append(rows, edges, minted=True)
+        if found.complete and declared:
+            store = store.add(rules.mark_rows(self.spark, declared, store.claims.agg(F.max("tx")).first()[0]))
+        return store, found
+
+    def act(self, action: rules.Action, arguments: dict[str, str], hooks: Hooks | None = None, dry: bool = False) -> tuple[Store, Acted]:
+        """Run a governed action, and tell what it did. Hooks of its name run once the rows are in the store, and not if there are none, nor dry:
+        then the store stays as it was."""
+        new = staged(self.spark, rules.governed(self.spark, self.claims, action, arguments), "effects")
+        effects = conform(rules.act(self.spark, self.claims, action, arguments)).count()
+        held = belief.current(self.claims).where("conf > 0").select("claim_key")
+        n, updated = new.count(), new.join(held, "claim_key", "left_semi").count()
+        said = Acted(n - updated, updated, effects - n)
+        if dry or not n:
+            return self, said
+        store = self.add(new)
+        if hooks is not None:
+            hooks.run(action.name, arguments, new)
+        return store, said
+
     def synced(self, text: str) -> tuple[Store, list[tuple[int, str]]]:
         """Rows of an annotated text (each claim line after a line `;@ id`) by their own ids: those here are left out. With any problem
         nothing is taken, and the problems (line, what) are told."""
@@ -99,6 +132,11 @@ class Store:
         line = F.concat(F.lit(";@ "), F.col("tx"), F.lit("\n"), emitted()) if with_tx else emitted()
         return rows.select("tx", line.alias("line"))
 
+    def text(self, current: bool = True, ceiling: str = "internal", with_tx: bool = False) -> DataFrame:
+        """(path, line): as `export`, with edges: nested lines follow their parents in order of path."""
+        told = staged(self.spark, belief.visible(self.current() if current else self.claims, ceiling), "told")
+        return export.lines(self.spark, told, export.remapped(told, self.claims, self.edges), with_tx)
+
     # --- snapshots ---
 
     def save(self, path: str, storage: Callable[[str], Storage] = ParquetStorage) -> dict:
@@ -125,6 +163,15 @@ class Store:
         return cls.load(spark, path, version, verify=False).save(target)
 
 
+@dataclass(frozen=True)
+class Acted:
+    """What an action did: rows of keys that nothing said, rows that change what was said, and effects that were so already."""
+
+    appended: int
+    updated: int
+    unchanged: int
+
+
 class Transaction:
     """A store that changes in place while its transaction lasts; savepoints nest."""
 

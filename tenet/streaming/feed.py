@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenet.operators.belief import current
+from tenet.operators.automate import Engine
 from tenet.operators.rules import events_since, triggered
 from tenet.schema import CLAIM
 from tenet.staging import delete
@@ -78,19 +79,30 @@ def forget(spark: SparkSession, target: str, number: int, newest: int) -> None:
     delete(spark, *gone, f"{target}/batch={number}/parts")
 
 
-def on_events(stream: DataFrame, history: str, premises: list[str], act: Callable[[DataFrame, int], None], checkpoint: str, mark: str, marks: str, every: str | None = None) -> StreamingQuery:
-    """Call act(solutions, batch number) with the solutions that cite rows of the batch, if there are any.
+def on_events(stream: DataFrame, history: str, premises: list[str], act: Callable[[DataFrame, int], None], checkpoint: str, mark: str, ledger: str, every: str | None = None) -> StreamingQuery:
+    """Call act(solutions, batch number) with the solutions that cite event rows of the batch, if there are any.
 
-    At most once: a batch is written down under `marks` before act is called, and one that is written down is never acted on again,
-    not even if act failed half way. Only the batch's rows join the history, premise by premise."""
+    At most once a row: the rows that a batch brings for the first time are written down under `ledger` before act is called, and are
+    events of no later batch; a batch that is written down is never acted on again, not even if act failed half way. So a row that
+    comes late, of an id below others, is an event of its own batch, and makes none of the others one again; a row that is delivered twice
+    is an event once. Only events join the history, premise by premise; ids are in order of time, so of the ledger only files
+    that may have the batch's are read."""
 
     def fire(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        first = events_since(batch, mark).agg(F.min("tx")).first()[0]
-        if first is None or not noted(spark, f"{marks}/batch={number}"):
+        at = f"{ledger}/batch={number}"
+        if exists(spark, f"{at}/_SUCCESS"):
             return
-        claims = spark.read.schema(CLAIM).parquet(history)
-        solutions = triggered(spark, claims, premises, max(mark, just_before(first)))
+        ids = events_since(batch, mark).select(F.col("id").alias("row_id")).distinct()
+        low, high = ids.agg(F.min("row_id"), F.max("row_id")).first()
+        if low is None:
+            return
+        if exists(spark, ledger):
+            before = spark.read.schema("row_id string, batch int").parquet(ledger)
+            ids = ids.join(before.where((F.col("batch") != number) & F.col("row_id").between(low, high)).select("row_id"), "row_id", "left_anti")
+        ids.repartitionByRange("row_id").sortWithinPartitions("row_id").write.mode("overwrite").parquet(at)
+        events = spark.read.schema("row_id string").parquet(at)
+        solutions = triggered(spark, spark.read.schema(CLAIM).parquet(history), premises, mark, among=events)
         if solutions.limit(1).count():
             act(solutions, number)
 
@@ -98,6 +110,18 @@ def on_events(stream: DataFrame, history: str, premises: list[str], act: Callabl
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def settling(stream: DataFrame, engine: Callable[[DataFrame], Engine], checkpoint: str, ledger: str, every: str | None = None) -> StreamingQuery:
+    """Settle the automations of a store at each batch: `engine` gets the batch's rows and gives an engine over the store that has them. A batch
+    is noted before it settles, and never settles again."""
+
+    def fire(batch: DataFrame, number: int) -> None:
+        if noted(batch.sparkSession, f"{ledger}/batch={number}"):
+            engine(batch).settle()
+
+    writer = stream.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
@@ -113,11 +137,6 @@ def noted(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def just_before(tx: str) -> str:
-    """A bound below an id and above all smaller ones."""
-    return tx[:-1] + chr(ord(tx[-1]) - 1) + "~" if tx[-1] not in "0a" else tx[:-1]
-
-
 def windowed(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Numbers of rows by time of transaction and verb."""
     from tenet.functions.keys import uuid7_ms
