@@ -10,8 +10,9 @@ Targets: sources in code point order, null last, have the weights 3, 1, 2, repea
 cap x its source's size, and the excess goes to the others by weight until none is above. That level is found in closed form:
 sources sorted by cap / weight are full from the front, and the rest share what remains.
 
-The table of cuts has one row a source. It is broadcast while there are at most MOST_SOURCES of them, counted first; beyond
-that it is joined by source.
+Sizes and keys are found in one reading of the texts and staged, narrow; all sums read that. `mix_rows` reads the texts once more, to
+take them. The tables of ranges and cuts have one row a source. They are broadcast while there are at most MOST_SOURCES of them,
+counted first; beyond that they are joined by source.
 
 Cases: null text has size 0, like an empty one; a source of nothing but such texts has target 0. Null is a source of its own.
 Keys are hashes of doc_id and text, so rows are ordered alike in every run. Rows equal in both are counted together, and where a
@@ -27,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenet.llm.common import WORD
+from tenet.llm.common import WORD, staged
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: Hexadecimal digits of the key that make a range: 4096 ranges a source, whose sums one task puts in order.
@@ -62,12 +63,18 @@ def keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> Da
     return docs.select("*", F.col(source).alias("source_"), n_words(F.col(text)).alias("size_"), F.md5(mixed.cast("binary")).alias("key_"))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A staged table of a row a source, broadcast if that is safe."""
+    return F.broadcast(rows) if rows.count() <= MOST_SOURCES else rows
+
+
 def cuts(rows: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
     """For each source of rows (source_, size_, key_): source_size, target, whole (times that every document is taken), cut (the key
     where the rest of the budget ends, null where it ends nowhere) and here (words that each row of that key gives)."""
     same = lambda a, b: F.col(f"{a}.source_").eqNullSafe(F.col(f"{b}.source_"))
     part = F.substring("key_", 1, RANGE_DIGITS)
-    ranges = rows.groupBy("source_", part.alias("range")).agg(F.sum("size_").alias("n"))
+    spark = rows.sparkSession
+    ranges = staged(spark, rows.groupBy("source_", part.alias("range")).agg(F.sum("size_").alias("n")), "ranges")
     sizes = ranges.groupBy(F.col("source_").alias("source")).agg(F.sum("n").alias("source_size"))
     whole = F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))
     targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "source_").withColumn("whole", whole)
@@ -75,9 +82,9 @@ def cuts(rows: DataFrame, weights: Sequence[int], share: float, cap: float) -> D
     before = Window.partitionBy("source_").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     last = ranges.alias("r").join(targets.alias("t"), same("r", "t")).where("rest >= start and rest < start + n")
-    last = last.select("r.source_", "range", "start", "rest")
+    last = few(staged(spark, last.select("r.source_", "range", "start", "rest"), "last"))
     # One range a source: its keys, those of equal rows once.
-    inside = rows.select("source_", "size_", "key_", part.alias("range")).alias("d").join(F.broadcast(last).alias("r"), same("d", "r") & (F.col("d.range") == F.col("r.range")))
+    inside = rows.select("source_", "size_", "key_", part.alias("range")).alias("d").join(last.alias("r"), same("d", "r") & (F.col("d.range") == F.col("r.range")))
     inside = inside.groupBy("d.source_", "key_", "size_", "start", "rest").agg(F.count("*").alias("copies"))
     within = Window.partitionBy("source_").orderBy("key_").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("left", F.col("rest") - F.col("start") - F.coalesce(F.sum(F.col("size_") * F.col("copies")).over(within), F.lit(0)))
@@ -87,7 +94,7 @@ def cuts(rows: DataFrame, weights: Sequence[int], share: float, cap: float) -> D
 
 def taken(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows with source_size, target and taken_."""
-    table = F.broadcast(table) if table.count() <= MOST_SOURCES else table
+    table = few(staged(rows.sparkSession, table, "cuts"))
     out = rows.alias("d").join(table.alias("t"), F.col("d.source_").eqNullSafe(F.col("t.source_")))
     # Where the budget ends at no key, what is left of it is zero or all of the source's size.
     more = F.when(F.col("cut").isNull(), F.when(F.col("rest") >= F.col("source_size"), F.col("size_")).otherwise(0))
@@ -98,6 +105,7 @@ def taken(rows: DataFrame, table: DataFrame) -> DataFrame:
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted."""
     rows = keyed(docs.select("doc_id", "source", "text"), "doc_id", "text", "source", seed).select("doc_id", "source_", "size_", "key_")
+    rows = staged(docs.sparkSession, rows, "sizes")
     table = cuts(rows, weights, share, cap)
     return taken(rows, table).select("doc_id", F.col("source_").alias("source"), F.col("size_").alias("size"), "source_size", "target", F.col("taken_").alias("taken"))
 
@@ -109,7 +117,8 @@ def mix_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = keyed(docs.toDF(*names.values()), names["doc_id"], names["text"], names["source"], seed)
     size, text = F.col("size_"), F.col(names["text"])
-    rows = taken(rows, cuts(rows.select("source_", "size_", "key_"), weights, share, cap))
+    narrow = staged(docs.sparkSession, rows.select("source_", "size_", "key_"), "sizes")
+    rows = taken(rows, cuts(narrow, weights, share, cap))
     times = F.when(size == 0, F.lit(1)).otherwise(F.ceil(F.col("taken_") / F.greatest(size, F.lit(1))).cast("int"))
     rows = rows.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     here = F.least(size, F.col("taken_") - (F.col("copy") - 1) * size)
