@@ -7,10 +7,11 @@ A rank tells strings of one length apart, and sorts them. Positions that no othe
   first of equal ones), so equal strings have equal anchors at the same place. Neighbouring starts with one anchor make a block, a text of less than two
   thresholds. Only blocks stay whose anchor's bytes occur in several documents.
 * Equal blocks are one, with the smallest id among its documents: all other documents lose all of it. A block whose anchor occurs in no
-  other block needs no more.
+  other block needs no more. The others are cut into parts of up to PART starts, by the distance from their anchor; equal parts
+  are one again, and a part whose core, the bytes that all its strings share, is in no other part needs no more.
 * For the rest Spark sorts the strings of `first` bytes at each position, numbers them in order, and drops those that stand in one
   place only. Ranks of length h and of the position h further on make pairs, whose order is the rank of length 2h, and so on to
-  `threshold`: there each class of equal strings has its smallest id, and blocks get back the starts of which another block has a smaller one.
+  `threshold`: there each class of equal strings has its smallest id, and parts get back the starts of which another part has a smaller one.
 
 Sorts are of distinct strings or pairs, with minima aggregated before they are shuffled, and ranks are joined back by keys that Spark
 may split; so a passage of very many documents meets in no single task. Each step is staged in the shared folder, and what nothing
@@ -29,15 +30,20 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenet.llm.common import Sieve, arrow_sized, delete, numbered, rows_without, stage, staged, text_or_empty
 
 #: Bytes of an anchor.
 ANCHOR = 16
+#: Starts of a part: their distances from the anchor have one quotient by it.
+PART = 9
 #: Bytes that are looked at together; a place in a stretch has 20 bits.
 STRETCH = 1 << 19
+#: Blocks are compared a slice of the anchors at a time, which takes so much less space: equal strings have equal anchors.
+SLICES = 3
+BLOCK = ["start", "n", "lead", "name"]
 PLACE = np.uint64((1 << 20) - 1)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
@@ -64,8 +70,9 @@ def least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def blocks(data: np.ndarray, ends: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For documents that end at `ends` in data: document, first start (in data), number of starts and anchor's hash of each block."""
+def blocks(data: np.ndarray, ends: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For documents that end at `ends` in data, of each block: document, first start, number of starts, the anchor's distance from the
+    first, and its hash."""
     starts = np.concatenate([[0], ends[:-1]])
     width = threshold - ANCHOR + 1
     for begin in range(0, max(0, len(data) - threshold + 1), STRETCH):
@@ -80,7 +87,7 @@ def blocks(data: np.ndarray, ends: np.ndarray, threshold: int) -> Iterator[tuple
         count = np.diff(np.concatenate([new, [len(anchor)]]))
         kept = inside[new]
         new, count = new[kept], count[kept]
-        yield doc[new], at[new] - starts[doc[new]], count, h[anchor[new]].view(np.int64)
+        yield doc[new], at[new] - starts[doc[new]], count, begin + anchor[new] - at[new], h[anchor[new]].view(np.int64)
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,31 +97,33 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Within it, shuffle files go as soon as their query has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def little_space(spark: SparkSession):
+    """Within it, shuffle files go as soon as their query has ended, and tables are written small."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def anchored(rows: DataFrame, threshold: int) -> DataFrame:
-    """file, at, id, start, n and name of each block."""
+    """file, at, id, start, n, lead and name of each block."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, start, n, name in blocks(*joined(batch.column("text")), threshold):
+            for doc, start, n, lead, name in blocks(*joined(batch.column("text")), threshold):
                 own = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("file", "at", "id")], pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name)], ["file", "at", "id", "start", "n", "name"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("file", "at", "id")], pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(name)], ["file", "at", "id", *BLOCK])
 
-    return rows.mapInArrow(found, f"file long, at long, id {rows.schema['id'].dataType.simpleString()}, start int, n int, name long")
+    return rows.mapInArrow(found, f"file long, at long, id {rows.schema['id'].dataType.simpleString()}, start int, n int, lead int, name long")
 
 
 def cut(rows: DataFrame, threshold: int) -> DataFrame:
-    """file, at, id, start, n, name and content of each block in the list `found` of rows."""
+    """file, at, id, start, n, lead, name and content of each block in the list `found` of rows."""
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +138,9 @@ def cut(rows: DataFrame, threshold: int) -> DataFrame:
                     texts[d] = batch.column("text")[int(d)].as_py()
                 content = [texts[d][s : s + k + threshold - 1] for d, s, k in zip(first.tolist(), start[part].tolist(), n[part].tolist(), strict=True)]
                 own = pa.array(first)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("file", "at", "id")], *[flat.field(c).slice(i, len(content)) for c in ("start", "n", "name")], pa.array(content, pa.binary())], ["file", "at", "id", "start", "n", "name", "content"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("file", "at", "id")], *[flat.field(c).slice(i, len(content)) for c in BLOCK], pa.array(content, pa.binary())], ["file", "at", "id", *BLOCK, "content"])
 
-    return rows.mapInArrow(contents, f"file long, at long, id {rows.schema['id'].dataType.simpleString()}, start int, n int, name long, content binary")
+    return rows.mapInArrow(contents, f"file long, at long, id {rows.schema['id'].dataType.simpleString()}, start int, n int, lead int, name long, content binary")
 
 
 def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -152,26 +161,67 @@ def lengths(first: int, threshold: int) -> list[int]:
     return out
 
 
+def needed(ladder: list[int]) -> list[int]:
+    """How far from a start the strings of the first length stand that its string of the last length is made of."""
+    out = [0]
+    for shorter, longer in reversed(list(zip(ladder, ladder[1:], strict=False))):
+        out = sorted({*out, *[o + longer - shorter for o in out]})
+    return out
+
+
 def shared_starts(spark: SparkSession, texts: DataFrame, first: int, threshold: int) -> DataFrame:
-    """Prefix doubling over short texts (c, low, content): c, place and earlier for each start of `threshold` bytes that also stands in a
-    text of smaller low: the smallest."""
-    every = F.sequence(F.lit(0), F.length("content") - first)
-    place = texts.select("c", "low", F.explode(every).alias("place"), "content").select("c", "low", "place", F.expr(f"substring(content, place + 1, {first})").alias("key"))
-    by = ["key"]
+    """Prefix doubling over short texts (c, low, content): c and place for each start of `threshold` bytes that also stands in a text of
+    smaller low."""
     ladder = lengths(first, threshold)
+    offsets = F.array(*[F.lit(o) for o in needed(ladder)])
+    starts = F.length("content") - threshold  # the last of them
+    every = F.filter(F.sequence(F.lit(0), F.length("content") - first), lambda p: F.exists(offsets, lambda o: (p >= o) & (p - o <= starts)))
+    place = texts.select("c", "low", F.explode(every).alias("place"), "content").select("c", "low", "place", F.expr(f"substring(content, place + 1, {first})").alias("key"))
+    by, at_before = ["key"], []
     for turn, length in enumerate(ladder):
         if length == threshold:
             classes = place.groupBy(*by).agg(F.min("low").alias("earlier"), F.max("low").alias("latest")).where("earlier < latest").drop("latest")
-            return place.join(classes, by).where("earlier < low").select("c", "place", "earlier")
+            out = staged(spark, place.join(classes, by).where("earlier < low").select("c", "place"), "starts")
+            delete(spark, *at_before)
+            return out
         several = place.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1")
-        ranks = staged(spark, ranked(several, by).drop("times"), "ranks")
-        place = staged(spark, place.join(ranks, by).select("c", "low", "place", "rank"), "places")
-        further = ladder[turn + 1] - length
-        place = place.withColumnRenamed("rank", "near").join(place.select("c", (F.col("place") - further).alias("place"), F.col("rank").alias("far")), ["c", "place"])
+        at_ranks, ranks = stage(spark, ranked(several, by).drop("times"), "ranks")
+        at_places, place = stage(spark, place.join(ranks, by).select("c", "low", "place", "rank"), "places")
+        delete(spark, at_ranks, *at_before)
+        at_before, further = [at_places], ladder[turn + 1] - length
+        # A text's places meet in one task: fewer than two thresholds.
+        far = F.max("rank").over(Window.partitionBy("c").orderBy("place").rangeBetween(further, further))
+        place = place.select("c", "low", "place", F.col("rank").alias("near"), far.alias("far")).where("far is not null")
         by = ["near", "far"]
     raise AssertionError
 
 
+def parts(classes: DataFrame, threshold: int) -> DataFrame:
+    """c, low, first and last start, core's hash and content of each part of blocks (c, low, n, lead, content)."""
+    width = min(PART, threshold - 1)
+    away = F.col("lead") - F.col("number") * width
+    rows = classes.withColumn("number", F.explode(F.expr(f"sequence((lead - n + 1) div {width}, lead div {width})").cast("array<int>")))
+    rows = rows.select("c", "low", "content", away.alias("away"), F.greatest(F.lit(0), away - (width - 1)).alias("first"), F.least(F.col("n") - 1, away).alias("last"))
+    return rows.select("c", "low", "first", "last", F.expr(f"xxhash64(substring(content, away + 1, {threshold - width + 1}))").alias("core"), F.expr(f"substring(content, first + 1, last - first + {threshold})").alias("content"))
+
+
+def earlier_starts(spark: SparkSession, classes: DataFrame, first: int, threshold: int) -> DataFrame:
+    """c, first and last of the starts in blocks (c, low, n, lead, content) that also stand in a block of smaller low."""
+    key = F.unhex(F.md5("content")).alias("key")
+    at_parts, part = stage(spark, parts(classes, threshold), "parts")
+    one = part.groupBy("content").agg(F.min("core").alias("core"), F.min("low").alias("least"))  # equal parts have equal cores
+    at_one, one = stage(spark, one.select("*", F.monotonically_increasing_id().alias("p")), "parts")
+    several = one.groupBy("core").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("core")
+    texts = one.join(several, "core", "left_semi").select(F.col("p").alias("c"), F.col("least").alias("low"), "content")
+    found = shared_starts(spark, texts, first, threshold).withColumnRenamed("c", "p")
+    placed = part.select("c", "low", "first", "last", key).join(one.select(key, "least", "p"), "key")
+    whole = placed.where("low > least").select("c", "first", "last")
+    some = placed.where("low = least").join(found, "p").select("c", (F.col("first") + F.col("place")).alias("first"), (F.col("first") + F.col("place")).alias("last"))
+    out = staged(spark, whole.union(some), "earlier")
+    delete(spark, at_parts, at_one)
+    return out
+
+
 def kept_bytes(rows: DataFrame, threshold: int) -> DataFrame:
     """digest, n_removed, n_spans and kept_sha256 for rows with the list `gone` of first and last starts."""
 
@@ -198,7 +248,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, threshold: int = 50, fi
         raise ValueError(f"the threshold is {ANCHOR} bytes at least, the first length no longer")
     arrow_sized(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    with freed_shuffles(spark):
+    with little_space(spark):
         return _repeated(spark, docs, threshold, first, id_column, text_column)
 
 
@@ -213,22 +263,28 @@ def _repeated(spark: SparkSession, docs: DataFrame, threshold: int, first: int,
     copies = named.join(heads.where("head is not null"), "digest", "left").where("head is null or id is null or file != head.file or at != head.at")
     own = rows_without(rows, staged(spark, copies.select("file", "at"), "copies"))
 
-    at_anchors, found = stage(spark, anchored(own, threshold), "anchors")
-    shared = found.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("name")
-    lists = found.join(shared, "name", "left_semi").groupBy("file", "at").agg(F.collect_list(F.struct("start", "n", "name")).alias("found"))
+    # Blocks are found twice: to stage them takes more space, and as long.
+    shared = anchored(own, threshold).groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    at_names, shared = stage(spark, shared.select("name"), "names")
+    lists = anchored(own, threshold).join(shared, "name", "left_semi").groupBy("file", "at").agg(F.collect_list(F.struct(*BLOCK)).alias("found"))
     at_lists, lists = stage(spark, lists, "lists")
-    delete(spark, at_anchors)
+    delete(spark, at_names)
     at_blocks, block = stage(spark, cut(with_lists(own, lists), threshold), "blocks")
     delete(spark, at_lists)
 
-    one = block.groupBy("name", "content").agg(F.min("id").alias("low"))
-    at_classes, one = stage(spark, one.select("name", "content", F.unhex(F.md5("content")).alias("key"), "low", F.monotonically_increasing_id().alias("c")), "classes")
-    split = one.groupBy("name").agg(F.count("*").alias("times"), F.min("low").alias("a"), F.max("low").alias("b")).where("times > 1 and a < b").select("name")
-    earlier = staged(spark, shared_starts(spark, one.join(split, "name", "left_semi").select("c", "low", "content"), first, threshold), "earlier")
-
-    placed = block.select("file", "at", "id", "start", "n", "name", F.unhex(F.md5("content")).alias("key")).join(one.select("name", "key", "low", "c"), ["name", "key"])
+    one = block.groupBy("content").agg(F.min("id").alias("low"), *[F.min(c).alias(c) for c in ("name", "n", "lead")])  # equal blocks have equal anchors
+    at_classes, one = stage(spark, one.select("*", F.monotonically_increasing_id().alias("c")), "classes")
+    earlier = None
+    for k in range(SLICES):
+        mine = one.where(F.pmod(F.xxhash64("name"), F.lit(SLICES)) == k)
+        split = mine.groupBy("name").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("name")
+        found = earlier_starts(spark, mine.join(split, "name", "left_semi").select("c", "low", "n", "lead", "content"), first, threshold)
+        earlier = found if earlier is None else earlier.union(found)
+
+    key = F.unhex(F.md5("content")).alias("key")
+    placed = block.select("file", "at", "id", "start", "n", key).join(one.select(key, "low", "c"), "key")
     whole = placed.where("id > low").select("file", "at", "start", (F.col("start") + F.col("n") - 1).alias("stop"))
-    some = placed.where("id = low").join(earlier, "c").select("file", "at", (F.col("start") + F.col("place")).alias("start"), (F.col("start") + F.col("place")).alias("stop"))
+    some = placed.where("id = low").join(earlier, "c").select("file", "at", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("stop"))
     gone = staged(spark, whole.union(some).groupBy("file", "at").agg(F.collect_list(F.struct("start", "stop")).alias("gone")), "gone")
     delete(spark, at_blocks, at_classes)
     cutout = staged(spark, kept_bytes(with_lists(rows, gone).select(F.sha2("text", 256).alias("digest"), "text", "gone"), threshold), "cutout")

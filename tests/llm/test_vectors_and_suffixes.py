@@ -68,7 +68,7 @@ def test_repeats_in_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "STRETCH", 100)  # blocks as stretches cut them, here and in the workers' own way
     data = np.frombuffer(b"".join(t.encode() for _, t in passages(2, 30)), np.uint8)
     ends = np.array([len(data) // 3, len(data) // 3 + 20, len(data)])
-    starts = [(d, s + k) for doc, start, n, _ in suffixes.blocks(data, ends, 50) for d, s, m in zip(doc, start, n, strict=True) for k in range(m)]
+    starts = [(d, s + k) for doc, start, n, *_ in suffixes.blocks(data, ends, 50) for d, s, m in zip(doc, start, n, strict=True) for k in range(m)]
     lengths = np.diff([0, *ends])
     assert sorted(starts) == [(d, s) for d in range(3) for s in range(lengths[d] - 49)]
     passage = " ".join(f"word{i * i}" for i in range(90_000))
