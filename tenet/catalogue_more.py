@@ -631,10 +631,10 @@ def automated(spark: SparkSession, sf: str, automations: dict[str, str], actions
     return store.append(star.events(spark, sf), minted=True)
 
 
-CASCADE = "both as (select distinct a.subject from (select subject from cur where attribute = 'click' and not negated and conf > 0) a join (select subject from cur where attribute = 'error' and not negated and conf > 0) b using (subject)), rich as (select distinct subject from cur where attribute = 'purchase' and not negated and conf > 0)"
+CASCADE = "two as (select distinct a.subject from (select subject from cur where attribute = 'click' and not negated and conf > 0) a join (select subject from cur where attribute = 'error' and not negated and conf > 0) b using (subject)), rich as (select distinct subject from cur where attribute = 'purchase' and not negated and conf > 0)"
 
 
-@add(events(f", {CASCADE} select subject, 'flagged' as what, 1 as round from both union all select subject, 'call', 2 from both join rich using (subject)"))
+@add(events(f", {CASCADE} select subject, 'flagged' as what, 1 as round from two union all select subject, 'call', 2 from two join rich using (subject)"))
 def automation_cascade(spark, sf):
     """Two rounds: users who click and err are flagged; flagged users who bought are to be called. A third pass finds nothing more."""
     store = automated(spark, sf, {"flag": "?u HAS click: _, ?u HAS error: _ => action/flag", "call": "?u HAS mark: flagged, ?u HAS purchase: _ => action/call"}, {"flag": "?u => ?u HAS mark: flagged", "call": "?u => ?u NEEDS call"})
