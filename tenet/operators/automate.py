@@ -291,8 +291,8 @@ class Engine:
 
     def violated(self, new: DataFrame) -> DataFrame | None:
         """Violations that the rows would add, if any."""
-        after = self.store.claims.unionByName(conform(new.withColumn("tx", F.concat(F.lit("f"), F.sha2("claim_key", 256)))))
-        added = staged(self.spark, shape.new_violations(shape.check(self.spark, self.store.claims), shape.check(self.spark, after)), "violations")
+        change = conform(new.withColumn("tx", F.concat(F.lit("f"), F.sha2("claim_key", 256))))
+        added = staged(self.spark, shape.added(self.spark, self.store.claims, change), "violations")
         return added if added.limit(1).count() else None
 
     def hook(self, a: Automation, step: Step, found: DataFrame, n: int) -> Outcome:

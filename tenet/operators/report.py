@@ -17,7 +17,8 @@ ROWS = 50
 
 
 def render(template: str, ask: Callable[[str], DataFrame], rows: int = ROWS) -> str:
-    """Replace ```query blocks by tables (of at most `rows` rows, which they say), and {{pattern}} by the first variable's values."""
+    """Replace ```query blocks by tables, and {{pattern}} by the first variable's values: at most `rows` of each, and where there are more
+    they say so."""
 
     def table(m: re.Match) -> str:
         df = ask(m[1])
@@ -28,7 +29,8 @@ def render(template: str, ask: Callable[[str], DataFrame], rows: int = ROWS) ->
 
     def splice(m: re.Match) -> str:
         df = ask(m[1])
-        return ", ".join(str(r[0]) for r in df.select(df.columns[0]).distinct().orderBy(df.columns[0]).limit(rows).collect())
+        found = df.select(df.columns[0]).distinct().orderBy(df.columns[0]).limit(rows + 1).collect()
+        return ", ".join(str(r[0]) for r in found[:rows]) + (f" (the first {rows})" if len(found) > rows else "")
 
     out = re.sub(r"```query\n(.*?)```", table, template, flags=re.S)
     return re.sub(r"\{\{(.+?)\}\}", splice, out)

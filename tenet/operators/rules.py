@@ -393,8 +393,7 @@ def governed(spark: SparkSession, claims: DataFrame, action: Action, arguments:
 
     rows = act(spark, claims, action, arguments)
     new = reply_rows(claims, rows, f"src:action/{action.name}")
-    after = claims.unionByName(conform(new.withColumn("tx", F.lit(tx or "f" + "0" * 8))))
-    added = shape.new_violations(shape.check(spark, claims), shape.check(spark, after))
+    added = shape.added(spark, claims, conform(new.withColumn("tx", F.lit(tx or "f" + "0" * 8))))
     if added.limit(1).count():
         raise Rejected(added)
     return new

@@ -96,3 +96,14 @@ def record(artifacts: DataFrame, kind: str, digest: str, body: str) -> DataFrame
     if same and same[0][0] != body:
         raise ValueError(f"{kind} {digest} is recorded with another body")
     return artifacts if same else artifacts.unionByName(artifacts.sparkSession.createDataFrame([(kind, digest, body)], "kind string, digest string, body string"))
+
+
+def record_all(artifacts: DataFrame, new: DataFrame) -> DataFrame:
+    """As `record`, for a table of new artifacts: those recorded already are left out; another body under a digest, among the new ones
+    or against the recorded, raises."""
+    keys, new = ["kind", "digest"], new.select("kind", "digest", "body").distinct()
+    both = artifacts.select("kind", "digest", "body").unionByName(new)
+    clash = both.groupBy(*keys).agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").limit(1).collect()
+    if clash:
+        raise ValueError(f"{clash[0]['kind']} {clash[0]['digest']} is recorded with another body")
+    return artifacts.unionByName(new.join(artifacts.select(*keys), keys, "left_anti").select(*artifacts.columns))

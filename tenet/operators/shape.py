@@ -1,7 +1,12 @@
-"""Shapes and health: expectations, instances, violations, staleness, disagreements, coverage, the gate."""
+"""Shapes and health: expectations, instances, violations, staleness, disagreements, coverage, the gate.
+
+The gate counts anew only what a change touches: the names in its rows and, if it declares expectations or kinds of types, the
+instances of those types."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from tenet.functions.keys import is_entity, other_contexts, uuid7_ms
 from tenet.operators import closure as graph
 from tenet.operators.belief import believed, current
 from tenet.operators.registry import Registry
+from tenet.staging import staged
 
 DAY = 86_400_000
 
@@ -24,6 +30,9 @@ def expectations(claims: DataFrame) -> DataFrame:
     return rows.select(F.col("subject").alias("type"), what.alias("property"), F.when(what.rlike("^[A-Z][A-Z-]*$"), "relation").otherwise("attribute").alias("kind"), tag_value("cardinality").alias("cardinality"), tag_value("unit").alias("unit"))
 
 
+#: Up to so many names that a change touches are read ahead, so that scans leave out all other entities' rows; more are joined.
+MOST_TOUCHED = 1_000
+Among = DataFrame | list[str]
 #: Expectations are declared by people; up to so many are read ahead, so only facts that they name are read at all.
 MOST_EXPECTATIONS = 10_000
 EXPECTATION = "type string, property string, kind string, cardinality string, unit string"
@@ -37,9 +46,24 @@ def relevant(claims: DataFrame, expected: list, registry: Registry) -> DataFrame
     return claims.where(((F.col("verb") == "HAS") & F.col("attribute").isin(attributes)) | (F.col("verb").isin(sorted(verbs)) & F.col("object").isNotNull()))
 
 
-def instances(spark: SparkSession, claims: DataFrame) -> DataFrame:
-    """(entity, type, via): positive IS into a type or one of its EXTENDS+ descendants; `via` is the type named."""
-    named = believed(claims.where((F.col("verb") == "IS") & F.col("object").isNotNull()), "subject", "object").where(is_entity(F.col("object")))
+def naming(claims: DataFrame, among: Among | None, *ends: str) -> DataFrame:
+    """The claims that have one of the names at one of these ends. Ends are parts of the claim key, so this goes below `current`."""
+    if among is None:
+        return claims
+    if isinstance(among, list):
+        return claims.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(e).isin(among), F.lit(False)) for e in ends]))
+    out, left = [], claims
+    for e in ends:
+        names = among.select(F.col("name").alias(e))
+        out.append(left.join(names, e, "left_semi").select(*claims.columns))
+        left = left.join(names, e, "left_anti")
+    return reduce(DataFrame.unionByName, out)
+
+
+def instances(spark: SparkSession, claims: DataFrame, among: Among | None = None) -> DataFrame:
+    """(entity, type, via): positive IS into a type or one of its EXTENDS+ descendants; `via` is the type named. among: of these entities."""
+    kinds = naming(claims.where((F.col("verb") == "IS") & F.col("object").isNotNull()), among, "subject")
+    named = believed(kinds, "subject", "object").where(is_entity(F.col("object")))
     direct = named.select(F.col("subject").alias("entity"), F.col("object").alias("via"))
     up = graph.closure(spark, graph.edges_of_verb(claims, "EXTENDS")).select(F.col("src").alias("via"), F.col("dst").alias("type"))
     return direct.withColumn("type", F.col("via")).select("entity", "type", "via").union(direct.join(up, "via").select("entity", "type", "via")).distinct()
@@ -69,14 +93,37 @@ def violations(claims: DataFrame, expected: DataFrame, held: DataFrame, registry
     return seen.withColumn("problem", wrong).where("problem is not null").select("entity", "type", "property", "problem", F.col("n").cast("long").alias("observed"), units.alias("units"))
 
 
-def check(spark: SparkSession, claims: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """All violations. The expectations are read first, and facts that none of them names are filtered at the scan."""
-    expected = expectations(claims)
-    read = expected.limit(MOST_EXPECTATIONS + 1).collect()
+def check(spark: SparkSession, claims: DataFrame, registry: Registry | None = None, among: Among | None = None) -> DataFrame:
+    """All violations, or those of some entities. The expectations are read first, and facts that none of them names are filtered at the
+    scan."""
+    expected, facts = expectations(claims), naming(claims, among, "subject", "object")
+    read, held, r = expected.limit(MOST_EXPECTATIONS + 1).collect(), instances(spark, claims, among), registry or Registry()
     if len(read) > MOST_EXPECTATIONS:
-        return violations(claims, expected, instances(spark, claims), registry)
-    r = registry or Registry()
-    return violations(relevant(claims, read, r), spark.createDataFrame(read, EXPECTATION), instances(spark, claims), r)
+        return violations(facts, expected, held, r)
+    return violations(relevant(facts, read, r), spark.createDataFrame(read, EXPECTATION), held, r)
+
+
+def touched(spark: SparkSession, after: DataFrame, change: DataFrame) -> Among | None:
+    """The names whose violations may grow by a change, `after` it; None if all may, as verbs are declared anew."""
+    of_types = F.col("verb").isin("EXPECTS", "EXTENDS")
+    verbs, types = change.agg(F.max(F.col("verb").isin("REVERSE", "RENAMED-TO")), F.max(of_types)).first()
+    if verbs:
+        return None
+    names = change.select(F.explode(F.array("subject", "object")).alias("name")).where("name is not null")
+    if types:
+        declared = change.where(of_types).select(F.col("subject").alias("type")).distinct()
+        names = names.union(instances(spark, after).join(declared, "type", "left_semi").select("entity"))
+    names = staged(spark, names.distinct(), "touched")
+    few = names.limit(MOST_TOUCHED + 1).collect()
+    return names if len(few) > MOST_TOUCHED else sorted(r["name"] for r in few)
+
+
+def added(spark: SparkSession, claims: DataFrame, change: DataFrame, was: Registry | None = None, now: Registry | None = None) -> DataFrame:
+    """The violations that a change (rows later than all claims) would add, by the registries before and after it: what two whole checks
+    differ in, counted for the entities that it touches. The change is read several times: stage it, if it is costly."""
+    after = claims.unionByName(change)
+    among = touched(spark, after, change)
+    return new_violations(check(spark, claims, was, among), check(spark, after, now or was, among))
 
 
 def new_violations(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -67,9 +67,19 @@ class Store:
 
     def gated(self, text: str, source: str | None = None, strict: bool = False) -> tuple[Store, DataFrame | None]:
         """As `ingest`, unless that adds a violation of the expectations that hold after it: then the store as it is, and those."""
-        after, _ = self.ingest(text, source, strict)
-        new = shape.new_violations(shape.check(self.spark, self.claims, self.registry()), shape.check(self.spark, after.claims, after.registry()))
-        return (self, new) if new.limit(1).count() else (after, None)
+        rows, edges, _ = claim_text.claims_of(self.spark, text, self.next_ms(), source, strict, self.registry())
+        after = self.append(rows, edges, minted=True)
+        return self._passed(after, rows)
+
+    def gated_rows(self, rows: DataFrame) -> tuple[Store, DataFrame | None]:
+        """As `gated`, for a table of rows without ids."""
+        plain = rows.drop("id", "tx").withColumn("tx", keys.uuid7(F.lit(self.next_ms()), F.monotonically_increasing_id()))
+        new = staged(self.spark, conform(plain), "added")
+        return self._passed(self.append(new, minted=True), new)
+
+    def _passed(self, after: Store, new: DataFrame) -> tuple[Store, DataFrame | None]:
+        found = staged(self.spark, shape.added(self.spark, self.claims, new, self.registry(), after.registry()), "violations")
+        return (self, found) if found.limit(1).count() else (after, None)
 
     def derive(self, passes: int = rules.PASSES) -> tuple[Store, support.Maintained]:
         """The declared rules' conclusions as rows, with edges to what they rest on. From what came after the rules' marks alone, if all
@@ -104,6 +114,11 @@ class Store:
             hooks.run(action.name, arguments, new)
         return store, said
 
+    def synced_table(self, docs: DataFrame) -> tuple[Store, DataFrame]:
+        """As `synced`, for a table (path, text) of annotated documents, which executors parse; (path, line, problem) of all."""
+        rows, edges, problems = claim_text.annotated_table(self.spark, docs, self.registry())
+        return (self if problems.limit(1).count() else self.append(rows, edges)), problems
+
     def synced(self, text: str) -> tuple[Store, list[tuple[int, str]]]:
         """Rows of an annotated text (each claim line after a line `;@ id`) by their own ids: those here are left out. With any problem
         nothing is taken, and the problems (line, what) are told."""
