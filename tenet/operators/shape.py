@@ -51,7 +51,7 @@ def naming(claims: DataFrame, among: Among | None, *ends: str) -> DataFrame:
     if among is None:
         return claims
     if isinstance(among, list):
-        return claims.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(e).isin(among), F.lit(False)) for e in ends]))
+        return claims.where(reduce(lambda a, b: a | b, [F.col(e).isin(among) for e in ends]))
     out, left = [], claims
     for e in ends:
         names = among.select(F.col("name").alias(e))
