@@ -405,6 +405,18 @@ def scenario_bound(spark, sf):
     return spark.createDataFrame([(k, f"{v.numerator * 100 // v.denominator // 100 if v >= 0 else -(-v.numerator // v.denominator)}.{v.numerator * 100 // v.denominator % 100:02d}") for k, v in found.values.items()], "name string, value string")
 
 
+TIMED = "t as (select subject, tx, conf, value_num as x, 1 + event_id % 5 as s, case when event_id % 2 = 0 then 'ms' else 's' end as unit, case when event_id % 2 = 0 then 1 else 1000 end as f from c where conf > 0 and value_num is not null)"
+
+
+@add(events(f", {TIMED}, p as (select subject, sum(conf / (s * f * s * f) * x * f) as wx, sum(conf / (s * f * s * f)) as w, arg_min(unit, tx) as unit, arg_min(f, tx) as f, count(*) as n from t group by 1) select subject, round(wx / w / f, 6) as mean, round(1 / sqrt(w) / f, 6) as sigma, unit, n from p"))
+def fuse_durations(spark, sf):
+    """Durations in milliseconds and in seconds, fused in the unit of the first that came."""
+    even = num() % 2 == 0
+    rows = star.events(spark, sf).withColumns({"delta_num": 2.0 * (1 + num() % 5), "sigma_level": F.lit(2.0), "value_unit": F.when(even, "ms").otherwise("s")})
+    out = resolve.fuse(resolve.estimate_columns(rows.withColumn("delta_unit", F.col("value_unit"))), ["subject"])
+    return out.select("subject", F.round("mean", 6).alias("mean"), F.round("sigma", 6).alias("sigma"), "unit", "n")
+
+
 PROFILE = "concat_ws('|', o_custkey, o_orderstatus, trim(o_orderpriority))"
 
 

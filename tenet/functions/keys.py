@@ -60,10 +60,11 @@ def other_contexts(contexts: Column) -> Column:
     return F.filter(contexts, lambda c: ~c.startswith("src:"))
 
 
-def group_key() -> Column:
-    """The contested group: the claim key without polarity and without source contexts."""
-    payload = F.when(F.col("attribute").isNotNull(), F.concat(F.lit("a:"), F.col("attribute"))).when(F.col("object").isNotNull(), F.concat(F.lit("r:"), F.col("object"))).otherwise("m")
-    return F.concat_ws("\x1f", F.col("subject"), F.col("verb"), payload, F.array_join(F.array_sort(F.array_distinct(other_contexts(F.col("contexts")))), "\x1e"))
+def group_key(subject: Column | None = None, obj: Column | None = None) -> Column:
+    """The contested group: the claim key without polarity and without source contexts. Other names may stand for its ends."""
+    subject, obj = F.col("subject") if subject is None else subject, F.col("object") if obj is None else obj
+    payload = F.when(F.col("attribute").isNotNull(), F.concat(F.lit("a:"), F.col("attribute"))).when(F.col("object").isNotNull(), F.concat(F.lit("r:"), obj)).otherwise("m")
+    return F.concat_ws("\x1f", subject, F.col("verb"), payload, F.array_join(F.array_sort(F.array_distinct(other_contexts(F.col("contexts")))), "\x1e"))
 
 
 def uuid7(ms: Column, low: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenet.functions.keys import group_key
+from tenet.functions.values import DURATIONS
 from tenet.operators.belief import current, supported
 
 
@@ -51,14 +52,20 @@ def of_source(source: Column, policy: list[Entry], what: str) -> Column:
     return out
 
 
+def grouped(rows: DataFrame, representatives: DataFrame | None = None) -> DataFrame:
+    """rows with their group; by representatives (name, rep), both ends of a relation stand under one name of theirs."""
+    if representatives is None:
+        return rows.withColumn("group", group_key())
+    out = rows
+    for end in ("subject", "object"):
+        out = out.join(representatives.select(F.col("name").alias(end), F.col("rep").alias(f"__{end}")), end, "left")
+    named = [F.coalesce(f"__{end}", end) for end in ("subject", "object")]
+    return out.withColumn("group", group_key(*named)).select(*rows.columns, "group")
+
+
 def ranked(claims: DataFrame, policy: list[Entry], representatives: DataFrame | None = None) -> DataFrame:
     """Current candidates (conf > 0) with their group, class, reliability, weight and rank in the group."""
-    rows = current(claims).where(F.col("conf") > 0)
-    rows = rows.withColumn("group", group_key())
-    if representatives is not None:
-        rows = rows.join(representatives.select(F.col("name").alias("subject"), "rep"), "subject", "left")
-        rest = F.expr("substring(`group`, length(subject) + 1)")
-        rows = rows.withColumn("group", F.concat(F.coalesce("rep", "subject"), rest)).drop("rep")
+    rows = grouped(current(claims).where(F.col("conf") > 0), representatives)
     sources = F.transform(F.filter("contexts", lambda c: c.startswith("src:")), lambda c: F.substring(c, F.lit(5), F.length(c)))
     rows = rows.withColumn("class", F.coalesce(F.array_max(F.transform(sources, lambda s: of_source(s, policy, "precedence"))), of_source(F.lit(""), policy, "precedence")))
     rows = rows.withColumn("reliability", F.coalesce(F.array_min(F.transform(sources, lambda s: of_source(s, policy, "reliability"))), F.lit(1.0)))
@@ -88,24 +95,44 @@ def contested(claims: DataFrame, policy: list[Entry], representatives: DataFrame
 
 
 def estimate_columns(rows: DataFrame) -> DataFrame:
-    """mean and sigma of numeric rows with a positive delta, in the value's unit; durations convert between their units."""
-    from tenet.functions.values import DURATIONS
-
+    """mean and sigma of numeric rows with a delta, in the value's unit; durations convert between their units."""
     factor = F.lit(1.0)
     for unit, ms in DURATIONS.items():
         for other, ms2 in DURATIONS.items():
             factor = F.when((F.col("delta_unit") == unit) & (F.col("value_unit") == other), F.lit(ms / ms2)).otherwise(factor)
     s = F.col("delta_num") * factor / F.col("sigma_level")
-    return rows.where(F.col("value_num").isNotNull() & (s > 0)).withColumn("mean", F.col("value_num")).withColumn("sigma", s)
+    return rows.where(F.col("value_num").isNotNull() & s.isNotNull()).withColumn("mean", F.col("value_num")).withColumn("sigma", s)
+
+
+def scale(unit: Column) -> Column:
+    """What a duration's unit is in the shortest one; 1 for others."""
+    out = F.lit(1.0)
+    for name, ms in DURATIONS.items():
+        out = F.when(unit == name, F.lit(ms)).otherwise(out)
+    return out
 
 
 def fuse(estimates: DataFrame, by: list[str]) -> DataFrame:
-    """Precision-weighted means: weight conf / sigma^2; rows of no confidence are left out, mixed units raise."""
-    w = F.col("conf") / (F.col("sigma") * F.col("sigma"))
-    rows = estimates.where(F.col("conf") > 0).withColumn("w", w)
-    unit = F.when((F.min(F.coalesce("value_unit", F.lit(""))) != F.max(F.coalesce("value_unit", F.lit("")))), F.raise_error(F.lit("estimates of one quantity have different units"))).otherwise(F.max("value_unit"))
-    out = rows.groupBy(*by).agg(F.sum(F.col("w") * F.col("mean")).alias("wx"), F.sum("w").alias("precision"), F.count("*").alias("n"), unit.alias("unit"))
-    return out.select(*by, (F.col("wx") / F.col("precision")).alias("mean"), (1 / F.sqrt("precision")).alias("sigma"), "precision", "unit", "n")
+    """Precision-weighted means: weight conf / sigma^2; rows of no confidence are left out. Durations are told in the unit of the earliest row
+    (by tx; without that column, in the longest of their units), other mixed units raise, and so does a sigma that is not positive and finite."""
+    sound = (F.col("sigma") > 0) & ~F.isnan("sigma") & (F.col("sigma") < float("inf"))
+    sigma = F.when(sound, F.col("sigma") * scale(F.col("value_unit"))).otherwise(F.raise_error(F.lit("a sigma is positive and finite")).cast("double"))
+    rows = estimates.where(F.col("conf") > 0).withColumn("s", sigma).withColumn("w", F.col("conf") / (F.col("s") * F.col("s")))
+    rows = rows.withColumn("dimension", F.when(F.col("value_unit").isin(*DURATIONS), "duration").otherwise(F.coalesce("value_unit", F.lit(""))))
+    first = F.min_by("value_unit", "tx") if "tx" in estimates.columns else F.max_by("value_unit", scale(F.col("value_unit")))
+    unit = F.when(F.min("dimension") != F.max("dimension"), F.raise_error(F.lit("estimates of one quantity have different units"))).otherwise(first)
+    out = rows.groupBy(*by).agg(F.sum(F.col("w") * F.col("mean") * scale(F.col("value_unit"))).alias("wx"), F.sum("w").alias("p"), F.count("*").alias("n"), unit.alias("unit"))
+    one = scale(F.col("unit"))
+    return out.select(*by, (F.col("wx") / F.col("p") / one).alias("mean"), (1 / F.sqrt("p") / one).alias("sigma"), (F.col("p") * one * one).alias("precision"), "unit", "n")
+
+
+def fuse_one(rows: DataFrame, representatives: DataFrame | None = None) -> DataFrame:
+    """The posterior of selected claims, which must all be of one quantity: the same subject (by representatives), verb, attribute and
+    contexts but for sources. No estimate, no row; those of several quantities raise."""
+    told = grouped(estimate_columns(rows).where(F.col("conf") > 0), representatives)
+    several = F.when(F.min("group") != F.max("group"), F.raise_error(F.concat(F.lit("several quantities: "), F.min("group"), F.lit(" / "), F.max("group")))).otherwise(F.min("group"))
+    quantity = told.agg(several.alias("quantity")).where("quantity is not null")
+    return fuse(told.withColumnRenamed("group", "quantity"), ["quantity"]).join(quantity, "quantity")
 
 
 def noisy_and(confs: Column, rule_conf: float = 1.0) -> Column:
@@ -122,4 +149,4 @@ def average_confidence(claims: DataFrame) -> DataFrame:
     return supported(current(claims)).agg(F.avg("conf").alias("average"))
 
 
-__all__ = ["BUILT_IN", "Entry", "contested", "estimate_columns", "fuse", "noisy_and", "normalised", "ranked", "read_policy", "winners"]
+__all__ = ["BUILT_IN", "Entry", "contested", "estimate_columns", "fuse", "fuse_one", "grouped", "noisy_and", "normalised", "ranked", "read_policy", "winners"]

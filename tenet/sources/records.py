@@ -42,7 +42,7 @@ def parse_csv(text: str, delimiter: str = ",") -> list[tuple[int, int, dict[str,
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", spans: bool = False) -> DataFrame:
-    """Spark's own reader, which splits files; with spans, whole files at a time, as RECORD rows."""
+    """Spark's own reader, a file a task, for quoted fields may hold line ends; with spans, whole files at a time, as RECORD rows."""
     if not spans:
         return spark.read.csv(path, header=True, sep=delimiter, multiLine=True, escape='"', encoding="UTF-8")
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
