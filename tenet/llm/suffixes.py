@@ -3,7 +3,7 @@
 A byte goes if some string of `threshold` bytes that covers it also starts in a document of a smaller id. Of equal texts only one row is searched.
 
 A rank tells strings of one length apart, and sorts them. Positions that no other document shares are out before they are sorted:
-* Each string of `threshold` bytes contains a sampled position, its anchor: of its strings of ANCHOR bytes the one of least hash (the
+* Each string of `threshold` bytes contains a sampled position, its anchor: of its strings of `anchor_size` bytes the one of least hash (the
   first of equal ones), so equal strings have equal anchors at the same place. Neighbouring starts with one anchor make a block, a text of less than two
   thresholds. Only blocks stay whose anchor's bytes occur in several documents.
 * Equal blocks are one, with the smallest id among its documents: all other documents lose all of it. A block whose anchor occurs in no
@@ -35,24 +35,33 @@ from pyspark.sql import functions as F
 
 from tenet.llm.common import Sieve, arrow_sized, delete, numbered, rows_without, stage, staged, text_or_empty
 
-#: Bytes of an anchor.
-ANCHOR = 16
+#: Bytes of an anchor, in words of 8: of thresholds from twice as many on, and of others. The longer it is, the fewer strings share it by
+#: chance, as ever more do where there are more documents, and the more blocks there are.
+ANCHOR, SHORT = 24, 16
 #: Starts of a part: their distances from the anchor have one quotient by it.
 PART = 9
 #: Bytes that are looked at together; a place in a stretch has 20 bits.
 STRETCH = 1 << 19
 #: Blocks are compared a slice of the anchors at a time, which takes so much less space: equal strings have equal anchors.
-SLICES = 3
+SLICES = 2
 BLOCK = ["start", "n", "lead", "name"]
 PLACE = np.uint64((1 << 20) - 1)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
 
-def hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ANCHOR bytes from each place on."""
+def anchor_size(threshold: int) -> int:
+    return ANCHOR if threshold >= 2 * ANCHOR else SHORT
+
+
+def hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes from each place on."""
     words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), 0, (1,)).copy()
-    h = words[:-8] * ODD[0]
-    h ^= (words[8:] + ODD[1]) * ODD[2]
+    n = len(data) - size + 1
+    h = words[:n] * ODD[0]
+    for k in range(8, size, 8):
+        h ^= (words[k : k + n] + ODD[1]) * ODD[2]
+        h ^= h >> np.uint64(31)
+        h *= ODD[0]
     h ^= h >> np.uint64(31)
     h *= ODD[1]
     h ^= h >> np.uint64(29)
@@ -74,10 +83,11 @@ def blocks(data: np.ndarray, ends: np.ndarray, threshold: int) -> Iterator[tuple
     """For documents that end at `ends` in data, of each block: document, first start, number of starts, the anchor's distance from the
     first, and its hash."""
     starts = np.concatenate([[0], ends[:-1]])
-    width = threshold - ANCHOR + 1
+    size = anchor_size(threshold)
+    width = threshold - size + 1
     for begin in range(0, max(0, len(data) - threshold + 1), STRETCH):
         piece = data[begin : begin + STRETCH + threshold - 1]
-        h = hashes(piece)
+        h = hashes(piece, size)
         keys = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
         anchor = (least(keys, width) & PLACE).astype(np.int64)
         at = np.arange(begin, begin + len(anchor))
@@ -98,8 +108,9 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @contextmanager
 def little_space(spark: SparkSession):
-    """Within it, shuffle files go as soon as their query has ended, and tables are written small."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    """Within it, shuffle files go as soon as their query has ended, tables are written small, and joins whose every measured partition is
+    small take hash tables in place of sorts."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m"}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -209,15 +220,16 @@ def earlier_starts(spark: SparkSession, classes: DataFrame, first: int, threshol
     """c, first and last of the starts in blocks (c, low, n, lead, content) that also stand in a block of smaller low."""
     key = F.unhex(F.md5("content")).alias("key")
     at_parts, part = stage(spark, parts(classes, threshold), "parts")
-    one = part.groupBy("content").agg(F.min("core").alias("core"), F.min("low").alias("least"))  # equal parts have equal cores
+    one = part.groupBy("content").agg(F.min("core").alias("core"), F.min("low").alias("least"), F.max("low").alias("most"))  # equal parts have equal cores
     at_one, one = stage(spark, one.select("*", F.monotonically_increasing_id().alias("p")), "parts")
     several = one.groupBy("core").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("core")
     texts = one.join(several, "core", "left_semi").select(F.col("p").alias("c"), F.col("least").alias("low"), "content")
-    found = shared_starts(spark, texts, first, threshold).withColumnRenamed("c", "p")
-    placed = part.select("c", "low", "first", "last", key).join(one.select(key, "least", "p"), "key")
-    whole = placed.where("low > least").select("c", "first", "last")
-    some = placed.where("low = least").join(found, "p").select("c", (F.col("first") + F.col("place")).alias("first"), (F.col("first") + F.col("place")).alias("last"))
-    out = staged(spark, whole.union(some), "earlier")
+    found = shared_starts(spark, texts, first, threshold).groupBy(F.col("c").alias("p")).agg(F.collect_list("place").alias("places"))
+    known = one.select(key, "least", "most", "p").join(found, "p", "left").where("most > least or places is not null")
+    placed = part.select("c", "low", "first", "last", key).join(known.select("key", "least", "places"), "key").where("low > least or places is not null")
+    whole = F.array(F.struct("first", "last"))
+    some = F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), (F.col("first") + p).alias("last")))
+    out = staged(spark, placed.select("c", F.inline(F.when(F.col("low") > F.col("least"), whole).otherwise(some))), "earlier")
     delete(spark, at_parts, at_one)
     return out
 
@@ -244,8 +256,8 @@ def kept_bytes(rows: DataFrame, threshold: int) -> DataFrame:
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, threshold: int = 50, first: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    if threshold < ANCHOR or not 0 < first <= threshold:
-        raise ValueError(f"the threshold is {ANCHOR} bytes at least, the first length no longer")
+    if threshold < SHORT or not 0 < first <= threshold:
+        raise ValueError(f"the threshold is {SHORT} bytes at least, the first length no longer")
     arrow_sized(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     with little_space(spark):
@@ -272,7 +284,7 @@ def _repeated(spark: SparkSession, docs: DataFrame, threshold: int, first: int,
     at_blocks, block = stage(spark, cut(with_lists(own, lists), threshold), "blocks")
     delete(spark, at_lists)
 
-    one = block.groupBy("content").agg(F.min("id").alias("low"), *[F.min(c).alias(c) for c in ("name", "n", "lead")])  # equal blocks have equal anchors
+    one = block.groupBy("content").agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.min(c).alias(c) for c in ("name", "n", "lead")])  # equal blocks have equal anchors
     at_classes, one = stage(spark, one.select("*", F.monotonically_increasing_id().alias("c")), "classes")
     earlier = None
     for k in range(SLICES):
@@ -282,10 +294,13 @@ def _repeated(spark: SparkSession, docs: DataFrame, threshold: int, first: int,
         earlier = found if earlier is None else earlier.union(found)
 
     key = F.unhex(F.md5("content")).alias("key")
-    placed = block.select("file", "at", "id", "start", "n", key).join(one.select(key, "low", "c"), "key")
-    whole = placed.where("id > low").select("file", "at", "start", (F.col("start") + F.col("n") - 1).alias("stop"))
-    some = placed.where("id = low").join(earlier, "c").select("file", "at", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("stop"))
-    gone = staged(spark, whole.union(some).groupBy("file", "at").agg(F.collect_list(F.struct("start", "stop")).alias("gone")), "gone")
+    found = earlier.groupBy("c").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    known = one.select(key, "low", "high", "c").join(found, "c", "left").where("high > low or found is not null")
+    placed = block.select("file", "at", "id", "start", "n", key).join(known.select("key", "low", "found"), "key").where("id > low or found is not null")
+    whole = F.array(F.struct("start", (F.col("start") + F.col("n") - 1).alias("stop")))
+    some = F.transform("found", lambda s: F.struct((F.col("start") + s["first"]).alias("start"), (F.col("start") + s["last"]).alias("stop")))
+    spans = placed.select("file", "at", F.when(F.col("id") > F.col("low"), whole).otherwise(some).alias("spans"))
+    gone = staged(spark, spans.groupBy("file", "at").agg(F.flatten(F.collect_list("spans")).alias("gone")), "gone")
     delete(spark, at_blocks, at_classes)
     cutout = staged(spark, kept_bytes(with_lists(rows, gone).select(F.sha2("text", 256).alias("digest"), "text", "gone"), threshold), "cutout")
 

@@ -78,6 +78,17 @@ def test_repeats_in_long_texts(spark, monkeypatch):
     assert got[2][2:4] == (len(passage) - 500_000 + (passage[499_999] == " "), 1)  # a blank before the rest stands in both
 
 
+def test_chance_repeats_share_no_block():
+    """Texts with stretches of 20 bytes in common, and none of 24, have no anchor in common."""
+    rng = random.Random(5)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(40)]
+    names = []
+    for own in ("stuv", "wxyz"):
+        text = "".join(x + "".join(rng.choice(own) for _ in range(9)) for x in rng.sample(common, 40)).encode()
+        names.append({h for *_, hs in suffixes.blocks(np.frombuffer(text, np.uint8), np.array([len(text)]), 50) for h in hs.tolist()})
+    assert all(names) and not names[0] & names[1]
+
+
 def test_repeats_of_very_many(spark):
     line = "a line that stands in very many documents, and in each of them at another place"
     rows = [(i, f"{i * 7919} own words {i} " * (i % 3) + line + f" {i * 104729} the end of {i}" * (i % 4)) for i in range(2000)]
