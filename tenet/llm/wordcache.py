@@ -23,6 +23,9 @@ MARK = "\x02"
 #: Before a text's first word. Texts that have this character go through the library whole.
 FIRST = "\x00"
 nfc = partial(is_normalized, "NFC")
+#: Latin letters, each of which is one in lower case, too, and the ASCII punctuation after them, which the lower-casing tokenizer's
+#: pattern takes apart from them: no letter follows, so it is no contraction.
+STEM = re.compile("([A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+)([!-/:-@\\[-`{-~]*)")
 #: A cache is emptied at so many units; each takes about 200 bytes.
 CACHE_UNITS = 600_000
 
@@ -36,6 +39,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype, self.cache_units = np.dtype(dtype), cache_units
         self.cache: dict[str, bytes] = {}
+        #: Ids of stems and of what follows them.
+        self.known: dict[str, bytes] = {}
         lower = self.library.normalizer is not None
         self.split = self._split_words if lower else self._split_spaced
         #: In lower case, as a normalizer may make them.
@@ -121,18 +126,34 @@ class Encoder:
         """The unit of a word of `_split_spaced`: with a blank before it, but for a text's first and those after a line feed."""
         return word[1:] if word[0] == FIRST else word if word[0] == "\n" else " " + word
 
+    def stems(self, units: list[str]) -> tuple[list[tuple[str, str, str]], list[str]]:
+        """Units with the lower-case stem and what follows it, of whose ids theirs are made; and which of these the library has yet to
+        encode. Words differ more by case and punctuation than by their stems."""
+        made = []
+        for unit in units:
+            match = STEM.fullmatch(unit)
+            made.append((unit, match[1].lower(), match[2]) if match else (unit, unit, ""))
+        return made, list({stem for _, stem, _ in made}.union(tail for *_, tail in made if tail).difference(self.known))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
-        if len(cache) > self.cache_units:
-            cache.clear()
+        for held in (cache, self.known):
+            if len(held) > self.cache_units:
+                held.clear()
         cut = [self.units(t) for t in texts]
         missing = list(set().union(*filter(None, cut)).difference(cache))
+        made, into = [], cache
+        if self.lower:
+            made, missing = self.stems(missing)
+            into = self.known
         pairs = [(k, k if self.lower else self.spaced_unit(k)) for k in missing]
         for fits, way in ((True, self.apart), (False, self.marked)):
             group = [p for p in pairs if self.plain(p[1]) == fits]
             for i in range(0, len(group), 4096):
                 keys, units = zip(*group[i : i + 4096], strict=True)
-                cache.update(zip(keys, way(list(units)), strict=True))
+                into.update(zip(keys, way(list(units)), strict=True))
+        part = self.known.__getitem__
+        cache.update([(unit, part(stem) + part(tail) if tail else part(stem)) for unit, stem, tail in made])
         got = cache.__getitem__
         return [b"".join(map(got, units)) if units is not None else self.whole([t])[0] for units, t in zip(cut, texts, strict=True)]
 

@@ -85,6 +85,16 @@ def test_encoder_equals_library_on_random_texts(name):
     assert [r for r, g, w in zip(rows, got, want, strict=True) if g != w] == []
 
 
+def test_encoder_encodes_stems_once():
+    enc, sent = Encoder(queries.tokenizer("word_bpe_49k.json")), []
+    way = enc.apart
+    enc.apart = lambda units: sent.extend(units) or way(units)
+    texts = ["Große WORD, word's", "word. Word,' (große) GROSSE... İx, ", "don't word!! ÉTÉ, été"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want and enc.encode(texts) == want
+    assert sent.count("word") == sent.count("große") == sent.count("été") == sent.count(",") == 1 and "WORD," not in sent
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_added_tokens(name):
     from tokenizers import Tokenizer
