@@ -57,7 +57,7 @@ def unlzw(data: bytes, min_bits: int, n_out: int) -> np.ndarray:
     clear = 1 << min_bits
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16  # at each byte, the next three
-    strings: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
+    strings = singles(clear)
     parts, n, at, first, last = [], 0, 0, 0, b""
     table = strings[:]
     while n < n_out:
@@ -65,8 +65,8 @@ def unlzw(data: bytes, min_bits: int, n_out: int) -> np.ndarray:
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         k = int(stop[0]) if len(stop) else len(codes)
         got, last = _expand(codes[:k].tolist(), table, last)
-        parts += got
-        n += sum(map(len, got))
+        parts.append(b"".join(got))
+        n += len(parts[-1])
         if k == len(codes) or codes[k] == clear + 1:
             if k < CUT:
                 break
@@ -78,6 +78,12 @@ def unlzw(data: bytes, min_bits: int, n_out: int) -> np.ndarray:
     return np.frombuffer(b"".join(parts)[:n_out], np.uint8)
 
 
+@lru_cache
+def singles(clear: int) -> list[bytes]:
+    """A table's first strings, to be copied: the samples', then nothing for two codes."""
+    return [bytes([i]) for i in range(clear)] + [b"", b""]
+
+
 @lru_cache(maxsize=64)
 def widths(first: int, n: int, min_bits: int) -> np.ndarray:
     """Bits of n codes of which the first has that number since a clear code."""
@@ -97,41 +103,44 @@ def _cut(words: np.ndarray, n_bits: int, at: int, min_bits: int, first: int = 0)
 
 def _expand(codes: list[int], table: list[bytes], last: bytes) -> tuple[list[bytes], bytes]:
     """The strings of codes, and the last one. The table gets an entry for each code after a run's first, until it is full."""
-    out = []
-    for c in codes:
-        if c < len(table):
+    add, size = table.append, len(table)
+    first = 0 if last else 1
+    for c in codes[:first]:
+        if c >= size:
+            raise ValueError(f"code {c} is not in the table")
+        last = table[c]
+    for c in codes[first : first + 4096 - size]:
+        if c < size:
             entry = table[c]
-        elif c == len(table) < 4096 and last:  # the entry that this code makes
+        elif c == size:  # the entry that this code makes
             entry = last + last[:1]
         else:
             raise ValueError(f"code {c} is not in the table")
-        out.append(entry)
-        if last and len(table) < 4096:
-            table.append(last + entry[:1])
+        add(last + entry[:1])
+        size += 1
         last = entry
-    return out, last
+    out = [table[c] for c in codes]
+    return out, out[-1] if out else last
 
 
 def runs(data: bytes) -> list[list[int]]:
     """The dictionary codes of 8-bit samples, a list for each run between clear codes: a run ends when the table is full."""
-    out, codes, table, free = [], [], {}, CLEAR + 2
-    get, cur = table.get, data[0]
+    # Codes are held times 256, so that a code and the next sample make a key by addition. One look finds a key or adds it.
+    out, codes, free, full = [], [], (CLEAR + 2) << 8, 4096 << 8
+    known, cur = {}.setdefault, data[0] << 8
     for c in data[1:]:
-        pair = cur << 8 | c
-        known = get(pair)
-        if known is not None:
-            cur = known
+        code = known(cur + c, free)
+        if code != free:
+            cur = code
             continue
-        codes.append(cur)
-        cur = c
-        if free < 4096:
-            table[pair] = free
-            free += 1
+        codes.append(cur >> 8)
+        cur = c << 8
+        if free < full:
+            free += 256
         else:
             out.append(codes)
-            codes, table, free = [], {}, CLEAR + 2
-            get = table.get
-    codes.append(cur)
+            codes, known, free = [], {}.setdefault, (CLEAR + 2) << 8
+    codes.append(cur >> 8)
     return [*out, codes]
 
 
@@ -141,7 +150,7 @@ def lzw(data: bytes) -> bytes:
     found = runs(data)
     for i, codes in enumerate(found, 1):
         values.append(np.array([*codes, END if i == len(found) else CLEAR]))
-        wide.append(widths(0, len(codes) + 1, 8))
+        wide.append(widths(0, CUT, 8)[: len(codes) + 1])  # a run has fewer
     v, w = np.concatenate(values).astype(np.int64), np.concatenate(wide)
     end = np.cumsum(w)
     at = end - w

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -368,6 +369,27 @@ def animated():
     return out + frame([0, 1, 1, 0], 2 << 2, 5, 0, 2, 2) + frame([2, 3], 1, 7, 1, 1, 2) + b"\x3b"
 
 
+def test_lzw_looks_once_a_sample():
+    """A dictionary is asked once for each sample but the first, and for nothing else; a full one ends its run."""
+    data = bytes(random.Random(3).choices(range(256), [9] * 20 + [1] * 236, k=20_000))
+    calls = [0]
+
+    def count(frame, event, function):
+        calls[0] += event == "c_call" and getattr(function, "__name__", "") in ("get", "setdefault", "__setitem__")
+        looks[0] += event == "c_call" and getattr(function, "__name__", "") == "setdefault"
+
+    looks = [0]
+    sys.setprofile(count)
+    try:
+        found = gif.runs(data)
+    finally:
+        sys.setprofile(None)
+    assert calls == looks == [len(data) - 1] and len(found) > 1
+    strings = [[bytes([i]) for i in range(256)] + [b"", b""] for _ in found]
+    parts = [gif._expand(codes, table, b"") for codes, table in zip(found, strings, strict=True)]
+    assert b"".join(x for out, _ in parts for x in out) == data and all(out[-1] == last for out, last in parts)
+
+
 def test_gif_frames():
     a, b = gif.decode(animated())
     assert (a.delay, b.delay) == (5, 7)
