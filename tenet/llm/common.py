@@ -21,13 +21,23 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 KEPT: list = []
 
 
-def forget() -> None:
-    """Give back what other operators' tasks have left in this worker, and Arrow's unused memory."""
+def release() -> None:
+    """Give memory that is free in this worker back to the system: Arrow's, and that of the C library, where it can."""
+    import ctypes
+
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def forget() -> None:
+    """Give back what other operators' tasks have left in this worker, and memory that is free."""
     for drop in KEPT:
         drop()
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,4 +133,4 @@ def struct_array(rows: list[tuple], kind):
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
 
 
-__all__ = ["Sieve", "arrow_sized", "delete", "documents", "forget", "new_path", "numbered", "owned", "rows_of", "rows_without", "stage", "staged", "struct_array", "table", "text_or_empty", "unused"]
+__all__ = ["Sieve", "arrow_sized", "delete", "documents", "forget", "new_path", "numbered", "owned", "release", "rows_of", "rows_without", "stage", "staged", "struct_array", "table", "text_or_empty", "unused"]

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenet.llm.common import arrow_sized, spark_type, staged
+from tenet.llm.common import arrow_sized, release, spark_type, staged
 from tenet.llm.wordcache import encoder
 
 ROOM = 2048
 #: Pieces a group, on average.
 GROUP = 8192
+#: Texts that are encoded together: their words stand in memory as strings, many times the texts' size.
+TEXTS = 256
 PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
 
@@ -48,11 +50,14 @@ def pieces(path: str, end_id: int, room: int = ROOM):
     @F.arrow_udf(spark_type(PIECES))
     def cut(texts: pa.Array) -> pa.Array:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        release()  # what other tasks have left
         enc = encoder(path, "<u4")
         end, out = np.array([end_id], "<u4").tobytes(), []
-        for ids in enc.encode([t or "" for t in texts.to_pylist()]):
-            ids += end
-            out.append([{"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + n)])} for k, (s, n) in enumerate(cuts(len(ids) // 4, room))])
+        for i in range(0, len(texts), TEXTS):
+            for ids in enc.encode([t or "" for t in texts.slice(i, TEXTS).to_pylist()]):
+                ids += end
+                out.append([{"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + n)])} for k, (s, n) in enumerate(cuts(len(ids) // 4, room))])
+        release()
         return pa.array(out, PIECES)
 
     return cut

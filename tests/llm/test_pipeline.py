@@ -134,3 +134,39 @@ def test_near_copies_awkward(spark):
     rows = [(None, "one two three"), (4, "one two three"), (3, None), (2, " "), (5, "One  TWO three"), (6, "one two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in nearcopies.keep_one(spark, docs).collect()) == [2, 4, 6]
+
+
+def test_packing_holds_few_words(monkeypatch):
+    """A batch of Arrow is encoded a few texts at a time, with the ids of the whole."""
+    import pyarrow as pa
+
+    from tenet.llm import packing
+    from tenet.llm.queries import tokenizer
+    from tenet.llm.wordcache import Encoder
+
+    seen, encode = [], Encoder.encode
+    monkeypatch.setattr(Encoder, "encode", lambda self, texts: seen.append(len(texts)) or encode(self, texts))
+    path = tokenizer("byte_bpe_50k.json")
+    texts = [None if i % 97 == 0 else f"text {i} of words, " * (i % 7) for i in range(1000)]
+    found = packing.pieces(path, 0).func(pa.array(texts))
+    assert sum(seen) == 1000 and max(seen) <= 256
+    assert [p[0]["length"] for p in found.to_pylist()] == [len(ids) // 4 + 1 for ids in Encoder(path).whole([t or "" for t in texts])]
+
+
+def test_free_memory_goes_back():
+    """What a worker has freed is the system's again, though something above it is still held."""
+    import ctypes
+    import re
+
+    import pytest
+
+    from tenet.llm.common import forget
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("no glibc")
+    now = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024  # noqa: E731, SIM115
+    blocks = [b"x" * 60_000 for _ in range(4000)]
+    last, full = blocks[::100], now()
+    del blocks
+    forget()
+    assert len(last) == 40 and full - now() > 150
