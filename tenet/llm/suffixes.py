@@ -3,9 +3,11 @@
 A byte goes if some string of `threshold` bytes that covers it also starts in a document of a smaller id. Of equal texts only one row is searched.
 
 A rank tells strings of one length apart, and sorts them. Positions that no other document shares are out before they are sorted:
-* Each string of `threshold` bytes contains a sampled position, its anchor: of its strings of `anchor_size` bytes the one of least hash (the
-  first of equal ones), so equal strings have equal anchors at the same place. Neighbouring starts with one anchor make a block, a text of less than two
-  thresholds. Only blocks stay whose anchor's bytes occur in several documents.
+* Each string of `threshold` bytes contains a sampled position, its anchor: that of its short string of least hash (the first of equal
+  ones), modulo the number of places that an anchor of `anchor_size` bytes can have in it. So equal strings have equal anchors at the same place, and
+  where an anchor is longer than that number, fewer places are sampled than by the least of the anchors themselves. Neighbouring starts with one anchor
+  make a block, a text of less than two thresholds. Only blocks stay whose anchor's bytes occur in several documents: tasks deal the anchors' hashes
+  over ranges, packed, each at most twice from a batch, and those that meet twice are sought.
 * Equal blocks are one, with the smallest id among its documents: all other documents lose all of it. A block whose anchor occurs in no
   other block needs no more. The others are cut into parts of up to PART starts, by the distance from their anchor; equal parts
   are one again, and a part whose core, the bytes that all its strings share, is in no other part needs no more.
@@ -37,7 +39,11 @@ from tenet.llm.common import Sieve, arrow_sized, delete, numbered, rows_without,
 
 #: Bytes of an anchor, in words of 8: of thresholds from twice as many on, and of others. The longer it is, the fewer strings share it by
 #: chance, as ever more do where there are more documents, and the more blocks there are.
-ANCHOR, SHORT = 24, 16
+ANCHOR, SHORT = 28, 16
+#: Bytes of a short string: few of them stand twice in a string of the threshold.
+LEAST = 5
+#: Bytes of text for a range of the anchors' hashes: some 1.1 million of them. A task holds at most about so many hashes before it drops third ones.
+RANGE, HELD = 1 << 24, 1 << 21
 #: Starts of a part: their distances from the anchor have one quotient by it.
 PART = 9
 #: Bytes that are looked at together; a place in a stretch has 20 bits.
@@ -50,7 +56,17 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7
 
 
 def anchor_size(threshold: int) -> int:
-    return ANCHOR if threshold >= 2 * ANCHOR else SHORT
+    return ANCHOR if threshold >= ANCHOR + SHORT else SHORT
+
+
+def short_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes, 8 at most, from each place on."""
+    words = np.ndarray((len(data) - size + 1,), "<u8", data.tobytes() + bytes(8 - size), 0, (1,)) << np.uint64(64 - 8 * size)
+    h = (words ^ ODD[1]) * ODD[0]
+    h ^= h >> np.uint64(31)
+    h *= ODD[2]
+    h ^= h >> np.uint64(29)
+    return h * ODD[0]
 
 
 def hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -58,7 +74,7 @@ def hashes(data: np.ndarray, size: int) -> np.ndarray:
     words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), 0, (1,)).copy()
     n = len(data) - size + 1
     h = words[:n] * ODD[0]
-    for k in range(8, size, 8):
+    for k in [*range(8, size - 8, 8), size - 8][: (size - 1) // 8]:  # the last word may overlap the one before it
         h ^= (words[k : k + n] + ODD[1]) * ODD[2]
         h ^= h >> np.uint64(31)
         h *= ODD[0]
@@ -88,16 +104,19 @@ def blocks(data: np.ndarray, ends: np.ndarray, threshold: int) -> Iterator[tuple
     for begin in range(0, max(0, len(data) - threshold + 1), STRETCH):
         piece = data[begin : begin + STRETCH + threshold - 1]
         h = hashes(piece, size)
-        keys = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-        anchor = (least(keys, width) & PLACE).astype(np.int64)
-        at = np.arange(begin, begin + len(anchor))
+        short = short_hashes(piece, LEAST)
+        keys = (short & ~PLACE) | np.arange(len(short), dtype=np.uint64)
+        anchor = (least(keys, threshold - LEAST + 1) & PLACE).astype(np.int64)
+        own = np.arange(len(anchor))
+        anchor = own + (anchor - own) % width
+        at = begin + own
         doc = np.searchsorted(ends, at, side="right")
         inside = at + threshold <= ends[doc]
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])]))
         count = np.diff(np.concatenate([new, [len(anchor)]]))
         kept = inside[new]
         new, count = new[kept], count[kept]
-        yield doc[new], at[new] - starts[doc[new]], count, begin + anchor[new] - at[new], h[anchor[new]].view(np.int64)
+        yield doc[new], at[new] - starts[doc[new]], count, begin + anchor[new] - at[new], (h[anchor[new]] * ODD[2]).view(np.int64)
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +152,54 @@ def anchored(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(found, f"file long, at long, id {rows.schema['id'].dataType.simpleString()}, start int, n int, lead int, name long")
 
 
+def at_most_twice(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate([np.ones(min(2, len(ordered)), bool), ordered[2:] != ordered[:-2]])]
+
+
+def counted_names(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The names in order; those of several documents twice. Documents ascend."""
+    order = np.argsort(name, kind="stable")
+    name, doc = name[order], doc[order]
+    return at_most_twice(name[np.concatenate([np.ones(min(1, len(name)), bool), (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])])])
+
+
+def shared_names(rows: DataFrame, threshold: int, ranges: int) -> DataFrame:
+    """The anchors' hashes that stand in more than one row."""
+    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = [], 0
+            for doc, *_, name in blocks(*joined(batch.column("text")), threshold):
+                found.append((doc, name.view(np.uint64)))
+                size += len(doc)
+                if size >= HELD:  # a name of one long text may count twice, which later steps see
+                    yield packed(found)
+                    found, size = [], 0
+            if found:
+                yield packed(found)
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        names = counted_names(*map(np.concatenate, zip(*found, strict=True)))
+        ends = np.concatenate([[0], np.searchsorted(names, bounds), [len(names)]])
+        each = pa.Array.from_buffers(pa.binary(), ranges, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(names)])
+        full = pa.array(np.flatnonzero(np.diff(ends)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([full, each.take(full)], ["range", "names"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh, size = np.zeros(0, np.uint64), [], 0
+        for batch in batches:
+            for raw in batch.column("names").to_pylist():
+                fresh.append(np.frombuffer(raw, np.uint64))
+                size += len(fresh[-1])
+                if size >= max(HELD, len(held)):
+                    held, fresh, size = at_most_twice(np.sort(np.concatenate([held, *fresh]))), [], 0
+        held = at_most_twice(np.sort(np.concatenate([held, *fresh])))
+        yield pa.RecordBatch.from_arrays([pa.array(held[1:][held[1:] == held[:-1]].view(np.int64))], ["name"])
+
+    return rows.select("text").mapInArrow(dealt, "range int, names binary").repartition(ranges, "range").mapInArrow(met, "name long")
+
+
 def cut(rows: DataFrame, threshold: int) -> DataFrame:
     """file, at, id, start, n, lead, name and content of each block in the list `found` of rows."""
 
@@ -199,11 +266,12 @@ def shared_starts(spark: SparkSession, texts: DataFrame, first: int, threshold:
         at_ranks, ranks = stage(spark, ranked(several, by).drop("times"), "ranks")
         at_places, place = stage(spark, place.join(ranks, by).select("c", "low", "place", "rank"), "places")
         delete(spark, at_ranks, *at_before)
-        at_before, further = [at_places], ladder[turn + 1] - length
+        further = ladder[turn + 1] - length
         # A text's places meet in one task: fewer than two thresholds.
         far = F.max("rank").over(Window.partitionBy("c").orderBy("place").rangeBetween(further, further))
-        place = place.select("c", "low", "place", F.col("rank").alias("near"), far.alias("far")).where("far is not null")
-        by = ["near", "far"]
+        at_pairs, place = stage(spark, place.select("c", "low", "place", F.col("rank").alias("near"), far.alias("far")).where("far is not null"), "pairs")
+        delete(spark, at_places)
+        at_before, by = [at_pairs], ["near", "far"]  # read twice
     raise AssertionError
 
 
@@ -276,8 +344,8 @@ def _repeated(spark: SparkSession, docs: DataFrame, threshold: int, first: int,
     own = rows_without(rows, staged(spark, copies.select("file", "at"), "copies"))
 
     # Blocks are found twice: to stage them takes more space, and as long.
-    shared = anchored(own, threshold).groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    at_names, shared = stage(spark, shared.select("name"), "names")
+    ranges = max(1, (named.agg(F.sum("n_bytes")).first()[0] or 0) // RANGE)
+    at_names, shared = stage(spark, shared_names(own, threshold, ranges), "names")
     lists = anchored(own, threshold).join(shared, "name", "left_semi").groupBy("file", "at").agg(F.collect_list(F.struct(*BLOCK)).alias("found"))
     at_lists, lists = stage(spark, lists, "lists")
     delete(spark, at_names)

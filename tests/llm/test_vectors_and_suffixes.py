@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,6 +90,30 @@ def test_chance_repeats_share_no_block():
     assert all(names) and not names[0] & names[1]
 
 
+def test_anchors_are_few_and_cover():
+    """At 50 bytes fewer than one place in 15 is sampled, and each start's 50 bytes hold their anchor."""
+    data = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    found = list(suffixes.blocks(data, np.array([len(data)]), 50))
+    count, lead = (np.concatenate([f[k] for f in found]) for k in (2, 3))
+    assert count.sum() == len(data) - 49 and len(count) < len(data) / 15
+    assert (lead >= count - 1).all() and (lead + suffixes.anchor_size(50) <= 50).all()
+
+
+@pytest.mark.parametrize("held", [8, 1 << 21])
+def test_shared_names(spark, monkeypatch, held):
+    """Those that stand in more than one row, from whatever number of batches and ranges."""
+    monkeypatch.setattr(suffixes, "HELD", held)
+    rng = np.random.default_rng(5)
+    common = [bytes(rng.integers(97, 123, 300).astype(np.uint8)) for _ in range(20)]
+    texts = [bytes(rng.integers(97, 123, 200).astype(np.uint8)) + common[i % 20] for i in range(60)]
+    per = [{h for *_, hs in suffixes.blocks(np.frombuffer(t, np.uint8), np.array([len(t)]), 50) for h in hs.tolist()} for t in texts]
+    times = Counter(h for names in per for h in names)
+    rows = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary").repartition(7)
+    for ranges in (1, 5):
+        got = [r[0] for r in suffixes.shared_names(rows, 50, ranges).collect()]
+        assert len(got) == len(set(got)) and set(got) == {h for h, n in times.items() if n > 1}
+
+
 def test_repeats_of_very_many(spark):
     line = "a line that stands in very many documents, and in each of them at another place"
     rows = [(i, f"{i * 7919} own words {i} " * (i % 3) + line + f" {i * 104729} the end of {i}" * (i % 4)) for i in range(2000)]
