@@ -114,6 +114,71 @@ def test_shared_names(spark, monkeypatch, held):
         assert len(got) == len(set(got)) and set(got) == {h for h, n in times.items() if n > 1}
 
 
+def test_only_anchors_are_hashed(monkeypatch):
+    """The long hash is made at sampled places, one in 15, not at all of them."""
+    made, own = [], suffixes.hashes
+    monkeypatch.setattr(suffixes, "hashes", lambda *how: made.append(own(*how)) or made[-1])
+    data = np.random.default_rng(4).integers(97, 123, 100_000).astype(np.uint8)
+    count = sum(len(f[0]) for f in suffixes.blocks(data, np.array([40_000, 40_020, len(data)]), 50))
+    assert count <= sum(map(len, made)) < len(data) / 15
+
+
+@pytest.mark.parametrize(("held", "threshold"), [(1 << 21, 50), (40, 50), (1 << 21, 300)])
+def test_lists_of_shared_blocks(spark, monkeypatch, held, threshold):
+    """Each text gets its blocks of shared anchors, and tasks deal out a row a group and range, not one a block."""
+    monkeypatch.setattr(suffixes, "HELD", held)
+    monkeypatch.setattr(suffixes, "STRETCH", 512)
+    rng = np.random.default_rng(6)
+    common = [bytes(rng.integers(97, 123, 700).astype(np.uint8)) for _ in range(5)]
+    texts = [bytes(rng.integers(97, 123, 200 + 100 * i).astype(np.uint8)) + common[i % 5] * (1 + i % 2) + bytes(i % 7) for i in range(20)] + [b"", b"short"]
+    if held == 40:  # more than two stretches, each with a group of its own
+        texts.append(bytes(rng.integers(97, 123, 150_000).astype(np.uint8)) + common[0])
+    blocks = {}
+    for i, t in enumerate(texts):
+        data = np.frombuffer(t, np.uint8)
+        blocks[i] = [tuple(int(f[k][j]) for k in range(1, 5)) for f in suffixes.blocks(data, np.array([len(t)]), threshold) for j in range(len(f[0]))]
+    times = Counter(name for own in blocks.values() for name in {b[-1] for b in own})
+    monkeypatch.setattr(suffixes, "STRETCH", 1 << 16)
+    assert sum(map(len, blocks.values())) > 300 and max(map(len, blocks.values())) > 2
+
+    def starts(found):
+        """Each start with its anchor's place and name, however blocks are cut."""
+        return sorted((s + k, s + lead, name) for s, n, lead, name in found for k in range(n))
+
+    rows = spark.createDataFrame([(7, i, bytearray(t)) for i, t in enumerate(texts)], "file long, at long, text binary").repartition(3)
+    for ranges in (1, 4):
+        groups = suffixes.dealt(rows, threshold, ranges).persist()
+        per = Counter(r[0] for r in groups.select("group").collect())
+        assert max(per.values()) <= ranges + 1 and (len(per) <= 3) == (held > 40)
+        answers = suffixes.shared(groups, ranges)
+        got = {}
+        for r in suffixes.listed(groups, answers, threshold).collect():
+            assert r.file == 7
+            got.setdefault(r["at"], []).extend(tuple(b) for b in r.found)
+        groups.unpersist()
+        for i, own in blocks.items():
+            want, have = starts(b for b in own if times[b[-1]] > 1), starts(got.get(i, []))
+            assert set(have) >= set(want) and (held == 40 or have == want)
+            assert set(have) <= set(starts(own))
+
+
+def test_ranges_are_spread_one_a_task(spark):
+    names = np.arange(4, dtype=np.uint64)
+    groups = spark.createDataFrame([(g, r, bytearray((names + 4 * r).tobytes()), bytearray(np.arange(4, dtype=np.uint32).tobytes())) for g in range(2) for r in range(40)], "group long, range int, names binary, places binary")
+    from pyspark import TaskContext
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * b.num_rows, pa.int32()), pa.array([len(x) // 8 for x in b.column("names").to_pylist()])], ["task", "n"])
+
+    per = Counter()
+    for r in suffixes.shared(groups, 40).mapInArrow(task, "task int, n long").collect():
+        per[r.task] += r.n
+    assert len(per) == 40 and set(per.values()) == {8}
+
+
 def test_repeats_of_very_many(spark):
     line = "a line that stands in very many documents, and in each of them at another place"
     rows = [(i, f"{i * 7919} own words {i} " * (i % 3) + line + f" {i * 104729} the end of {i}" * (i % 4)) for i in range(2000)]
