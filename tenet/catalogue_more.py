@@ -449,7 +449,7 @@ def disagreements(spark, sf):
     def told(kind: int, prefix: str, num) -> DataFrame:
         return s.select(*star.metric(kind, F.col("s_suppkey"), star.name(prefix, "s_suppkey"), "balance", num.cast("double")))
 
-    twice = F.round(F.col("s_acctbal") * 2, 0).cast("long")
+    twice = F.rint(F.col("s_acctbal") * 2).cast("long")  # halves to even, as SQL casts
     rows = told(16, "supplier", twice).unionByName(told(17, "vendor", twice + F.col("s_suppkey") % 2))
     c = star.star(spark, sf).where("verb = 'ALIAS'").unionByName(conform(rows))
     value = lambda c: F.regexp_replace(c, r"\|.*", "").cast("double").cast("long")
