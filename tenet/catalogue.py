@@ -527,12 +527,17 @@ def coverage(spark, sf):
     return shape.coverage(star.events(spark, sf)).withColumn("average_conf", F.round("average_conf", 9)).drop("typed")
 
 
+#: Where the digits of an id's version and of its variant stand.
+VERSION, VARIANT = 15, 20
+
+
 @add(events("select tx, event_id % 3 <> 0 as ok from k"))
 def tx_validity(spark, sf):
     """Every third id is spoilt: in its version, its variant, its length, or its letters."""
     c = star.events(spark, sf)
     n = F.conv(F.substring("tx", -12, 12), 16, 10).cast("long")
-    spoilt = F.when(n % 12 == 0, F.replace("tx", F.lit("-7000-"), F.lit("-4000-"))).when(n % 12 == 3, F.replace("tx", F.lit("-8000-"), F.lit("-7000-"))).when(n % 12 == 6, F.upper(F.replace("tx", F.lit("-8000-"), F.lit("-a000-")))).when(n % 12 == 9, F.concat("tx", F.lit("0"))).otherwise(F.col("tx"))
+    put = lambda digit, at: F.overlay("tx", F.lit(digit), at)  # noqa: E731  by place: the digits of the time may read like the version's
+    spoilt = F.when(n % 12 == 0, put("4", VERSION)).when(n % 12 == 3, put("7", VARIANT)).when(n % 12 == 6, F.upper(put("a", VARIANT))).when(n % 12 == 9, F.concat("tx", F.lit("0"))).otherwise(F.col("tx"))
     return c.select("tx", keys.is_uuid7(spoilt).alias("ok"))
 
 

@@ -43,3 +43,10 @@ def test_disagreements_of_halves(spark, sf, tables):
     """Twice a balance may lie half way between two whole numbers."""
     rows = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("s_acctbal", F.col("s_suppkey") + 0.25)
     same(spark, tables(supplier=rows), "disagreements")
+
+
+def test_ids_whose_time_reads_like_a_version(spark, sf, tables):
+    """Milliseconds that end in hexadecimal 7000 and 8000: only the version's and the variant's places are spoilt."""
+    at = F.when(F.col("event_id") % 2 == 0, 0x018CC3EA7000).otherwise(0x018CC3EA8000)
+    rows = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 48").withColumn("ts", F.timestamp_millis(at).cast("timestamp_ntz"))
+    assert len(same(spark, tables(events=rows), "tx_validity")) == 48
