@@ -756,10 +756,7 @@ def stream_current(spark, sf):
     """Current beliefs kept by a stream: a row that comes late does not displace a newer one."""
     at, to, mark = fed(spark, sf), new_path(spark, "kept"), new_path(spark, "marks")
     feed.keep_current(feed.appended(spark, f"{at}/*", 2), to, mark).awaitTermination()
-    last = 0
-    while feed.exists(spark, f"{to}/batch={last + 1}/parts"):
-        last += 1
-    return feed.kept(spark, to, last).select("tx", "claim_key", "conf")
+    return feed.kept(spark, to, feed.newest(spark, to)).select("tx", "claim_key", "conf")
 
 
 @add(events(f", a as (select subject, tx from cur where attribute = 'click' and {POS}), b as (select subject, tx from cur where attribute = 'error' and {POS}) select a.subject as u, a.tx as x, b.tx as y from a join b using (subject) where a.tx > {BOUND} or b.tx > {BOUND}"))

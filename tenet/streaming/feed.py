@@ -70,6 +70,13 @@ def kept(spark: SparkSession, target: str, number: int) -> DataFrame:
     return spark.read.schema(CLAIM).parquet(*paths) if paths else spark.createDataFrame([], CLAIM)
 
 
+def newest(spark: SparkSession, target: str) -> int:
+    """The number of the newest version; -1 before the first. Earlier ones may be forgotten, so they are listed, not counted up."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/parts/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return max((int(f.getPath().getParent().getParent().getName().removeprefix("batch=")) for f in found or ()), default=-1)
+
+
 def forget(spark: SparkSession, target: str, number: int, newest: int) -> None:
     """Delete a version's listing, and those of its buckets that no later version names."""
     if number < 0 or not exists(spark, f"{target}/batch={number}/parts"):

@@ -50,3 +50,8 @@ def test_ids_whose_time_reads_like_a_version(spark, sf, tables):
     at = F.when(F.col("event_id") % 2 == 0, 0x018CC3EA7000).otherwise(0x018CC3EA8000)
     rows = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 48").withColumn("ts", F.timestamp_millis(at).cast("timestamp_ntz"))
     assert len(same(spark, tables(events=rows), "tx_validity")) == 48
+
+
+def test_a_stream_of_many_batches(spark, sf, tables):
+    """More batches than versions that are kept."""
+    same(spark, tables(events=spark.read.parquet(f"{sf}/events.parquet").repartition(4)), "stream_current")
