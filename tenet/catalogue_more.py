@@ -16,7 +16,7 @@ from tenet.plans.page import page
 from tenet.plans.query import Options, query
 from tenet.schema import CLAIM, EDGE, conform
 from tenet.sources import records, star, text
-from tenet.staging import new_path, staged
+from tenet.staging import new_path, staged, tabled
 from tenet.store import Store
 from tenet.streaming import feed
 
@@ -571,6 +571,7 @@ KNOWS = f"e as ({{}}), two as (select a.src, b.src as mid, b.dst from e a join e
 def supported_store(spark: SparkSession, sf: str) -> Store:
     """Who reports to whom, with a rule of one hop and a rule on top of it, derived with their support."""
     store = Store.empty(spark).append(star.star(spark, sf).where("verb = 'REPORTS-TO'"))
+    store = Store(spark, tabled(spark, store.claims, "reports"), store.edges)
     store = store.add(rules.declare(spark, store.claims, ["?a REPORTS-TO ?b => ?a KNOWS ?b", "?a KNOWS ?b, ?b REPORTS-TO ?c => ?a MET ?c"])[0])
     store, found = store.derive()
     if not found.complete:

@@ -53,6 +53,24 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return stage(spark, df, name)[1]
 
 
+#: What the plan of a table may hold that is cheap to read again, and from how many scans.
+PLAIN, MOST_SCANS = {"Project", "Filter", "Union", "SubqueryAlias", "LogicalRelation", "LogicalRDD", "LocalRelation"}, 12
+
+
+def tabled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as it is, if it is a few scans put together; else a table of its rows. For what many jobs read: else each of them would hold, plan and
+    run all that df was made by."""
+    todo, scans = [df._jdf.queryExecution().analyzed()], 0
+    while todo:
+        node = todo.pop()
+        below = node.children()
+        scans += below.isEmpty()
+        if node.nodeName() not in PLAIN or scans > MOST_SCANS:
+            return staged(spark, df, name)
+        todo += [below.apply(i) for i in range(below.size())]
+    return df
+
+
 @contextmanager
 def owned(paths: list[str]) -> Iterator[list[str]]:
     """Within it, the paths of tables that are staged in this thread are added to the list."""

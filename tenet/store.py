@@ -22,7 +22,7 @@ from tenet.operators.registry import Registry, fold
 from tenet.plans.query import Options, query
 from tenet.schema import CLAIM, EDGE, conform
 from tenet.sources import text as claim_text
-from tenet.staging import staged
+from tenet.staging import staged, tabled
 
 
 @dataclass(frozen=True)
@@ -84,17 +84,19 @@ class Store:
     def derive(self, passes: int = rules.PASSES) -> tuple[Store, support.Maintained]:
         """The declared rules' conclusions as rows, with edges to what they rest on. From what came after the rules' marks alone, if all
         have one; marks follow unless the passes ended too soon."""
-        declared, _ = rules.listed(self.claims)
-        marked = rules.marks(self.claims)
+        claims, told = tabled(self.spark, self.claims, "claims"), tabled(self.spark, self.edges, "edges")
+        now = replace(self, claims=claims, edges=told)
+        declared, _ = rules.listed(claims)
+        marked = rules.marks(claims)
         since = min(marked[r.subject] for r in declared) if declared and all(r.subject in marked for r in declared) else None
-        found = support.maintain(self.spark, self.claims, self.edges, declared, since, passes)
-        held = belief.current(self.claims.where(support.of_rule())).where("conf > 0")
+        found = support.maintain(self.spark, claims, told, declared, since, passes)
+        held = belief.current(claims.where(support.of_rule())).where("conf > 0")
         rows = conform(found.append.drop("id", "tx")).unionByName(conform(found.retract))
-        rows = rows.drop("id", "tx").withColumn("tx", keys.uuid7(F.lit(self.next_ms()), F.monotonically_increasing_id()))
+        rows = rows.drop("id", "tx").withColumn("tx", keys.uuid7(F.lit(now.next_ms()), F.monotonically_increasing_id()))
         rows = staged(self.spark, conform(rows), "concluded")
-        declarations = rules.declarations(self.claims).groupBy("subject").agg(F.max("id").alias("id"))
+        declarations = rules.declarations(claims).groupBy("subject").agg(F.max("id").alias("id"))
         edges = staged(self.spark, support.support_edges(found, rows.where("conf > 0"), held, declarations), "support")
-        store = self.append(rows, edges, minted=True)
+        store = now.append(rows, edges, minted=True)
         if found.complete and declared:
             store = store.add(rules.mark_rows(self.spark, declared, store.claims.agg(F.max("tx")).first()[0]))
         return store, found

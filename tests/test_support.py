@@ -4,6 +4,7 @@ import random
 
 from tenet.operators import rules, support
 from tenet.operators.belief import current
+from tenet.staging import tabled
 from tenet.store import Store
 
 REACH = ["?a NEXT ?b => ?a AHEAD ?b", "?a AHEAD ?b, ?b NEXT ?c => ?a AHEAD ?c"]
@@ -72,3 +73,18 @@ def test_bound_of_passes(spark):
     store = declared(spark, "\n".join(f"n{i} NEXT n{i + 1}" for i in range(4)), REACH)
     after, found = store.derive(passes=2)
     assert not found.complete and found.retract.count() == 0 and rules.marks(after.claims) == {}
+
+
+def joins(df):
+    return df._jdf.queryExecution().analyzed().toString().count("Join")
+
+
+def test_a_derivation_reads_tables(spark):
+    """What the claims were made by is run once, not in every job, nor in those of later reads."""
+    one, _ = Store.empty(spark).ingest("a NEXT b")
+    store = one.merge(Store.empty(spark).ingest("b NEXT c")[0])
+    store = store.add(rules.declare(spark, store.claims, REACH)[0])
+    assert joins(store.claims)
+    after, _ = store.derive()
+    assert not joins(after.claims) and conclusions(after) == anew(spark, after)
+    assert tabled(spark, after.claims, "claims") is after.claims
