@@ -12,6 +12,7 @@ never too few: a reason that goes costs another derivation, and no conclusion it
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,16 +108,20 @@ def maintain(spark: SparkSession, claims: DataFrame, edges: DataFrame, rules: li
         gone = resting_on(spark, edges, put).unionByName(put)
         lost = written(spark, held.join(gone, "id", "left_semi"), "lost")
         fresh = current(base.join(base.where(F.col("tx") > since).select("claim_key").distinct(), "claim_key", "left_semi")).where(F.col("tx") > since)
-    stays = held.join(lost.select("id"), "id", "left_anti")
+    # Without a mark all is in question, and nothing stays.
+    stays = None if since is None else written(spark, held.join(lost.select("id"), "id", "left_anti"), "stays")
     touched = lost.count()
     base, fresh = written(spark, current(base).where("conf > 0"), "base"), written(spark, fresh, "fresh")
     verbs = {r[0] for r in fresh.select("verb").distinct().collect()}
     found, changed, n, complete = None, fresh, 0, False
     while n < passes:
         n += 1
-        seen = base.unionByName(conform(stays))
+        # Keys of conclusions hold their rule, so no row of base has one of theirs.
+        seen, standing = base, stays if stays is None or found is None else stays.join(found.select("claim_key"), "claim_key", "left_anti")
+        if standing is not None:
+            seen = seen.unionByName(conform(standing))
         if found is not None:
-            seen = seen.join(found.select("claim_key"), "claim_key", "left_anti").unionByName(seen_as_claims(found))
+            seen = seen.unionByName(seen_as_claims(found))
         new = None
         for rule in rules:
             each = [evaluate(spark, seen, rule) if since is None and n == 1 else evaluate_changed(spark, seen, changed, verbs, rule)]
@@ -128,11 +133,9 @@ def maintain(spark: SparkSession, claims: DataFrame, edges: DataFrame, rules: li
         if new is None:
             complete = True
             break
-        known = stays.select("claim_key", F.col("conf").alias("was"))
-        if found is not None:
-            known = known.join(found.select("claim_key"), "claim_key", "left_anti").unionByName(found.select("claim_key", F.col("conf").alias("was")))
-        # What is stronger than it was, or not known yet.
-        better = strongest(new).join(known, "claim_key", "left").where(F.col("was").isNull() | (F.col("conf") > F.col("was") + SAME)).drop("was")
+        better = strongest(new)
+        if held_now := [x.select("claim_key", F.col("conf").alias("was")) for x in (standing, found) if x is not None]:  # what is stronger than it was, or not known yet
+            better = better.join(reduce(DataFrame.unionByName, held_now), "claim_key", "left").where(F.col("was").isNull() | (F.col("conf") > F.col("was") + SAME)).drop("was")
         step = written(spark, better, "maintained")
         if step.limit(1).count() == 0:
             complete = True

@@ -88,3 +88,15 @@ def test_a_derivation_reads_tables(spark):
     after, _ = store.derive()
     assert not joins(after.claims) and conclusions(after) == anew(spark, after)
     assert tabled(spark, after.claims, "claims") is after.claims
+
+
+def test_a_first_derivation_joins_nothing_that_stands(spark):
+    """Without a mark nothing stays, so passes join base rows with conclusions alone."""
+    store = declared(spark, "a NEXT b\nb NEXT c", REACH)
+    found = []
+    was, support.evaluate = support.evaluate, lambda spark, seen, rule: found.append(joins(seen)) or was(spark, seen, rule)
+    try:
+        store.derive()
+    finally:
+        support.evaluate = was
+    assert found == [0, 0]
