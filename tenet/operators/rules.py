@@ -18,6 +18,7 @@ from tenet.functions.keys import claim_key, is_uuid7
 from tenet.functions.values import number, rounded_confidence
 from tenet.operators.belief import current
 from tenet.operators.closure import written
+from tenet.staging import delete, stage
 from tenet.operators.registry import Registry
 from tenet.plans.pattern import OPS as OPERATORS
 from tenet.plans.pattern import Pattern, PatternError, is_variable, parse
@@ -154,7 +155,7 @@ def derive(spark: SparkSession, base: DataFrame, rules: list[Rule], passes: int
     A pass joins what the last one added or strengthened; conclusions that it repeats change nothing. `passes` bounds programs
     whose numbers grow for ever: what they concluded is kept."""
     base = written(spark, base, "base")
-    found, changed, verbs, n = None, base, None, 0
+    found, changed, verbs, n, parts = None, base, None, 0, []
     while n < passes:
         n += 1
         new = None
@@ -169,11 +170,21 @@ def derive(spark: SparkSession, base: DataFrame, rules: list[Rule], passes: int
         best = new.groupBy("claim_key").agg(F.max_by(F.struct(*names), "conf").alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in names], "claim_key")
         if found is not None:  # only what is new, or stronger than it was
             was = found.select("claim_key", F.col("conf").alias("was"))
-            best = best.join(was, "claim_key", "left").where(F.col("was").isNull() | (F.col("conf") > F.col("was") + SAME)).drop("was")
-        step = written(spark, best, "derived")
+            best = best.join(was, "claim_key", "left").where(F.col("was").isNull() | (F.col("conf") > F.col("was") + SAME))
+        else:
+            best = best.withColumn("was", F.lit(None).cast("double"))
+        path, step = stage(spark, best, "derived")
         if step.limit(1).count() == 0:
-            return Derived(step if found is None else found, True, n)
-        found = step if found is None else written(spark, found.join(step.select("claim_key"), "claim_key", "left_anti").unionByName(step), "derived")
+            return Derived(step.drop("was") if found is None else found, True, n)
+        # A pass that strengthens nothing is one more part; else what it strengthens goes, and the parts are written anew as one.
+        old = []
+        if step.where("was is not null").limit(1).count():
+            whole, _ = stage(spark, found.join(step.select("claim_key"), "claim_key", "left_anti").withColumn("was", F.lit(None).cast("double")), "derived")
+            old, parts = parts, [whole]
+        parts.append(path)
+        found = spark.read.schema(step.schema).parquet(*parts).drop("was")
+        delete(spark, *old)
+        step = step.drop("was")
         changed, verbs = seen_as_claims(step), {r.conclusion.verb for r in rules}
     return Derived(found, False, n)
 

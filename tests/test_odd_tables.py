@@ -55,3 +55,24 @@ def test_ids_whose_time_reads_like_a_version(spark, sf, tables):
 def test_a_stream_of_many_batches(spark, sf, tables):
     """More batches than versions that are kept."""
     same(spark, tables(events=spark.read.parquet(f"{sf}/events.parquet").repartition(4)), "stream_current")
+
+
+def test_chains_longer_than_the_default_passes(spark, sf, tables):
+    """Customers of numbers over 2^21 are more hops below the top than a derivation has passes by default."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey = 5")
+    same(spark, tables(customer=rows.withColumn("c_custkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda k: F.call_function("shiftright", F.lit(5_000_000).cast("long"), k.cast("int")))))), "rule_fixpoint")
+
+
+def test_a_derivation_keeps_each_conclusion_once(spark, monkeypatch):
+    """Passes add parts; what is on disk is what was concluded, not a copy of it for each pass. Conclusions that grow stronger stay one."""
+    from tenet.operators import rules
+    from tenet.staging import owned
+    from tenet.store import Store
+
+    two = [rules.parse_rule("?a NEXT ?b => ?a AHEAD ?b"), rules.parse_rule("?a AHEAD ?b, ?b NEXT ?c => ?a AHEAD ?c")]
+    store, _ = Store.empty(spark).ingest("\n".join(f"n{i} NEXT n{i + 1}" for i in range(6)) + "\nn0 NEXT n2 @ 50%\nn1 NEXT n3 @ 50%")
+    with owned([]) as paths:
+        got = rules.derive(spark, store.claims, two)
+    kept = sum(spark.read.parquet(p).count() for p in paths if "/derived-" in p)
+    assert got.complete and got.rows.count() == 8 + 15 == kept  # a claim is of one rule: the first's hops, the second's longer ways
+    assert {r["conf"] for r in got.rows.where(F.array_contains("contexts", two[1].source)).collect()} == {1.0}
